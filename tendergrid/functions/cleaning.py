@@ -37,5 +37,5 @@ def unwrap_url(text: Column) -> Column:
 
 def text_hash(columns: list[str]) -> Column:
     """SHA-256 of the values in order, NULL as empty text, with a pipe between them."""
-    filled = [F.coalesce(F.col(name).cast("string"), F.lit("")) for name in columns]
-    return F.sha2(F.concat_ws("|", *filled), 256)
+    texts = F.array(*[F.col(name).cast("string") for name in columns])
+    return F.sha2(F.array_join(texts, "|", ""), 256)
