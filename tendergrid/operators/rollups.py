@@ -16,6 +16,24 @@ def _distinct(column: str, name: str):
     return F.count_distinct(F.col(column)).alias(name)
 
 
+def _per_key(
+    rows: DataFrame, keys: list[str], texts: list[str], amounts: dict[str, str], count: str
+) -> DataFrame:
+    """Per key: greatest of each text, number of rows, exact sum of each amount.
+
+    The maximum of a text needs a sort of the rows, counts and sums only a hash
+    table. So the rows are first added up per key and text, which leaves few
+    rows per key, and only those are sorted.
+    """
+    added = [F.sum(money.exact(source)).alias(name) for name, source in amounts.items()]
+    per_text = rows.groupBy(*keys, *texts).agg(F.count(F.lit(1)).alias(count), *added)
+    return per_text.groupBy(*keys).agg(
+        *[F.max(text).alias(text) for text in texts],
+        F.sum(count).alias(count),
+        *[F.sum(name).cast("double").alias(name) for name in amounts],
+    )
+
+
 # --- global figures ---------------------------------------------------------
 
 
@@ -154,15 +172,19 @@ def modalities(contracts: DataFrame) -> DataFrame:
     )
 
 
+TOTAL = {"valor_total": "valor_contrato"}
+
+
+def _entity_figures(rows: DataFrame, *texts: str) -> DataFrame:
+    names = ["nombre_entidad", *texts]
+    figures = _per_key(rows, ["nit_entidad"], names, TOTAL, "total_contratos")
+    return figures.select("nit_entidad", "nombre_entidad", "total_contratos", "valor_total", *texts)
+
+
 def entity_list(contracts: DataFrame, search: str | None = None) -> DataFrame:
     rows = contracts.where(present("nit_entidad", "nombre_entidad"))
     rows = rows.where(entity_matches(search)) if search else rows
-    return rows.groupBy("nit_entidad").agg(
-        F.max("nombre_entidad").alias("nombre_entidad"),
-        money.contract_count(),
-        money.value_total(),
-        F.max("sector").alias("sector"),
-    )
+    return _entity_figures(rows, "sector")
 
 
 def entity_count(contracts: DataFrame, search: str | None = None) -> DataFrame:
@@ -172,26 +194,15 @@ def entity_count(contracts: DataFrame, search: str | None = None) -> DataFrame:
 
 
 def entity_detail(contracts: DataFrame, nit: str) -> DataFrame:
-    return (
-        contracts.where(F.col("nit_entidad") == nit)
-        .groupBy("nit_entidad")
-        .agg(
-            F.max("nombre_entidad").alias("nombre_entidad"),
-            money.contract_count(),
-            money.value_total(),
-            F.max("sector").alias("sector"),
-            F.max("departamento").alias("departamento"),
-            F.max("ciudad").alias("ciudad"),
-        )
-    )
+    rows = contracts.where(F.col("nit_entidad") == nit)
+    return _entity_figures(rows, "sector", "departamento", "ciudad")
 
 
 def _supplier_figures(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("documento_proveedor").agg(
-        F.max("proveedor_adjudicado").alias("proveedor_adjudicado"),
-        money.contract_count(),
-        money.value_total(),
-        F.max("es_pyme").alias("es_pyme"),
+    texts = ["proveedor_adjudicado", "es_pyme"]
+    figures = _per_key(rows, ["documento_proveedor"], texts, TOTAL, "total_contratos")
+    return figures.select(
+        "documento_proveedor", "proveedor_adjudicado", "total_contratos", "valor_total", "es_pyme"
     )
 
 
@@ -222,22 +233,18 @@ def supplier_concentration(contracts: DataFrame) -> DataFrame:
 # --- dashboards -------------------------------------------------------------
 
 
-def _entity_figures(contracts: DataFrame) -> DataFrame:
-    totals = (
-        contracts.where(present("nit_entidad"))
-        .groupBy("nit_entidad")
-        .agg(
-            F.max("nombre_entidad").alias("nombre_entidad"),
-            F.count(F.lit(1)).alias("n"),
-            money.total_or_zero("valor_contrato").alias("contratado"),
-            money.total_or_zero("valor_pagado").alias("pagado"),
-        )
+def _entity_payments(contracts: DataFrame) -> DataFrame:
+    amounts = {"contratado": "valor_contrato", "pagado": "valor_pagado"}
+    rows = contracts.where(present("nit_entidad"))
+    totals = _per_key(rows, ["nit_entidad"], ["nombre_entidad"], amounts, "n").na.fill(
+        0.0, list(amounts)
     )
     return totals.withColumn("ejecucion_pct", money.percent(F.col("pagado"), F.col("contratado")))
 
 
 def entity_execution(contracts: DataFrame) -> DataFrame:
-    return _entity_figures(contracts).drop("n")
+    """Paid share per entity; both sums count a missing amount as nothing."""
+    return _entity_payments(contracts).drop("n")
 
 
 def entity_modality_breakdown(contracts: DataFrame) -> DataFrame:
@@ -254,15 +261,14 @@ def entity_top_suppliers(contracts: DataFrame, k: int = 5) -> DataFrame:
     The rank limit is applied in each map task before the shuffle, so an
     entity with very many suppliers sends at most k rows per task.
     """
-    pairs = (
-        contracts.where(present("nit_entidad", "documento_proveedor"))
-        .groupBy("nit_entidad", "documento_proveedor")
-        .agg(
-            F.max("proveedor_adjudicado").alias("proveedor"),
-            F.count(F.lit(1)).alias("contratos"),
-            money.total_or_zero("valor_contrato").alias("valor"),
-        )
-    )
+    rows = contracts.where(present("nit_entidad", "documento_proveedor"))
+    pairs = _per_key(
+        rows,
+        ["nit_entidad", "documento_proveedor"],
+        ["proveedor_adjudicado"],
+        {"valor": "valor_contrato"},
+        "contratos",
+    ).withColumnRenamed("proveedor_adjudicado", "proveedor").na.fill(0.0, ["valor"])
     order = Window.partitionBy("nit_entidad").orderBy(F.desc("valor"), "documento_proveedor")
     return pairs.withColumn("puesto", F.row_number().over(order).cast("bigint")).where(
         F.col("puesto") <= k
@@ -270,16 +276,13 @@ def entity_top_suppliers(contracts: DataFrame, k: int = 5) -> DataFrame:
 
 
 def supplier_kpis(contracts: DataFrame) -> DataFrame:
-    per_supplier = (
-        contracts.where(present("documento_proveedor"))
-        .groupBy("documento_proveedor")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("es_pyme").alias("pyme"))
-    )
+    rows = contracts.where(present("documento_proveedor"))
+    per_supplier = _per_key(rows, ["documento_proveedor"], ["es_pyme"], {}, "n")
     suppliers = F.count(F.lit(1))
     return per_supplier.agg(
         suppliers.alias("total_proveedores"),
         F.try_divide(F.sum("n"), suppliers).alias("contratos_promedio"),
-        money.percent(F.count_if(F.col("pyme") == "Si"), suppliers).alias("pyme_pct"),
+        money.percent(F.count_if(F.col("es_pyme") == "Si"), suppliers).alias("pyme_pct"),
         money.percent(
             F.count_if(F.col("n") > derived.SEVERAL_CONTRACTS), suppliers
         ).alias("concentracion_alta_pct"),
@@ -290,7 +293,7 @@ def entity_kpis(contracts: DataFrame) -> DataFrame:
     """Means per entity. Shares are added as whole millionths, so their mean is exact."""
     entities = F.count(F.lit(1))
     millionths = F.floor(F.col("ejecucion_pct") * 1_000_000 + 0.5)
-    return _entity_figures(contracts).agg(
+    return _entity_payments(contracts).agg(
         entities.alias("total_entidades"),
         F.try_divide(F.sum("n"), entities).alias("contratos_promedio"),
         F.try_divide(money.total("contratado"), entities).alias("valor_promedio"),
