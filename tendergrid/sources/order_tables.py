@@ -173,18 +173,30 @@ def as_pages(rows: DataFrame) -> DataFrame:
     return rows.select(*texts, *rest)
 
 
+def _deal_out(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """Spread the rows over the cores when their source is too small to be split that far.
+
+    Some eighty texts per row are much work, and a table of one file split
+    would leave all of it to one core. A large table has more splits than
+    cores and is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if source.rdd.getNumPartitions() < cores else rows
+
+
 def page_rows(spark: SparkSession, folder: str, until: dt.date | None = None) -> DataFrame:
-    return as_pages(contracts(spark, folder, until=until))
+    rows = contracts(spark, folder, until=until)
+    return as_pages(_deal_out(rows, _table(spark, folder, "orders")))
 
 
 def shipment_feed(spark: SparkSession, folder: str) -> DataFrame:
     """One landing row per shipment: the contract as of that day, so a key comes many times."""
-    lines = _table(spark, folder, "lineitem").select(
+    lines = _table(spark, folder, "lineitem")
+    shipments = lines.select(
         F.col("l_orderkey").cast("string").alias("id_contrato"),
         F.col("l_extendedprice").alias("valor_facturado"),
         F.date_format(F.col("l_shipdate").cast("date"), ISO_TEXT).alias(UPDATED_AT),
     )
-    signed = contracts(
-        spark, folder, ["id_contrato", "nombre_entidad", "nit_entidad", "fecha_firma", "valor_contrato"]
-    )
-    return as_pages(signed.join(lines, "id_contrato"))
+    columns = ["id_contrato", "nombre_entidad", "nit_entidad", "fecha_firma", "valor_contrato"]
+    rows = contracts(spark, folder, columns).join(shipments, "id_contrato")
+    return as_pages(_deal_out(rows, lines))
