@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import derived, money
 from .operators import merge, predicates, quality, risk, rollups, search, transform
 from .operators.predicates import ContractFilter
-from .plans import marts
+from .plans import loads, marts
 from .schemas import (
     KEY,
     ROW_HASH,
@@ -94,6 +94,14 @@ def _gold(spark, folder, until=None):
     return target
 
 
+def _year_sums(gold):
+    return gold.groupBy(big(YEAR)).agg(
+        F.count(F.lit(1)).alias("registros"),
+        money.total("valor_contrato").alias("contratado"),
+        money.total("valor_pagado").alias("pagado"),
+    )
+
+
 @query
 def gold_write_full(spark, folder):
     return lake.rows_per_year(spark.read.parquet(_gold(spark, folder)))
@@ -104,15 +112,7 @@ def gold_write_incremental(spark, folder):
     """Years without a change keep the amounts paid until the snapshot."""
     target = _gold(spark, folder, SNAPSHOT)
     lake.gold_write_incremental(contracts(spark, folder), target, YEARS)
-    return (
-        spark.read.parquet(target)
-        .groupBy(big(YEAR))
-        .agg(
-            F.count(F.lit(1)).alias("registros"),
-            money.total("valor_contrato").alias("contratado"),
-            money.total("valor_pagado").alias("pagado"),
-        )
-    )
+    return _year_sums(spark.read.parquet(target))
 
 
 @query
@@ -533,6 +533,28 @@ def key_intersection(spark, folder):
     return merge.key_intersection(batch, existing)
 
 
+def _loaded(spark, target):
+    return _year_sums(spark.read.parquet(target.gold))
+
+
+@query
+def full_load(spark, folder):
+    """Pages to typed table, yearly partitions, marts and run history."""
+    target = loads.Lake(work_folder(spark, "lake"))
+    loads.load_full(spark, order_tables.page_rows(spark, folder), target)
+    return _loaded(spark, target)
+
+
+@query
+def incremental_load(spark, folder):
+    """A full load of the snapshot, then everything updated since as a batch."""
+    target = loads.Lake(work_folder(spark, "lake"))
+    loads.load_full(spark, order_tables.page_rows(spark, folder, SNAPSHOT), target)
+    since = (SNAPSHOT + dt.timedelta(days=1)).isoformat()
+    loads.load_batch(spark, order_tables.page_rows(spark, folder), target, since)
+    return _loaded(spark, target)
+
+
 # --- aggregates ---------------------------------------------------------------
 
 ROLLUPS = {

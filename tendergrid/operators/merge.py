@@ -49,14 +49,20 @@ def fits_broadcast(keys: DataFrame, limit: int = BROADCAST_KEYS) -> bool:
     return keys.count() <= limit
 
 
-def classify(existing: DataFrame, batch: DataFrame, small_batch: bool = False) -> DataFrame:
+def classify(
+    existing: DataFrame,
+    batch: DataFrame,
+    keys: DataFrame | None = None,
+    small_batch: bool = False,
+) -> DataFrame:
     """The batch with what it does to the table, and the year the contract had before.
 
-    existing has unique keys, the batch has unique non-null keys. Its keys
-    first cut the table down; with small_batch (a checked size) that needs no
+    existing has unique keys, the batch has unique non-null keys. The batch
+    keys (or `keys`, if they can be had at less cost; repeats do no harm)
+    first cut the table down; with small_batch, a checked size, that needs no
     shuffle of the table.
     """
-    keys = batch.select(KEY)
+    keys = batch.select(KEY) if keys is None else keys
     prior = existing.select(
         KEY,
         F.col(ROW_HASH).alias("_prior_hash"),

@@ -311,6 +311,9 @@ EXECUTION = f"""SELECT nit_entidad, MAX(nombre_entidad) AS nombre_entidad, COUNT
 EXECUTION_PCT = pct("pagado", "contratado")
 SHARE = "CASE WHEN valor_pagado <> 0 AND valor_contrato <> 0 THEN CAST(FLOOR(valor_pagado / valor_contrato * 100 + 0.5) AS BIGINT) END"
 
+LOADED = f"""{P} SELECT anio, COUNT(*) AS registros, {total()} AS contratado,
+  {total('valor_pagado')} AS pagado FROM c GROUP BY anio"""
+
 SQL = {
     # sources and sinks
     "bronze_scan": f"""{LANDED} SELECT id_contrato, nombre_entidad, fecha_de_firma, valor_del_contrato,
@@ -463,6 +466,8 @@ SQL = {
       UNION ALL SELECT id_contrato, CAST(anio AS DOUBLE), NULL, ciudad FROM c""",
     "key_difference": f"{MERGE} SELECT DISTINCT id_contrato FROM i WHERE id_contrato NOT IN (SELECT id_contrato FROM e)",
     "key_intersection": f"{MERGE} SELECT DISTINCT id_contrato FROM i WHERE id_contrato IN (SELECT id_contrato FROM e)",
+    "full_load": LOADED,
+    "incremental_load": LOADED,
     # aggregates
     "kpi": f"""{C} SELECT {N}, {zero()} AS valor_total, COALESCE({mean()}, 0) AS valor_promedio,
       COUNT(DISTINCT proveedor_adjudicado) AS contratistas_unicos,

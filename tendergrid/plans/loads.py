@@ -142,9 +142,10 @@ def load_batch(
         typed, path = _stored(updated_since(bronze_to_silver(landed), since), "batch")
         scratch.append(path)
         silver = lake.silver_scan(spark, target.silver)
+        keys = merge.with_key(typed).select(KEY)
+        small = merge.fits_broadcast(keys)
         batch = merge.latest_versions(typed)
-        small = merge.fits_broadcast(batch.select(KEY))
-        verdict, path = _stored(merge.classify(silver, batch, small), "changes")
+        verdict, path = _stored(merge.classify(silver, batch, keys, small), "changes")
         scratch.append(path)
         counts = merge.merge_metrics(verdict).first().asDict()
         extracted = typed.agg(

@@ -122,14 +122,7 @@ def mart_write(mart: Mart, rows: DataFrame, folder: str) -> int:
     The stored rows are checked, not the plan that makes them, so the
     aggregation runs once; the caller gets the error before anyone is told of the mart.
     """
-    (
-        mart_sort(mart, rows)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "static")
-        .option("compression", "snappy")
-        .partitionBy(YEAR)
-        .parquet(mart.path(folder))
-    )
+    lake.write_years(mart_sort(mart, rows), mart.path(folder))
     stored = mart_read(rows.sparkSession, mart, folder)
     return 0 if stored is None else mart_validate(mart.name, stored)
 

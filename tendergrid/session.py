@@ -1,5 +1,6 @@
 """Session defaults and the shared working folder."""
 
+import contextlib
 import tempfile
 import uuid
 
@@ -20,6 +21,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+# Shuffle bytes per output file of a table write.
+FILE_BYTES = "256m"
+
 _local_folder = None
 
 
@@ -59,3 +63,17 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
         root = _local_folder.name
     return f"{root.rstrip('/')}/tendergrid/{purpose}-{uuid.uuid4().hex}"
 
+
+@contextlib.contextmanager
+def table_file_size(spark: SparkSession, size: str = FILE_BYTES):
+    """Let a rebalanced write make files of this size instead of shuffle-partition size."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)

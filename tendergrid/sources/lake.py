@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.merge import keep_unreplaced
 from ..schemas import KEY, YEAR
+from ..session import table_file_size
 
 VIEW = "contratos"
 
@@ -40,16 +41,21 @@ def drop_years(spark: SparkSession, path: str, years: list[int]) -> None:
         remove(spark, f"{path}/{YEAR}={int(year)}")
 
 
+def write_years(rows: DataFrame, path: str, mode: str = "overwrite", only_present: bool = False) -> None:
+    """Write a table partitioned by year; only_present leaves the years alone that rows lack."""
+    with table_file_size(rows.sparkSession):
+        (
+            rows.write.mode(mode)
+            .option("partitionOverwriteMode", "dynamic" if only_present else "static")
+            .option("compression", "snappy")
+            .partitionBy(YEAR)
+            .parquet(path)
+        )
+
+
 def silver_write(rows: DataFrame, path: str, replace: bool = False) -> None:
     """Write the typed table, by default only to a folder that holds no data yet."""
-    (
-        spread_by_year(rows)
-        .write.mode("overwrite" if replace else "errorifexists")
-        .option("partitionOverwriteMode", "static")
-        .option("compression", "snappy")
-        .partitionBy(YEAR)
-        .parquet(path)
-    )
+    write_years(spread_by_year(rows), path, "overwrite" if replace else "errorifexists")
 
 
 def silver_scan(spark: SparkSession, path: str) -> DataFrame:
@@ -73,15 +79,7 @@ def gold_write_full(rows: DataFrame, path: str) -> None:
     Sorting by key inside a task gives each row group a narrow key range, so
     a lookup by contract skips nearly all of them.
     """
-    (
-        spread_by_year(rows)
-        .sortWithinPartitions(YEAR, KEY)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "static")
-        .option("compression", "snappy")
-        .partitionBy(YEAR)
-        .parquet(path)
-    )
+    write_years(spread_by_year(rows).sortWithinPartitions(YEAR, KEY), path)
 
 
 def replace_years(rows: DataFrame, path: str, years: list[int]) -> None:
@@ -97,15 +95,8 @@ def replace_years(rows: DataFrame, path: str, years: list[int]) -> None:
     if not years:
         return
     seen = Observation()
-    (
-        rows.where(F.col(YEAR).isin(years))
-        .observe(seen, F.collect_set(YEAR).alias("years"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("compression", "snappy")
-        .partitionBy(YEAR)
-        .parquet(path)
-    )
+    kept = rows.where(F.col(YEAR).isin(years))
+    write_years(kept.observe(seen, F.collect_set(YEAR).alias("years")), path, only_present=True)
     written = set(seen.get.get("years") or [])
     drop_years(rows.sparkSession, path, [year for year in years if year not in written])
 

@@ -72,7 +72,7 @@ def test_random_batches_against_dictionaries(spark, seed):
     parts = [f(existing, incoming).count() for f in (merge.merge_inserts, merge.merge_updates, merge.merge_unchanged)]
     assert sum(parts) == len(latest)
     for small in (False, True):
-        changes = merge.classify(existing, merge.latest_versions(incoming), small)
+        changes = merge.classify(existing, merge.latest_versions(incoming), small_batch=small)
         counts = merge.merge_metrics(changes).first()
         assert [counts["inserted"], counts["updated"], counts["unchanged"]] == parts
 
