@@ -130,16 +130,25 @@ def keep_unreplaced(existing: DataFrame, keys: DataFrame, small_keys: bool = Fal
     return existing.join(F.broadcast(keys) if small_keys else keys, KEY, "left_anti")
 
 
-def apply_changes(existing: DataFrame, changes: DataFrame, small_batch: bool = False) -> DataFrame:
-    """The table without the updated contracts, plus the inserted and updated rows."""
-    replaced = changes.where(F.col(ACTION) == UPDATED).select(KEY)
-    kept = keep_unreplaced(existing, replaced, small_batch)
-    return union_relaxed(kept, only_actions(changes, INSERTED, UPDATED))
-
-
 def merge_silver(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """existing - updated + inserted + updated; merging the same batch twice changes nothing."""
-    return apply_changes(existing, classify(existing, latest_versions(batch)))
+    """existing - updated + inserted + updated; merging the same batch twice changes nothing.
+
+    One full outer join reads each side once. It moves the whole table, which
+    is right when the batch is of similar size; a load of a small batch into a
+    stored table goes through classify and keep_unreplaced instead.
+    """
+    latest = latest_versions(batch)
+    old, new = existing.columns, latest.columns
+    incoming = latest.select(*[F.col(name).alias(f"_new_{name}") for name in new])
+    both = existing.join(incoming, F.col(KEY) == F.col(f"_new_{KEY}"), "full_outer")
+    take_new = F.col(f"_new_{KEY}").isNotNull() & (
+        F.col(KEY).isNull() | ~F.col(ROW_HASH).eqNullSafe(F.col(f"_new_{ROW_HASH}"))
+    )
+    values = []
+    for name in old + [name for name in new if name not in old]:
+        value = F.when(take_new, F.col(f"_new_{name}") if name in new else F.lit(None))
+        values.append((value.otherwise(F.col(name)) if name in old else value).alias(name))
+    return both.select(*values)
 
 
 def merge_metrics(changes: DataFrame) -> DataFrame:

@@ -97,7 +97,8 @@ def quality_report(rows: DataFrame) -> DataFrame:
 
 def cast_failure_report(pages: DataFrame) -> DataFrame:
     """Per date and amount column: texts present, and texts that became NULL."""
-    sources = {silver: page for silver, page, _ in SILVER_COLUMNS if page in pages.columns}
+    known = set(pages.columns)
+    sources = {silver: page for silver, page, _ in SILVER_COLUMNS if page in known}
     counts = []
     for column in DATE_COLUMNS + MONEY_COLUMNS:
         if column not in sources:

@@ -24,8 +24,8 @@ def rename_columns(rows: DataFrame) -> DataFrame:
 
 
 def _replace(rows: DataFrame, names: list[str], change) -> DataFrame:
-    present = [name for name in names if name in rows.columns]
-    return rows.withColumns({name: change(F.col(name)) for name in present})
+    known = set(rows.columns)
+    return rows.withColumns({name: change(F.col(name)) for name in names if name in known})
 
 
 def cast_dates(rows: DataFrame) -> DataFrame:
@@ -72,8 +72,10 @@ def bronze_to_silver(pages: DataFrame) -> DataFrame:
     The hash is taken from the landing text, so it does not change with the
     way numbers or dates are printed.
     """
-    absent = [name for name in PAGE_BUSINESS_COLUMNS + [UPDATED_AT] if name not in pages.columns]
-    pages = pages.withColumns({name: F.lit(None).cast("string") for name in absent})
+    known = set(pages.columns)
+    absent = [name for name in PAGE_BUSINESS_COLUMNS + [UPDATED_AT] if name not in known]
+    if absent:
+        pages = pages.withColumns({name: F.lit(None).cast("string") for name in absent})
     typed = [_CLEAN[kind](F.col(page)).alias(silver) for silver, page, kind in SILVER_COLUMNS]
     return pages.select(
         *typed,

@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import BRONZE_SCHEMA, SILVER_COLUMNS, UPDATED_AT, YEAR
+from ..schemas import SILVER_COLUMNS, UNTYPED_PAGE_COLUMNS, UPDATED_AT, YEAR
 
 ISO_TEXT = "yyyy-MM-dd'T'00:00:00.000"
 
@@ -150,10 +150,10 @@ def contracts(
 
 def as_pages(rows: DataFrame) -> DataFrame:
     """Contracts as landing text: padded names, signs in amounts, unreadable dates and values."""
-    texts = []
+    texts, known, nothing = [], set(rows.columns), F.lit(None).cast("string")
     for silver, page, kind in SILVER_COLUMNS:
-        if silver not in rows.columns:
-            value = F.lit(None).cast("string")
+        if silver not in known:
+            value = nothing
         elif kind == "date":
             value = F.date_format(silver, ISO_TEXT)
         elif kind == "money":
@@ -167,10 +167,9 @@ def as_pages(rows: DataFrame) -> DataFrame:
         elif silver == "valor_contrato":
             value = F.coalesce(F.concat(F.lit("$ "), value), F.lit("N/A"))
         texts.append(value.alias(page))
-    texts.append(F.col(UPDATED_AT) if UPDATED_AT in rows.columns else F.lit(None).cast("string").alias(UPDATED_AT))
-    known = {page for _, page, _ in SILVER_COLUMNS} | {UPDATED_AT}
-    rest = [F.lit(None).cast("string").alias(f.name) for f in BRONZE_SCHEMA if f.name not in known]
-    return rows.select(*texts, *rest)
+    texts.append((F.col(UPDATED_AT) if UPDATED_AT in known else nothing).alias(UPDATED_AT))
+    texts += [nothing.alias(name) for name in UNTYPED_PAGE_COLUMNS]
+    return rows.select(*texts)
 
 
 def _deal_out(rows: DataFrame, source: DataFrame) -> DataFrame:

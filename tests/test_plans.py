@@ -4,9 +4,10 @@ import datetime as dt
 
 import pytest
 
-from tendergrid.operators import risk, rollups, search
+from tendergrid.operators import merge, risk, rollups, search
 from tendergrid.operators.predicates import ContractFilter
 from tendergrid.plans import marts
+from tendergrid.session import table_file_size
 from tendergrid.sources import lake, order_tables
 
 
@@ -59,3 +60,24 @@ def test_no_python_and_no_cross_join(gold):
 def test_text_maxima_sort_only_added_up_rows(gold):
     text = plan(rollups.supplier_list(gold))
     assert text.rstrip().rindex("HashAggregate") > text.rindex("SortAggregate")
+
+
+def test_a_hot_year_becomes_several_files(spark, tmp_path):
+    """REBALANCE cuts a year that is too large for one file."""
+    rows = spark.range(0, 400_000, 1, 8).selectExpr(
+        "cast(id as string) id_contrato", "sha2(cast(id as string), 256) texto",
+        "if(id % 100 = 0, 2001 + cast(id % 3 as int), 2000) anio",
+    )
+    with table_file_size(spark, "2m"):
+        lake.spread_by_year(rows).write.partitionBy("anio").parquet(str(tmp_path / "t"))
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in (tmp_path / "t").glob("anio=*")}
+    assert len(files) == 4 and 4 < files["anio=2000"] <= 16
+
+
+def test_merge_reads_each_side_once(spark, tmp_path):
+    schema = "id_contrato string, row_hash string, anio int, ultima_actualizacion string, v double"
+    for name in ("old", "new"):
+        spark.createDataFrame([("a", name, 1, "1", 1.0)], schema).write.parquet(str(tmp_path / name))
+    old, new = (spark.read.parquet(str(tmp_path / name)) for name in ("old", "new"))
+    text = plan(merge.merge_silver(old, new))
+    assert text.count("FileScan") == 2
