@@ -52,12 +52,16 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder every executor can reach, under spark.checkpoint.dir.
 
-    Only a session that names no such folder (a plain local test) gets a
-    machine-local one, which goes away with the process.
+    Only a local session that names no such folder (a plain test) gets a
+    machine-local one, which goes away with the process. On a cluster the
+    executors would each write to a disk of their own, so there it is an error.
     """
     global _local_folder
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder for master {master}")
         if _local_folder is None:
             _local_folder = tempfile.TemporaryDirectory(prefix="tendergrid-")
         root = _local_folder.name
