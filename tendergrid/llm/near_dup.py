@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tendergrid.llm import common
 
@@ -142,7 +143,7 @@ def _sketched(rows: DataFrame) -> DataFrame:
     return words.mapInArrow(run, "key string, n int, sketches array<bigint>")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(labelled(np.asarray(x)), labelled(np.asarray(y))) for x, y in zip(a, b, strict=True)], dtype=float)
 

@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tendergrid.llm import common
 
@@ -98,7 +99,7 @@ def features_of(text: str) -> list[float]:
     ]
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _figures(texts: pd.Series) -> pd.Series:
     return pd.Series([features_of(text or "") for text in texts], dtype=object)
 

@@ -1,6 +1,6 @@
 """The operators of this package as queries over the given tables, and SQL for those that SQL can express."""
 
-from tendergrid.llm import byte_bpe, mixing, near_dup, pii, quality, secrets, simhash, topk, url_filter, warc
+from tendergrid.llm import byte_bpe, mixing, near_dup, pii, quality, secret_scan, simhash, topk, url_filter, warc
 from tendergrid.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -21,7 +21,7 @@ QUERIES = {
     "op5_simhash": lambda spark, folder: simhash.compare(table(spark, folder, "documents")),
     "op6_warc": lambda spark, folder: warc.round_trip(table(spark, folder, "pages")),
     "op7_topk": lambda spark, folder: topk.search(table(spark, folder, "embeddings")),
-    "op8_secrets": lambda spark, folder: secrets.detect(table(spark, folder, "documents")),
+    "op8_secrets": lambda spark, folder: secret_scan.detect(table(spark, folder, "documents")),
     "op9_quality": lambda spark, folder: quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels")),
     "op10_url_filter": lambda spark, folder: url_filter.judge(table(spark, folder, "pages")),
 }
@@ -41,10 +41,10 @@ SQL = {
         FROM g""",
     "op7_topk": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
             FROM embeddings
             WHERE embedding IS NOT NULL AND len(embedding) > 0
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
         ), s AS (
             SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
             FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
