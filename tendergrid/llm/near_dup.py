@@ -11,7 +11,7 @@ All pairs of a bucket are never listed. A pass compares the texts of a bucket
 with one leader, drawn by a hash salted with the bucket, so that a text meets another leader in each of
 its buckets; the links give classes; texts whose class no leader of the bucket
 has are open, and the next pass draws its leader among them and compares it with all others. Buckets still open after
-PASSES passes are split by the next sketch as well, and at the last level the
+PASSES (one) are split by the next sketch as well, and at the last level the
 passes go on until nothing is open. Classes are connected components of the
 links, found by alternating large and small stars. Links, classes and pairs stay distributed.
 
@@ -35,7 +35,7 @@ SHINGLE = 5
 SKETCHES = 16
 KEPT = 4
 SIMILARITY = 0.8
-PASSES = 2
+PASSES = 1
 LEVELS = 3
 # Shingles above which sketches are made one after another, to bound memory.
 LONG = 50_000
@@ -155,26 +155,37 @@ def _key(text: str = "text"):
 def components(links: DataFrame) -> DataFrame:
     """key and class (its smallest key) of every key in links (a, b)."""
     edges = common.staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    seen = None
     while True:
+        # Done when the links are stars: a node points to one centre, and no centre points on.
+        tops = edges.select(F.col("v").alias("u"), F.lit(1).alias("centre"), F.lit(0).alias("points")).distinct()
+        roles = tops.unionByName(edges.select("u", F.lit(0).alias("centre"), F.lit(1).alias("points")))
+        if roles.groupBy("u").agg(F.sum("centre").alias("c"), F.sum("points").alias("p")).where("c + p > 1").isEmpty():
+            break
         # Large star: every larger neighbour of a node points to the smallest of its neighbours and itself.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = common.staged(large.where("u != v").distinct(), "large-star")
+        large = common.staged(large.where("u != v"), "large-star")
         # Small star: a node and its smaller neighbours point to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         met = large.join(least, "u")
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v")))
         edges = common.staged(small.where("u != v").distinct(), "small-star")
-        mark = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
-        if mark == seen:
-            break
-        seen = mark
     tops = edges.select(F.col("v").alias("key")).distinct().withColumn("class", F.col("key"))
     return edges.select(F.col("u").alias("key"), F.col("v").alias("class")).unionByName(tops)
 
 
+def _merged(classes: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Classes of keys after links (a, b) between classes."""
+    joined = components(links)
+    if classes is None:
+        return joined
+    joined = common.staged(joined, "joined-classes")
+    above = joined.select(F.col("key").alias("class"), F.col("class").alias("_above"))
+    old = classes.join(above, "class", "left").select("key", F.coalesce("_above", "class").alias("class"))
+    return common.staged(old.unionByName(joined.join(classes, "key", "left_anti")), "merged-classes")
+
+
 def _with_class(rows: DataFrame, classes: DataFrame | None) -> DataFrame:
     rows = rows.drop("class")
     if classes is None:
@@ -197,8 +208,7 @@ def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = common.staged(documents.select("doc_id", _key().alias("key")), "near-keys")
     sketched = _sketched(documents.select(_key().alias("key"), common.text_or_empty().alias("text")))
     sketched = common.staged(sketched.groupBy("key").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches")), "sketches")
-    links, found, texts = [], None, None
-    narrow = None
+    found = texts = narrow = None
     for level in range(1, LEVELS + 1):
         # A bucket of this level: that many sketches in a row, beginning with each.
         own = sketched if narrow is None else sketched.join(narrow.select("key").distinct(), "key")
@@ -223,18 +233,17 @@ def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
             ), "leaders")
             met = state.join(leaders, "bucket")
             fits = F.least("n", "leader_n") >= F.greatest("n", "leader_n") * SIMILARITY - 1e-9
-            pairs = met.where((F.col("class") != F.col("leader_class")) & fits).select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+            pairs = met.where((F.col("class") != F.col("leader_class")) & fits).select(
+                F.col("leader").alias("a"), F.col("key").alias("b"), F.col("leader_class").alias("ca"), F.col("class").alias("cb")
+            ).distinct()
             words = texts.select("key", F.expr(words_of("text")).alias("w"))
             compared = pairs.join(words.select(F.col("key").alias("b"), F.col("w").alias("wb")), "b").join(
                 words.select(F.col("key").alias("a"), F.col("w").alias("wa")), "a"
             )
-            fresh = common.staged(compared.select("a", "b", _likeness("wa", "wb").alias("s")).where("s > 0").select("a", "b"), "links")
+            linked = compared.select("ca", "cb", _likeness("wa", "wb").alias("s")).where("s > 0")
+            fresh = common.staged(linked.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
             if not fresh.isEmpty():
-                links.append(fresh)
-                every = links[0]
-                for more in links[1:]:
-                    every = every.unionByName(more)
-                found = components(every)
+                found = _merged(found, fresh)
             done += 1
             # Open: rows that no leader of their bucket, so far, shares a class with.
             led = leaders.select("bucket", F.col("leader").alias("key"))
