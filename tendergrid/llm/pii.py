@@ -54,17 +54,17 @@ WORDS_FOR = "e-?mail|mail|contact|phone|tel|call|fax|mobile|card|visa|credit|add
 WORDS_AGAINST = "version|release|isbn|order|invoice|sha|hash|token|build|serial|page|section|figure"
 
 
-def _positions(text: str, pattern: str, kind: str, strict: bool) -> str:
-    """SQL: array of {kind, strict, value, start, end}; code points, end exclusive."""
+def _positions(text: str, pattern: str, kind: str, strict: bool, least: int = 1) -> str:
+    """SQL: array of {kind, strict, value, start, end} of matches of at least so many characters; code points, end exclusive."""
     quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
     return f"""
     transform(array(struct(split({text}, '{quoted}', -1) AS gaps, regexp_extract_all({text}, '{quoted}', 0) AS hits)), m ->
       aggregate(sequence(0, greatest(size(m.hits), 1) - 1), named_struct('at', 0, 'out', cast(array() AS
         array<struct<kind:string,strict:boolean,value:string,start:int,end:int>>)), (a, i) -> IF(size(m.hits) = 0, a, named_struct(
           'at', a.at + length(get(m.gaps, i)) + length(get(m.hits, i)),
-          'out', concat(a.out, array(named_struct('kind', '{kind}', 'strict', {str(strict).lower()}, 'value', get(m.hits, i),
-             'start', a.at + length(get(m.gaps, i)),
-             'end', a.at + length(get(m.gaps, i)) + length(get(m.hits, i)))))))).out)[0]"""
+          'out', IF(length(get(m.hits, i)) < {least}, a.out, concat(a.out, array(named_struct('kind', '{kind}',
+             'strict', {str(strict).lower()}, 'value', get(m.hits, i), 'start', a.at + length(get(m.gaps, i)),
+             'end', a.at + length(get(m.gaps, i)) + length(get(m.hits, i))))))))).out)[0]"""
 
 
 _NONE = "cast(array() AS array<struct<kind:string,strict:boolean,value:string,start:int,end:int>>)"
@@ -85,7 +85,7 @@ def _candidates(text: str) -> str:
     return f"""concat(
       IF(contains({text}, '@'), {_positions(text, EMAIL, 'email', True)}, {_NONE}),
       IF({digits}, {_positions(text, IP, 'ip', True)}, {_NONE}),
-      IF({digits}, filter({_positions(text, CARD, 'card', True)}, x -> length(x.value) >= 13), {_NONE}),
+      IF({digits}, {_positions(text, CARD, 'card', True, 13)}, {_NONE}),
       IF({digits} AND contains({text}, '+'), {_positions(text, PHONE, 'phone', True)}, {_NONE}),
       IF({text} RLIKE '[\\\\[(]at[\\\\])]', {_positions(text, WRITTEN_EMAIL, 'email', False)}, {_NONE}),
       IF({digits}, {_positions(text, PLAIN_PHONE, 'phone', False)}, {_NONE}))"""
