@@ -304,14 +304,15 @@ def supplier_concentration_level(spark, folder):
     return rollups.supplier_concentration(contracts(spark, folder, *SUPPLIER_LIST))
 
 
+# The salt of the registered example; a real projection takes a secret one.
+EXAMPLE_SALT = "ejemplo-"
+
+
 @query
 def public_projection(spark, folder):
     rows = contracts(spark, folder, KEY, "documento_proveedor", "valor_contrato", "fecha_firma")
-    open_rows = transform.public_projection(rows)
-    masked = transform.public_projection(rows, pseudonyms=True)
-    return open_rows.join(
-        masked.select(KEY, F.col("documento_proveedor").alias("seudonimo")), KEY
-    )
+    kept = transform.public_projection(rows).columns
+    return rows.select(*kept, transform.pseudonym(F.col("documento_proveedor"), EXAMPLE_SALT).alias("seudonimo"))
 
 
 # --- filters ------------------------------------------------------------------
@@ -687,7 +688,7 @@ def build_marts(spark, folder):
 @query
 def mart_sort(spark, folder):
     mart = _mart("mart_proveedores")
-    return _out(mart.build(_mart_rows(spark, folder)).orderBy(YEAR, *mart.order))
+    return _out(marts.mart_sort(mart, mart.build(_mart_rows(spark, folder))))
 
 
 # --- pages and lists ----------------------------------------------------------

@@ -1,7 +1,9 @@
 """Sums of money that do not depend on the order of the rows.
 
 Doubles are added as DECIMAL(28,2), so a total is the same for every way the
-rows are split over tasks. Ten more integer digits remain for the total.
+rows are split over tasks. Ten more integer digits remain for the total. An
+amount that does not fit (1e26 or more, infinite, not a number) is an error and
+never leaves a total without a word.
 """
 
 from pyspark.sql import Column
@@ -12,7 +14,7 @@ EXACT = "decimal(28,2)"
 
 def exact(value: str | Column) -> Column:
     value = F.col(value) if isinstance(value, str) else value
-    return value.try_cast(EXACT)
+    return value.cast(EXACT)
 
 
 def total(value: str | Column) -> Column:

@@ -13,10 +13,6 @@ ACTION = "accion"
 PRIOR_YEAR = "anio_previo"
 INSERTED, UPDATED, UNCHANGED = "inserted", "updated", "unchanged"
 
-# Keys of a batch are broadcast up to this many. A key takes well under 100
-# bytes, so the broadcast stays near 100 MB; larger batches are shuffled.
-BROADCAST_KEYS = 1_000_000
-
 
 def with_key(rows: DataFrame) -> DataFrame:
     return rows.where(F.col(KEY).isNotNull())
@@ -44,38 +40,36 @@ def latest_versions(batch: DataFrame) -> DataFrame:
     )
 
 
-def fits_broadcast(keys: DataFrame, limit: int = BROADCAST_KEYS) -> bool:
-    """Whether there are few enough keys to broadcast. Counts them, so pass stored rows."""
-    return keys.count() <= limit
-
-
-def classify(
-    existing: DataFrame,
-    batch: DataFrame,
-    keys: DataFrame | None = None,
-    small_batch: bool = False,
-) -> DataFrame:
+def classify(existing: DataFrame, batch: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """The batch with what it does to the table, and the year the contract had before.
 
     existing has unique keys, the batch has unique non-null keys. The batch
     keys (or `keys`, if they can be had at less cost; repeats do no harm)
-    first cut the table down; with small_batch, a checked size, that needs no
-    shuffle of the table.
+    first cut the table down; Spark broadcasts them when their measured bytes
+    are few. A row older than the stored one changes nothing.
     """
     keys = batch.select(KEY) if keys is None else keys
     prior = existing.select(
         KEY,
         F.col(ROW_HASH).alias("_prior_hash"),
         F.col(YEAR).alias(PRIOR_YEAR),
+        F.col(UPDATED_AT).alias("_prior_at"),
         F.lit(True).alias("_known"),
-    ).join(F.broadcast(keys) if small_batch else keys, KEY, "left_semi")
-    return batch.join(prior, KEY, "left").withColumn(ACTION, _action()).drop("_prior_hash", "_known")
+    ).join(keys, KEY, "left_semi")
+    decided = batch.join(prior, KEY, "left").withColumn(ACTION, _action())
+    return decided.drop("_prior_hash", "_prior_at", "_known")
+
+
+def _stale(incoming: Column, stored: Column) -> Column:
+    """Whether the incoming update time is known to lie before the stored one."""
+    return F.coalesce(incoming < stored, F.lit(False))
 
 
 def _action() -> Column:
     return (
         F.when(F.col("_known").isNull(), INSERTED)
         .when(F.col("_prior_hash").eqNullSafe(F.col(ROW_HASH)), UNCHANGED)
+        .when(_stale(F.col(UPDATED_AT), F.col("_prior_at")), UNCHANGED)
         .otherwise(UPDATED)
     )
 
@@ -89,12 +83,15 @@ def merge_inserts(existing: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def merge_updates(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    prior = existing.select(KEY, F.col(ROW_HASH).alias("_prior_hash"))
+    prior = existing.select(
+        KEY, F.col(ROW_HASH).alias("_prior_hash"), F.col(UPDATED_AT).alias("_prior_at")
+    )
     return (
         latest_versions(batch)
         .join(prior, KEY)
         .where(~F.col("_prior_hash").eqNullSafe(F.col(ROW_HASH)))
-        .drop("_prior_hash")
+        .where(~_stale(F.col(UPDATED_AT), F.col("_prior_at")))
+        .drop("_prior_hash", "_prior_at")
     )
 
 
@@ -126,8 +123,8 @@ def union_relaxed(first: DataFrame, *others: DataFrame) -> DataFrame:
     return first
 
 
-def keep_unreplaced(existing: DataFrame, keys: DataFrame, small_keys: bool = False) -> DataFrame:
-    return existing.join(F.broadcast(keys) if small_keys else keys, KEY, "left_anti")
+def keep_unreplaced(existing: DataFrame, keys: DataFrame) -> DataFrame:
+    return existing.join(keys, KEY, "left_anti")
 
 
 def merge_silver(existing: DataFrame, batch: DataFrame) -> DataFrame:
@@ -142,7 +139,9 @@ def merge_silver(existing: DataFrame, batch: DataFrame) -> DataFrame:
     incoming = latest.select(*[F.col(name).alias(f"_new_{name}") for name in new])
     both = existing.join(incoming, F.col(KEY) == F.col(f"_new_{KEY}"), "full_outer")
     take_new = F.col(f"_new_{KEY}").isNotNull() & (
-        F.col(KEY).isNull() | ~F.col(ROW_HASH).eqNullSafe(F.col(f"_new_{ROW_HASH}"))
+        F.col(KEY).isNull()
+        | ~F.col(ROW_HASH).eqNullSafe(F.col(f"_new_{ROW_HASH}"))
+        & ~_stale(F.col(f"_new_{UPDATED_AT}"), F.col(UPDATED_AT))
     )
     values = []
     for name in old + [name for name in new if name not in old]:

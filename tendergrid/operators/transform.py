@@ -1,6 +1,6 @@
 """Landing rows to typed rows."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,8 +89,15 @@ def url_unwrap(rows: DataFrame) -> DataFrame:
     return _replace(rows, ["url_proceso"], cleaning.unwrap_url)
 
 
-def public_projection(rows: DataFrame, pseudonyms: bool = False) -> DataFrame:
-    """Without the sensitive columns, or with a hash in their place to keep rows linkable."""
-    if not pseudonyms:
+def pseudonym(value: Column, salt: str) -> Column:
+    """A salted hash; without the salt an id number is found again by trying them all."""
+    if not salt:
+        raise ValueError("pseudonyms need a secret salt")
+    return F.sha2(F.concat(F.lit(salt), value.cast("string")), 256)
+
+
+def public_projection(rows: DataFrame, salt: str | None = None) -> DataFrame:
+    """Without the sensitive columns, or, given a salt, with a hash in their place to keep rows linkable."""
+    if salt is None:
         return rows.drop(*SENSITIVE_COLUMNS)
-    return _replace(rows, SENSITIVE_COLUMNS, lambda c: F.sha2(c.cast("string"), 256))
+    return _replace(rows, SENSITIVE_COLUMNS, lambda c: pseudonym(c, salt))

@@ -372,7 +372,7 @@ SQL = {
       SELECT *, CASE WHEN total_contratos > 100 THEN 'Alto' WHEN total_contratos > 50 THEN 'Medio'
         ELSE 'Bajo' END AS riesgo FROM g""",
     "public_projection": f"""{C} SELECT id_contrato, valor_contrato, fecha_firma,
-      sha256(documento_proveedor) AS seudonimo FROM c""",
+      sha256('ejemplo-' || documento_proveedor) AS seudonimo FROM c""",
     # filters
     **{name: f"{C} SELECT {SUMMARY} FROM c WHERE {_condition(name)}" for name in FILTERS},
     "search_entities": f"""{C} {ENTITY} AND (nombre_entidad ILIKE '%tion_1%' OR nit_entidad = 'tion_1')

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import merge
 from ..operators.predicates import updated_since, years_in
-from ..operators.quality import check_row_count
+from ..operators.quality import check_row_count, silver_validate
 from ..operators.transform import bronze_to_silver
 from ..schemas import KEY, RUN_HISTORY_SCHEMA, UPDATED_AT, YEAR
 from ..session import work_folder
@@ -81,8 +81,13 @@ def _stored(rows: DataFrame, purpose: str) -> tuple[DataFrame, str]:
 
 
 def load_full(spark: SparkSession, landed: DataFrame, target: Lake) -> dict:
-    """Landing rows to a new typed table, all yearly partitions and all marts."""
+    """Landing rows to a new typed table, all yearly partitions and all marts.
+
+    The new table is staged and checked first; rows that all lack a key leave
+    the tables of earlier runs as they are.
+    """
     run = _Run(spark, target)
+    scratch = []
     try:
         seen = Observation()
         typed = bronze_to_silver(landed).observe(
@@ -91,7 +96,10 @@ def load_full(spark: SparkSession, landed: DataFrame, target: Lake) -> dict:
             F.count_if(F.col(KEY).isNull()).alias("rejected"),
             F.max(UPDATED_AT).alias("watermark"),
         )
-        lake.silver_write(merge.latest_versions(typed), target.silver, replace=True)
+        fresh, path = _stored(merge.latest_versions(typed), "full")
+        scratch.append(path)
+        silver_validate(fresh)
+        lake.silver_write(fresh, target.silver, replace=True)
         silver = lake.silver_scan(spark, target.silver)
         lake.gold_write_full(silver, target.gold)
         gold = lake.gold_view(spark, target.gold)
@@ -114,6 +122,9 @@ def load_full(spark: SparkSession, landed: DataFrame, target: Lake) -> dict:
     except Exception:
         run.log("failed")
         raise
+    finally:
+        for path in scratch:
+            lake.remove(spark, path)
 
 
 def _unfinished_years(spark: SparkSession, target: Lake) -> set[int]:
@@ -143,9 +154,8 @@ def load_batch(
         scratch.append(path)
         silver = lake.silver_scan(spark, target.silver)
         keys = merge.with_key(typed).select(KEY)
-        small = merge.fits_broadcast(keys)
         batch = merge.latest_versions(typed)
-        verdict, path = _stored(merge.classify(silver, batch, keys, small), "changes")
+        verdict, path = _stored(merge.classify(silver, batch, keys), "changes")
         scratch.append(path)
         counts = merge.merge_metrics(verdict).first().asDict()
         extracted = typed.agg(
@@ -156,7 +166,7 @@ def load_batch(
 
         replaced = verdict.where(F.col(merge.ACTION) == merge.UPDATED).select(KEY)
         before = silver.count()
-        kept = merge.keep_unreplaced(silver.select(KEY), replaced, small).count()
+        kept = merge.keep_unreplaced(silver.select(KEY), replaced).count()
         after = kept + counts[merge.INSERTED] + counts[merge.UPDATED]
         check_row_count(before, after)
 
@@ -166,12 +176,10 @@ def load_batch(
         if years:
             current = silver.where(years_in(years))
             fresh = merge.only_actions(verdict, merge.INSERTED, merge.UPDATED)
-            merged = merge.union_relaxed(
-                merge.keep_unreplaced(current, replaced, small), lake.spread_by_year(fresh)
-            )
-            lake.replace_years(merged, target.silver, years)
+            merged = merge.union_relaxed(merge.keep_unreplaced(current, replaced), fresh)
+            lake.replace_years(lake.spread_by_year(merged), target.silver, years)
             silver = lake.silver_scan(spark, target.silver)
-            lake.gold_write_incremental(silver, target.gold, years, spread=False)
+            lake.gold_write_incremental(silver, target.gold, years)
         gold = lake.gold_view(spark, target.gold)
         marts = build_marts(gold, target.marts, years)
         previous = run_log.latest_state(run_log.run_history(spark, target.runs)).first()

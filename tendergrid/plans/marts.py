@@ -1,5 +1,6 @@
 """Pre-aggregated tables by entity, supplier, month and modality, one partition per year."""
 
+import contextlib
 from dataclasses import dataclass, field
 from collections.abc import Callable
 
@@ -11,6 +12,7 @@ from ..functions import money
 from ..operators.predicates import present, years_in
 from ..operators.quality import mart_validate
 from ..schemas import YEAR
+from ..session import work_folder
 from ..sources import lake
 
 
@@ -117,14 +119,29 @@ def mart_read(spark: SparkSession, mart: Mart, folder: str) -> DataFrame | None:
 
 
 def mart_write(mart: Mart, rows: DataFrame, folder: str) -> int:
-    """Store a mart, register its view, check the stored rows and return their number.
+    """Store a mart, register its view and return the number of its rows.
 
-    The stored rows are checked, not the plan that makes them, so the
-    aggregation runs once; the caller gets the error before anyone is told of the mart.
+    The new rows are staged and checked there, so the aggregation runs once and
+    a mart that fails its check never takes the place of the one before.
     """
-    lake.write_years(mart_sort(mart, rows), mart.path(folder))
+    with _checked(mart, rows) as fresh:
+        lake.write_years(mart_sort(mart, fresh), mart.path(folder))
     stored = mart_read(rows.sparkSession, mart, folder)
-    return 0 if stored is None else mart_validate(mart.name, stored)
+    return 0 if stored is None else stored.count()
+
+
+@contextlib.contextmanager
+def _checked(mart: Mart, rows: DataFrame):
+    """The rows from a staging folder, after their check."""
+    spark = rows.sparkSession
+    path = work_folder(spark, f"staged-{mart.name}")
+    try:
+        rows.write.parquet(path)
+        fresh = spark.read.schema(rows.schema).parquet(path)
+        mart_validate(mart.name, fresh)
+        yield fresh
+    finally:
+        lake.remove(spark, path)
 
 
 def mart_incremental(mart: Mart, contracts: DataFrame, folder: str, years: list[int]) -> int:
@@ -137,10 +154,10 @@ def mart_incremental(mart: Mart, contracts: DataFrame, folder: str, years: list[
     if years:
         if not lake.exists(spark, mart.path(folder)):
             return mart_write(mart, mart.build(contracts), folder)
-        fresh = mart.build(contracts.where(years_in(years)))
-        lake.replace_years(mart_sort(mart, fresh), mart.path(folder), years)
+        with _checked(mart, mart.build(contracts.where(years_in(years)))) as fresh:
+            lake.replace_years(mart_sort(mart, fresh), mart.path(folder), years)
     stored = mart_read(spark, mart, folder)
-    return 0 if stored is None else mart_validate(mart.name, stored)
+    return 0 if stored is None else stored.count()
 
 
 def build_marts(

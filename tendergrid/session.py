@@ -8,10 +8,11 @@ from pyspark.sql import SparkSession
 
 # Runtime settings the plans count on. Adaptive execution merges small shuffle
 # partitions, splits the skewed side of a join, and sizes the output files of a
-# REBALANCE; dates are compared in UTC. The JVM never compiles a method of more
+# REBALANCE; dates are compared in UTC; a cast that cannot hold its value fails. The JVM never compiles a method of more
 # than 8000 bytecodes: a wide projection fused into one such method runs several
 # times slower than the same projection split into small ones.
 RUNTIME_SETTINGS = {
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -101,17 +101,10 @@ def replace_years(rows: DataFrame, path: str, years: list[int]) -> None:
     drop_years(rows.sparkSession, path, [year for year in years if year not in written])
 
 
-def gold_write_incremental(
-    rows: DataFrame, path: str, years: list[int], spread: bool = True
-) -> None:
-    """Rewrite only the affected years from the merged table.
-
-    Rows that come from a table partitioned by year already lie together;
-    spread=False then saves the shuffle.
-    """
+def gold_write_incremental(rows: DataFrame, path: str, years: list[int]) -> None:
+    """Rewrite only the affected years from the merged table."""
     affected = rows.where(F.col(YEAR).isin([int(year) for year in years]))
-    laid_out = spread_by_year(affected) if spread else affected
-    replace_years(laid_out.sortWithinPartitions(YEAR, KEY), path, years)
+    replace_years(spread_by_year(affected).sortWithinPartitions(YEAR, KEY), path, years)
 
 
 def gold_partition_upsert(existing: DataFrame, updated: DataFrame) -> DataFrame:

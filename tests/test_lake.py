@@ -24,7 +24,7 @@ def test_pages(spark, landing):
     write_page(landing, 3, [])
     rows = pages.bronze_scan(spark, str(landing))
     assert rows.count() == 3
-    assert rows.where("id_contrato = 'CO-001'").first()["urlproceso"].startswith('{"url"')
+    assert rows.where("id_contrato = 'PX-17/A'").first()["urlproceso"].startswith('{"url"')
 
 
 def test_pages_missing_or_empty(spark, tmp_path):

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import PAGE_1, PAGE_2, write_page
+from tendergrid.functions import money
 from tendergrid.operators import quality
 from tendergrid.plans import loads, marts
 from tendergrid.plans.loads import Lake
@@ -28,14 +29,14 @@ def mart_content(spark, target):
 def test_full_load(spark, landing, tmp_path):
     target = Lake(str(tmp_path / "lake"))
     summary = loads.load(spark, str(landing), target)
-    assert summary["years"] == {2023: 1, 2024: 2} and summary["extract_records"] == 3
-    assert summary["watermark"] == "2024-06-02T00:00:00.000"
+    assert summary["years"] == {2021: 1, 2022: 2} and summary["extract_records"] == 3
+    assert summary["watermark"] == "2023-03-08T00:00:00.000"
     assert summary["marts"] == {"mart_entidades": 3, "mart_proveedores": 3, "mart_temporal": 3, "mart_modalidades": 3}
     rows = {r["id_contrato"]: r for r in spark.read.parquet(target.gold).collect()}
-    assert rows["CO-001"]["valor_contrato"] == 150000000.0 and rows["CO-003"]["valor_contrato"] == 3e8
-    assert rows["CO-002"]["nombre_entidad"] == "Secretaría de Educación"
-    assert rows["CO-001"]["url_proceso"] == "https://example.org/1"
-    assert rows["CO-001"]["fecha_firma"] == dt.date(2023, 1, 15)
+    assert rows["PX-17/A"]["valor_contrato"] == 4310.25 and rows["QZ-3"]["valor_contrato"] == 12000.5
+    assert rows["PX-18"]["nombre_entidad"] == "Archivo Ñuble"
+    assert rows["PX-17/A"]["url_proceso"] == "https://example.org/px17"
+    assert rows["PX-17/A"]["fecha_firma"] == dt.date(2021, 9, 30)
 
 
 def test_missing_pages(spark, tmp_path):
@@ -44,11 +45,11 @@ def test_missing_pages(spark, tmp_path):
 
 
 def next_batch(folder):
-    moved = PAGE_1[0] | {"fecha_de_firma": "2022-02-02T00:00:00.000", "ultima_actualizacion": "2024-07-01T00:00:00.000"}
-    paid = PAGE_2[0] | {"valor_pagado": "7.00", "ultima_actualizacion": "2024-07-02T00:00:00.000"}
-    older = paid | {"valor_pagado": "3.00", "ultima_actualizacion": "2024-06-30T00:00:00.000"}
-    fresh = PAGE_2[0] | {"id_contrato": "CO-004", "ultima_actualizacion": "2024-07-03T00:00:00.000"}
-    unchanged = PAGE_1[1] | {"ultima_actualizacion": "2024-07-09T00:00:00.000"}
+    moved = PAGE_1[0] | {"fecha_de_firma": "2020-05-05T00:00:00.000", "ultima_actualizacion": "2023-04-01T00:00:00.000"}
+    paid = PAGE_2[0] | {"valor_pagado": "12.50", "ultima_actualizacion": "2023-04-02T00:00:00.000"}
+    older = paid | {"valor_pagado": "3.00", "ultima_actualizacion": "2023-03-30T00:00:00.000"}
+    fresh = PAGE_2[0] | {"id_contrato": "QZ-4", "ultima_actualizacion": "2023-04-03T00:00:00.000"}
+    unchanged = PAGE_1[1] | {"ultima_actualizacion": "2023-04-09T00:00:00.000"}
     folder.mkdir()
     write_page(folder, 1, [moved, paid, older])
     write_page(folder, 2, [fresh, unchanged, {"nombre_entidad": "sin llave"}])
@@ -61,12 +62,12 @@ def test_batch(spark, landing, tmp_path):
     folder = next_batch(tmp_path / "next")
     summary = loads.load(spark, str(folder), target)
     assert [summary[k] for k in ("inserted_records", "updated_records", "unchanged_records", "rejected_records")] == [1, 2, 1, 1]
-    assert summary["years_affected"] == [2022, 2023, 2024] and summary["silver_records"] == 4
-    assert summary["watermark"] == "2024-07-09T00:00:00.000"
+    assert summary["years_affected"] == [2020, 2021, 2022] and summary["silver_records"] == 4
+    assert summary["watermark"] == "2023-04-09T00:00:00.000"
     gold = {r[0]: r[1:] for r in content(spark, target.gold)}
-    assert {k: v[0] for k, v in gold.items()} == {"CO-001": 2022, "CO-002": 2024, "CO-003": 2024, "CO-004": 2024}
-    assert gold["CO-003"][2] == 7.0
-    assert not (tmp_path / "lake" / "gold" / "anio=2023").exists()
+    assert {k: v[0] for k, v in gold.items()} == {"PX-17/A": 2020, "PX-18": 2022, "QZ-3": 2022, "QZ-4": 2022}
+    assert gold["QZ-3"][2] == 12.5
+    assert not (tmp_path / "lake" / "gold" / "anio=2021").exists()
     assert content(spark, target.silver) == content(spark, target.gold)
     for mart in marts.MARTS:
         full = mart.build(spark.read.parquet(target.gold))
@@ -135,8 +136,36 @@ def test_page_feed_takes_every_page_once(spark, landing, tmp_path):
     assert len(content(spark, target.gold)) == 3
     follow_pages(spark, str(landing), target, progress).awaitTermination()
     assert run_log.run_history(spark, target.runs).count() == 1
-    write_page(landing, 3, [PAGE_2[0] | {"id_contrato": "CO-009"}, PAGE_2[0] | {"valor_pagado": "1"}])
+    write_page(landing, 3, [PAGE_2[0] | {"id_contrato": "QZ-9"}, PAGE_2[0] | {"valor_pagado": "1"}])
     follow_pages(spark, str(landing), target, progress).awaitTermination()
     state = run_log.latest_state(run_log.run_history(spark, target.runs)).first()
     assert (state["inserted_records"], state["updated_records"]) == (1, 1)
     assert len(content(spark, target.gold)) == 4
+
+
+def test_a_full_load_without_keys_changes_nothing(spark, landing, tmp_path):
+    target = Lake(str(tmp_path / "lake"))
+    loads.load(spark, str(landing), target)
+    before = content(spark, target.silver), content(spark, target.gold)
+    folder = tmp_path / "keyless"
+    folder.mkdir()
+    write_page(folder, 1, [{"nombre_entidad": "sin llave"}])
+    with pytest.raises(quality.DataQualityError):
+        loads.load_full(spark, pages.bronze_scan(spark, str(folder)), target)
+    assert (content(spark, target.silver), content(spark, target.gold)) == before
+
+
+def test_a_bad_mart_does_not_replace_a_good_one(spark, tmp_path):
+    mart = marts.MART["mart_temporal"]
+    good = spark.createDataFrame([(2020, 3, 1, 5.0, 5.0)], "anio int, mes int, total_contratos bigint, valor_total double, valor_promedio double")
+    assert marts.mart_write(mart, good, str(tmp_path)) == 1
+    with pytest.raises(quality.DataQualityError):
+        marts.mart_write(mart, good.selectExpr("anio", "13 AS mes", "total_contratos", "valor_total", "valor_promedio"), str(tmp_path))
+    assert [r["mes"] for r in marts.mart_read(spark, mart, str(tmp_path)).collect()] == [3]
+
+
+def test_an_amount_too_large_is_an_error(spark):
+    rows = spark.createDataFrame([(1e27,), (5.0,)], "v double")
+    for figure in (money.total("v"), money.mean("v")):
+        with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE"):
+            rows.agg(figure).collect()

@@ -71,8 +71,8 @@ def test_random_batches_against_dictionaries(spark, seed):
     assert merge.merge_metrics(again).first().asDict() == {"inserted": 0, "updated": 0, "unchanged": len(latest)}
     parts = [f(existing, incoming).count() for f in (merge.merge_inserts, merge.merge_updates, merge.merge_unchanged)]
     assert sum(parts) == len(latest)
-    for small in (False, True):
-        changes = merge.classify(existing, merge.latest_versions(incoming), small_batch=small)
+    for keys in (None, incoming.select("id_contrato").where("id_contrato IS NOT NULL")):
+        changes = merge.classify(existing, merge.latest_versions(incoming), keys)
         counts = merge.merge_metrics(changes).first()
         assert [counts["inserted"], counts["updated"], counts["unchanged"]] == parts
 
@@ -118,3 +118,11 @@ def test_cast_failures(spark):
     rows = spark.createDataFrame([("x", "5"), (None, "N/A"), ("2023-01-01", None)], "fecha_de_firma string, valor_pagado string")
     found = {r["columna"]: (r["con_texto"], r["sin_convertir"]) for r in quality.cast_failure_report(rows).collect()}
     assert found == {"fecha_firma": (2, 1), "valor_pagado": (2, 1)}
+
+
+def test_older_rows_do_not_win(spark):
+    old = frame(spark, [("a", "h1", 2024, "2024-09-01"), ("b", "h1", 2024, None)])
+    new = frame(spark, [("a", "h2", 2023, "2024-01-01"), ("b", "h2", 2023, "2020-01-01")])
+    assert merge.merge_metrics(merge.classify(old, new)).first().asDict() == {"inserted": 0, "updated": 1, "unchanged": 1}
+    assert [r["id_contrato"] for r in merge.merge_updates(old, new).collect()] == ["b"]
+    assert {(r["id_contrato"], r["row_hash"]) for r in merge.merge_silver(old, new).collect()} == {("a", "h1"), ("b", "h2")}
