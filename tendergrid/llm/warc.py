@@ -32,6 +32,7 @@ from tendergrid.llm import common
 
 LEAST_BYTES = 1000
 ARCHIVE_BYTES = 16 << 20
+MOST_TASKS = 20_000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 # Fixed signatures and sizes of the ZIP format.
 _END, _END64, _LOCATOR, _ENTRY, _LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -273,9 +274,11 @@ def read(spark: SparkSession, archives: DataFrame) -> DataFrame:
                 if rows:
                     yield _frame(rows)
 
-    # One task per archive: an archive is bounded by ARCHIVE_BYTES and its last record.
-    paths = archives.select("path").repartition(F.col("path"))
-    return paths.mapInPandas(run, RECORD)
+    # A task per archive, which is bounded by ARCHIVE_BYTES and its last record; beyond
+    # MOST_TASKS archives a task reads several. A stated number keeps the few bytes of
+    # the list from being merged into one task.
+    tasks = min(max(archives.count(), 1), MOST_TASKS)
+    return archives.select("path").repartition(tasks).mapInPandas(run, RECORD)
 
 
 def _frame(rows) -> pd.DataFrame:
