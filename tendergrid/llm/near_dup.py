@@ -10,9 +10,11 @@ the threshold leaves, gives L / (n + m - L) >= SIMILARITY.
 All pairs of a bucket are never listed. A pass compares the texts of a bucket
 with one leader, drawn by a hash salted with the bucket, so that a text meets another leader in each of
 its buckets; the links give classes; texts whose class no leader of the bucket
-has are open, and the next pass draws its leader among them and compares it with all others. Buckets still open after
-PASSES (one) are split by the next sketch as well, and at the last level the
-passes go on until nothing is open. Classes are connected components of the
+has are open, and the next pass draws its leaders among them and compares them with all others. Buckets still open after
+PASSES (one) are split by the next sketch as well. At the last level the
+passes go on until nothing is open; there each pass draws GROWTH times as many
+leaders as the one before, of different classes, so that the number of passes
+grows with the logarithm of the unlike texts in a bucket. Classes are connected components of the
 links, found by alternating large and small stars. Links, classes and pairs stay distributed.
 
 Rows of equal text are one entry from the start, so a group of copies costs one
@@ -25,7 +27,7 @@ ties need no order. An empty table gives an empty result.
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +38,8 @@ SKETCHES = 16
 KEPT = 4
 SIMILARITY = 0.8
 PASSES = 1
-LEVELS = 3
+LEVELS = 2
+GROWTH = 8
 # Shingles above which sketches are made one after another, to bound memory.
 LONG = 50_000
 
@@ -157,9 +160,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = common.staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     while True:
         # Done when the links are stars: a node points to one centre, and no centre points on.
-        tops = edges.select(F.col("v").alias("u"), F.lit(1).alias("centre"), F.lit(0).alias("points")).distinct()
+        tops = edges.select(F.col("v").alias("u"), F.lit(1).alias("centre"), F.lit(0).alias("points"))
         roles = tops.unionByName(edges.select("u", F.lit(0).alias("centre"), F.lit(1).alias("points")))
-        if roles.groupBy("u").agg(F.sum("centre").alias("c"), F.sum("points").alias("p")).where("c + p > 1").isEmpty():
+        if roles.groupBy("u").agg(F.max("centre").alias("c"), F.sum("points").alias("p")).where("c + p > 1").isEmpty():
             break
         # Large star: every larger neighbour of a node points to the smallest of its neighbours and itself.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -226,9 +229,12 @@ def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         narrow, done = members, 0
         state = _with_class(members, found).withColumn("open", F.lit(True))
         while True:
+            # One candidate for each class with open rows, so that leaders of a pass are of different classes.
             order = F.struct(F.xxhash64("key", "bucket"), "key", "class", "n")
-            leaders = state.where("open").groupBy("bucket").agg(F.min(order).alias("_l"))
-            leaders = common.staged(leaders.select(
+            drawn = state.where("open").groupBy("bucket", "class").agg(F.min(order).alias("_l")).select("bucket", "_l")
+            first = Window.partitionBy("bucket").orderBy("_l")
+            drawn = drawn.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= (GROWTH ** (done + 1) if level == LEVELS else 1))
+            leaders = common.staged(drawn.select(
                 "bucket", F.col("_l.key").alias("leader"), F.col("_l.class").alias("leader_class"), F.col("_l.n").alias("leader_n")
             ), "leaders")
             met = state.join(leaders, "bucket")
@@ -247,9 +253,9 @@ def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
             done += 1
             # Open: rows that no leader of their bucket, so far, shares a class with.
             led = leaders.select("bucket", F.col("leader").alias("key"))
-            led = _with_class(led, found).select("bucket", F.col("class").alias("led"))
-            state = _with_class(state, found).join(led, "bucket", "left")
-            state = common.staged(state.withColumn("open", F.col("open") & F.col("led").isNotNull() & (F.col("class") != F.col("led"))).drop("led"), "state")
+            led = _with_class(led, found).select("bucket", "class", F.lit(True).alias("led")).distinct()
+            state = _with_class(state, found).join(led, ["bucket", "class"], "left")
+            state = common.staged(state.withColumn("open", F.col("open") & F.col("led").isNull()).drop("led"), "state")
             waiting = state.where("open").select("bucket").distinct()
             if waiting.isEmpty():
                 narrow = None
