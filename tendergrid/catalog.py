@@ -605,7 +605,7 @@ def stats_overview(spark, folder):
         spark, folder, "nit_entidad", "documento_proveedor", "valor_contrato", "valor_pagado",
         "fecha_firma", UPDATED_AT,
     )
-    return rollups.stats_overview(rows, merge.new_watermark(rows))
+    return rollups.stats_overview(rows)
 
 
 @query

@@ -18,6 +18,10 @@ def with_key(rows: DataFrame) -> DataFrame:
     return rows.where(F.col(KEY).isNotNull())
 
 
+def without_key(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col(KEY).isNull())
+
+
 def rejected_count(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(F.col(KEY).isNull()).alias("rechazados"))
 

@@ -106,3 +106,9 @@ def updated_since(rows: DataFrame, watermark: str | None, days: int = LOOKBACK_D
     """Rows an incremental run has to look at; everything when there is no watermark."""
     start = lookback(watermark, days)
     return rows if start is None else rows.where(F.col(UPDATED_AT) >= start)
+
+
+def due_since(rows: DataFrame, watermark: str | None, days: int = LOOKBACK_DAYS) -> DataFrame:
+    """updated_since, and the rows that do not say when they were updated: a load must not lose them."""
+    start = lookback(watermark, days)
+    return rows if start is None else rows.where(F.col(UPDATED_AT).isNull() | (F.col(UPDATED_AT) >= start))

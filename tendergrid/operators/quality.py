@@ -116,19 +116,22 @@ def cast_failure_report(pages: DataFrame) -> DataFrame:
 
 
 def quality_rules(rows: DataFrame) -> DataFrame:
-    """Violations of the data-dictionary rules, one row per rule."""
-    per_key = rows.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
-    single = rows.agg(
+    """Violations of the data-dictionary rules, one row per rule; counted per key first, so one pass is enough."""
+    per_key = rows.groupBy(KEY).agg(
+        F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("nit_entidad").isNull()).alias("nit_entidad_nulo"),
-        F.count_if(F.col(KEY).isNull()).alias("id_contrato_nulo"),
         F.count_if(F.col("valor_contrato").isNull()).alias("valor_contrato_no_numerico"),
         F.count_if(F.col("valor_contrato") < 0).alias("valor_contrato_negativo"),
         F.count_if(F.col("fecha_firma").isNull()).alias("fecha_firma_invalida"),
     )
-    repeated = per_key.agg(F.count_if(F.col("n") > 1).alias("violaciones")).select(
-        F.lit("id_contrato_repetido").alias("regla"), "violaciones"
+    added = [name for name in per_key.columns if name not in (KEY, "n")]
+    no_key = F.col(KEY).isNull()
+    totals = per_key.agg(
+        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in added],
+        F.coalesce(F.sum(F.when(no_key, F.col("n"))), F.lit(0)).alias("id_contrato_nulo"),
+        F.count_if(~no_key & (F.col("n") > 1)).alias("id_contrato_repetido"),
     )
     rules = F.array(
-        *[F.struct(F.lit(c).alias("regla"), F.col(c).alias("violaciones")) for c in single.columns]
+        *[F.struct(F.lit(c).alias("regla"), F.col(c).alias("violaciones")) for c in totals.columns]
     )
-    return single.select(F.inline(rules)).unionByName(repeated)
+    return totals.select(F.inline(rules))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import derived, money
-from ..schemas import YEAR
+from ..schemas import UPDATED_AT, YEAR
 from .predicates import entity_matches, present, supplier_matches
 
 
@@ -80,7 +80,13 @@ def year_range(contracts: DataFrame) -> DataFrame:
 
 
 def stats_overview(contracts: DataFrame, state: DataFrame | None = None) -> DataFrame:
-    """All global counts and sums from one scan, with the watermark of the latest run if given."""
+    """All global counts and sums from one scan.
+
+    The last update is the watermark of the latest run if given, else the
+    greatest update time of the rows, if they carry one.
+    """
+    known = UPDATED_AT in contracts.columns
+    latest = F.max(UPDATED_AT) if known else F.lit(None).cast("string")
     row = contracts.agg(
         money.contract_count(),
         _distinct("nit_entidad", "total_entidades"),
@@ -88,9 +94,11 @@ def stats_overview(contracts: DataFrame, state: DataFrame | None = None) -> Data
         money.total_or_zero("valor_contrato").alias("valor_total_contratado"),
         money.total_or_zero("valor_pagado").alias("valor_total_pagado"),
         *_year_bounds(),
+        latest.alias("ultima_actualizacion"),
     )
-    updated = F.lit(None).cast("string") if state is None else state.select("watermark").scalar()
-    return row.select("*", updated.alias("ultima_actualizacion"))
+    if state is None:
+        return row
+    return row.withColumn("ultima_actualizacion", state.select("watermark").scalar())
 
 
 def count_unique_contractors(contracts: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import merge
-from ..operators.predicates import updated_since, years_in
+from ..operators.predicates import due_since, years_in
 from ..operators.quality import check_row_count, silver_validate
 from ..operators.transform import bronze_to_silver
 from ..schemas import KEY, RUN_HISTORY_SCHEMA, UPDATED_AT, YEAR
@@ -42,6 +42,10 @@ class Lake:
     def runs(self) -> str:
         return self._under("runs")
 
+    @property
+    def rejected(self) -> str:
+        return self._under("rejected")
+
 
 def _now() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc)
@@ -69,6 +73,12 @@ class _Run:
         return entry
 
 
+def _quarantine(rows: DataFrame, run: _Run) -> None:
+    """Keep the rows without a key, with the run that met them and the reason."""
+    kept = merge.without_key(rows).withColumns({"run_id": F.lit(run.run_id), "motivo": F.lit(f"{KEY} nulo")})
+    kept.write.mode("append").parquet(run.target.rejected)
+
+
 def _stored(rows: DataFrame, purpose: str) -> tuple[DataFrame, str]:
     """Write rows to the shared work folder and read them from there.
 
@@ -98,6 +108,8 @@ def load_full(spark: SparkSession, landed: DataFrame, target: Lake) -> dict:
         )
         fresh, path = _stored(merge.latest_versions(typed), "full")
         scratch.append(path)
+        if seen.get["rejected"]:
+            _quarantine(bronze_to_silver(landed), run)
         silver_validate(fresh)
         lake.silver_write(fresh, target.silver, replace=True)
         silver = lake.silver_scan(spark, target.silver)
@@ -150,7 +162,7 @@ def load_batch(
     run = _Run(spark, target)
     scratch = []
     try:
-        typed, path = _stored(updated_since(bronze_to_silver(landed), since), "batch")
+        typed, path = _stored(due_since(bronze_to_silver(landed), since), "batch")
         scratch.append(path)
         silver = lake.silver_scan(spark, target.silver)
         keys = merge.with_key(typed).select(KEY)
@@ -163,6 +175,8 @@ def load_batch(
             F.count_if(F.col(KEY).isNull()).alias("rejected"),
             F.max(UPDATED_AT).alias("watermark"),
         ).first()
+        if extracted["rejected"]:
+            _quarantine(typed, run)
 
         replaced = verdict.where(F.col(merge.ACTION) == merge.UPDATED).select(KEY)
         before = silver.count()
@@ -206,8 +220,13 @@ def load_batch(
 
 
 def load(spark: SparkSession, pages_folder: str, target: Lake, files: str = pages.PAGE_FILES) -> dict:
-    """Full load on the first run or when no watermark is known, otherwise an upsert."""
+    """Full load on the first run or when no watermark is known, otherwise an upsert.
+
+    An upsert looks at what was updated since the watermark of the last
+    completed run, less the lookback, and at rows without an update time.
+    """
     landed = pages.bronze_scan(spark, pages_folder, files)
-    if run_log.full_load_needed(run_log.run_history(spark, target.runs)).first()[0]:
+    state = run_log.latest_state(run_log.run_history(spark, target.runs)).first()
+    if state is None or state["watermark"] is None:
         return load_full(spark, landed, target)
-    return load_batch(spark, landed, target)
+    return load_batch(spark, landed, target, since=state["watermark"])

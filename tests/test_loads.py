@@ -74,12 +74,26 @@ def test_batch(spark, landing, tmp_path):
         stored = spark.read.parquet(mart.path(target.marts)).select(*full.columns)
         assert stored.exceptAll(full).isEmpty() and full.exceptAll(stored).isEmpty()
 
+    kept = spark.read.parquet(target.rejected).collect()
+    assert [(r["nombre_entidad"], r["motivo"]) for r in kept] == [("sin llave", "id_contrato nulo")]
+
     before = content(spark, target.gold), mart_content(spark, target)
     again = loads.load(spark, str(folder), target)
     assert (again["inserted_records"], again["updated_records"], again["years_affected"]) == (0, 0, [])
     assert (content(spark, target.gold), mart_content(spark, target)) == before
 
 
+def test_a_growing_folder_is_read_from_the_watermark_on(spark, landing, tmp_path):
+    target = Lake(str(tmp_path / "lake"))
+    loads.load(spark, str(landing), target)
+    late = PAGE_2[0] | {"id_contrato": "QZ-7", "ultima_actualizacion": "2023-03-05T00:00:00.000"}
+    undated = {k: v for k, v in PAGE_2[0].items() if k != "ultima_actualizacion"} | {"id_contrato": "QZ-8"}
+    write_page(landing, 3, [late, undated])
+    summary = loads.load(spark, str(landing), target)
+    # The two contracts of the first page lie before the lookback.
+    assert (summary["extract_records"], summary["inserted_records"], summary["unchanged_records"]) == (3, 2, 1)
+
+
 def test_interrupted_batch_is_finished_by_the_next_run(spark, landing, tmp_path, monkeypatch):
     target, twin = Lake(str(tmp_path / "lake")), Lake(str(tmp_path / "twin"))
     for each in (target, twin):
