@@ -7,15 +7,15 @@ Texts that agree in a sketch meet in its bucket; a pair is a link if the longest
 common subsequence L of their labelled shingles, aligned within the band that
 the threshold leaves, gives L / (n + m - L) >= SIMILARITY.
 
-All pairs of a bucket are never listed. A pass compares the texts of a bucket
-with one leader, drawn by a hash salted with the bucket, so that a text meets another leader in each of
-its buckets; the links give classes; texts whose class no leader of the bucket
-has are open, and the next pass draws its leaders among them and compares them with all others. Buckets still open after
-PASSES (one) are split by the next sketch as well. At the last level the
-passes go on until nothing is open; there each pass draws GROWTH times as many
-leaders as the one before, of different classes, so that the number of passes
-grows with the logarithm of the unlike texts in a bucket. Classes are connected components of the
-links, found by alternating large and small stars. Links, classes and pairs stay distributed.
+One pass compares the texts of a bucket with one leader, drawn by a hash salted
+with the bucket, so that a text meets another leader in each of its buckets; it
+joins large groups cheaply. Then every bucket that holds more than one class is
+compared in full: each two of its texts that are of different classes are aligned
+unless sizes or shared labels rule a link out, or classes have met meanwhile. A
+bucket is cut into salted blocks, and a task holds two blocks at a time; the
+largest class of a bucket is not compared with itself. So texts that share
+a bucket lose no link. Classes are connected components
+of the links, found by alternating large and small stars. Links, classes and pairs stay distributed.
 
 Rows of equal text are one entry from the start, so a group of copies costs one
 row per copy. Null text counts as empty; equal texts are always one class, and
@@ -27,7 +27,7 @@ ties need no order. An empty table gives an empty result.
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,9 +37,9 @@ SHINGLE = 5
 SKETCHES = 16
 KEPT = 4
 SIMILARITY = 0.8
-PASSES = 1
-LEVELS = 2
-GROWTH = 8
+# A block of a bucket holds about so many texts, and about so many labels, at most.
+BLOCK_ROWS = 500
+BLOCK_LABELS = 1_000_000
 # Shingles above which sketches are made one after another, to bound memory.
 LONG = 50_000
 
@@ -205,68 +205,131 @@ def _texts(documents: DataFrame, keys: DataFrame, wanted: DataFrame) -> DataFram
     return met.dropDuplicates(["none", "id", "key"]).select("key", "text")
 
 
+def _block_links(labels: list[np.ndarray], classes: list[str], second: np.ndarray) -> list[tuple[str, str]]:
+    """Links that join classes: rows of the first block against those of the second, or all rows if there is none."""
+    parent = {c: c for c in classes}
+
+    def top(c):
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    order = np.argsort([len(x) for x in labels], kind="stable")
+    labels, classes, second = [labels[i] for i in order], [classes[i] for i in order], second[order]
+    sizes = np.array([len(x) for x in labels])
+    apart = second.any()
+    left = np.flatnonzero(~second)
+    right = np.flatnonzero(second) if apart else left
+    _, flat = np.unique(np.concatenate(labels), return_inverse=True)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    own = [flat[ends[i] : ends[i + 1]] for i in range(len(labels))]
+    others = np.concatenate([own[i] for i in right])
+    starts = np.concatenate([[0], np.cumsum(sizes[right])])
+    seen = np.zeros(int(flat.max()) + 1, bool)
+    out = []
+    for at, i in enumerate(left):
+        # Sizes rise, so the rows whose size lets them link lie together.
+        a = np.searchsorted(sizes[right], np.ceil(sizes[i] * SIMILARITY - 1e-9)) if apart else at + 1
+        b = np.searchsorted(sizes[right], np.floor(sizes[i] / SIMILARITY + 1e-9), "right")
+        if a >= b:
+            continue
+        seen[own[i]] = True
+        shared = np.add.reduceat(seen[others[starts[a] : starts[b]]], starts[a:b] - starts[a], dtype=np.int64)
+        seen[own[i]] = False
+        need = SIMILARITY / (1 + SIMILARITY) * (sizes[i] + sizes[right[a:b]]) - 1e-9
+        for j in right[a:b][shared >= need]:
+            mine, its = top(classes[i]), top(classes[j])
+            if mine != its and similarity(labels[i], labels[j]) > 0:
+                parent[mine] = its
+                out.append((classes[i], classes[j]))
+    return out
+
+
+def _in_full(state: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of every bucket of state (key, n, bucket, class), all of its pairs compared."""
+    held = state.groupBy("bucket", "class").agg(
+        F.count("*").alias("c"), F.sum("n").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("x")
+    )
+    plan = held.groupBy("bucket").agg(
+        F.count("*").alias("classes"), F.sum("c").alias("c"), F.sum("n").alias("n"), F.sum("h").alias("h"), F.bit_xor("x").alias("x"),
+        F.max(F.struct("n", "c", "class")).alias("most"),
+    ).where("classes > 1")
+    # Buckets of the same texts are one.
+    plan = plan.groupBy("c", "n", "h", "x", "most").agg(F.min("bucket").alias("bucket"))
+
+    def blocks(c, n):
+        return F.greatest(F.ceil(c / BLOCK_ROWS), F.ceil(n / BLOCK_LABELS)).cast("int")
+
+    plan = plan.withColumn("all", blocks(F.col("c"), F.col("n"))).select(
+        "bucket", F.col("most.class").alias("main"),
+        F.when(F.col("all") == 1, 1).otherwise(blocks(F.col("c") - F.col("most.c"), F.col("n") - F.col("most.n"))).alias("rest"),
+        F.when(F.col("all") == 1, 0).otherwise(blocks(F.col("most.c"), F.col("most.n"))).alias("mains"),
+    )
+    rows = state.join(common.staged(plan, "bucket-plan"), "bucket")
+    salt = F.xxhash64(F.lit(2), "key", "bucket")
+    is_main = (F.col("class") == F.col("main")) & (F.col("mains") > 0)
+    block = F.when(is_main, F.col("rest") + F.pmod(salt, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(salt, F.col("rest"))).cast("int")
+    rows = rows.withColumn("block", block).withColumn("till", F.when(is_main, F.col("rest")).otherwise(F.col("rest") + F.col("mains")))
+    words = texts.select("key", F.expr(words_of("text")).alias("words"))
+    met = rows.select("key", "bucket", "class", "block", "till").join(words, "key")
+    met = met.withColumn("other", F.explode(F.expr("sequence(0, till - 1)"))).select(
+        "bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "class", "words"
+    )
+    dealt = met.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+
+    def run(batches):
+        group, labels, classes, second = None, [], [], []
+
+        def ended():
+            links = _block_links(labels, classes, np.array(second)) if len(set(classes)) > 1 and (group[1] == group[2] or 0 < sum(second) < len(second)) else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.string()), pa.array([y for _, y in links], pa.string())], ["a", "b"])
+
+        for batch in batches:
+            lists = batch.column("words")
+            flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            heads = zip(*(batch.column(c).to_pylist() for c in ("bucket", "p", "q", "block", "class")), strict=True)
+            for (bucket, p, q, own, its), a, b in zip(heads, ends[:-1], ends[1:], strict=True):
+                if (bucket, p, q) != group:
+                    if labels:
+                        yield ended()
+                    group, labels, classes, second = (bucket, p, q), [], [], []
+                labels.append(labelled(flat[a:b]))
+                classes.append(its)
+                second.append(p != q and own == q)
+        if labels:
+            yield ended()
+
+    return dealt.mapInArrow(run, "a string, b string").distinct()
+
+
 def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Staged: doc_id and key (of the text) of every row; class_id of every key."""
     documents = documents.select("doc_id", "text")
     keys = common.staged(documents.select("doc_id", _key().alias("key")), "near-keys")
     sketched = _sketched(documents.select(_key().alias("key"), common.text_or_empty().alias("text")))
     sketched = common.staged(sketched.groupBy("key").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches")), "sketches")
-    found = texts = narrow = None
-    for level in range(1, LEVELS + 1):
-        # A bucket of this level: that many sketches in a row, beginning with each.
-        own = sketched if narrow is None else sketched.join(narrow.select("key").distinct(), "key")
-        joint = [F.xxhash64(F.lit(i), *[F.col("sketches")[(i + j) % SKETCHES] for j in range(level)]) for i in range(SKETCHES)]
-        before = [F.xxhash64(F.lit(i), *[F.col("sketches")[(i + j) % SKETCHES] for j in range(level - 1)]) for i in range(SKETCHES)]
-        rows = own.select("key", "n", F.explode(F.arrays_zip(F.array(*joint).alias("b"), F.array(*before).alias("a"))).alias("_s"))
-        rows = rows.select("key", "n", F.col("_s.b").alias("bucket"), F.col("_s.a").alias("wider"))
-        if narrow is not None:
-            still = narrow.select(F.col("bucket").alias("wider")).distinct()
-            rows = rows.join(still, "wider", "left_semi")
-        many = rows.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-        members = common.staged(rows.select("key", "n", "bucket").join(many, "bucket", "left_semi"), "members")
-        if texts is None:
-            texts = common.staged(_texts(documents, keys, members.select("key").distinct()), "near-texts")
-        narrow, done = members, 0
-        state = _with_class(members, found).withColumn("open", F.lit(True))
-        while True:
-            # One candidate for each class with open rows, so that leaders of a pass are of different classes.
-            order = F.struct(F.xxhash64("key", "bucket"), "key", "class", "n")
-            drawn = state.where("open").groupBy("bucket", "class").agg(F.min(order).alias("_l")).select("bucket", "_l")
-            first = Window.partitionBy("bucket").orderBy("_l")
-            drawn = drawn.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= (GROWTH ** (done + 1) if level == LEVELS else 1))
-            leaders = common.staged(drawn.select(
-                "bucket", F.col("_l.key").alias("leader"), F.col("_l.class").alias("leader_class"), F.col("_l.n").alias("leader_n")
-            ), "leaders")
-            met = state.join(leaders, "bucket")
-            fits = F.least("n", "leader_n") >= F.greatest("n", "leader_n") * SIMILARITY - 1e-9
-            pairs = met.where((F.col("class") != F.col("leader_class")) & fits).select(
-                F.col("leader").alias("a"), F.col("key").alias("b"), F.col("leader_class").alias("ca"), F.col("class").alias("cb")
-            ).distinct()
-            words = texts.select("key", F.expr(words_of("text")).alias("w"))
-            compared = pairs.join(words.select(F.col("key").alias("b"), F.col("w").alias("wb")), "b").join(
-                words.select(F.col("key").alias("a"), F.col("w").alias("wa")), "a"
-            )
-            linked = compared.select("ca", "cb", _likeness("wa", "wb").alias("s")).where("s > 0")
-            fresh = common.staged(linked.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
-            if not fresh.isEmpty():
-                found = _merged(found, fresh)
-            done += 1
-            # Open: rows that no leader of their bucket, so far, shares a class with.
-            led = leaders.select("bucket", F.col("leader").alias("key"))
-            led = _with_class(led, found).select("bucket", "class", F.lit(True).alias("led")).distinct()
-            state = _with_class(state, found).join(led, ["bucket", "class"], "left")
-            state = common.staged(state.withColumn("open", F.col("open") & F.col("led").isNull()).drop("led"), "state")
-            waiting = state.where("open").select("bucket").distinct()
-            if waiting.isEmpty():
-                narrow = None
-                break
-            # Rows of buckets that are settled need no further look.
-            state = state.join(waiting, "bucket", "left_semi")
-            if done == PASSES and level < LEVELS:
-                narrow = common.staged(state.select("bucket", "key"), "narrow")
-                break
-        if narrow is None:
-            break
+    # A sketch holds its own number, so that it names a bucket.
+    rows = sketched.select("key", "n", F.explode("sketches").alias("bucket"))
+    many = rows.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+    members = common.staged(rows.join(many, "bucket", "left_semi"), "members")
+    texts = common.staged(_texts(documents, keys, members.select("key").distinct()), "near-texts")
+    order = F.struct(F.xxhash64("key", "bucket"), "key", "n")
+    leaders = members.groupBy("bucket").agg(F.min(order).alias("_l"))
+    leaders = common.staged(leaders.select("bucket", F.col("_l.key").alias("leader"), F.col("_l.n").alias("leader_n")), "leaders")
+    fits = F.least("n", "leader_n") >= F.greatest("n", "leader_n") * SIMILARITY - 1e-9
+    pairs = members.join(leaders, "bucket").where((F.col("key") != F.col("leader")) & fits)
+    pairs = pairs.select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+    words = texts.select("key", F.expr(words_of("text")).alias("w"))
+    compared = pairs.join(words.select(F.col("key").alias("b"), F.col("w").alias("wb")), "b").join(
+        words.select(F.col("key").alias("a"), F.col("w").alias("wa")), "a"
+    )
+    linked = compared.select("a", "b", _likeness("wa", "wb").alias("s")).where("s > 0")
+    found = None
+    # Links with leaders first, then all that is left between the classes these give.
+    for links in (lambda: linked.select("a", "b"), lambda: _in_full(_with_class(members, found), texts)):
+        fresh = common.staged(links(), "links")
+        if not fresh.isEmpty():
+            found = _merged(found, fresh)
     smallest = keys.groupBy("key").agg(F.min("doc_id").alias("first"))
     if found is None:
         return keys, common.staged(smallest.select("key", F.col("first").alias("class_id")), "near-classes")
