@@ -50,7 +50,36 @@ def crowded():
     return out
 
 
+def families():
+    """Two groups of variants of a text, joined by one pair of texts; variants change one word each."""
+    changed, number, out = (30, 70, 110, 150), 0, []
+    places = [at for at in range(5, 195) if all(abs(at - c) >= 5 for c in changed)][:120]
+    for family in range(4):
+        first = [f"f{family}x{i}" for i in range(200)]
+        other = [f"g{family}x{i}" if i in changed else w for i, w in enumerate(first)]
+        for base in (first, other):
+            out.append((number, " ".join(base)))
+            for i, at in enumerate(places, 1):
+                out.append((number + i, " ".join([*base[:at], f"v{number}x{i}", *base[at + 1 :]])))
+            number += 1 + len(places)
+    return out
+
+
 def test_crowded_buckets_lose_no_pair(spark):
     rows = spark.createDataFrame(crowded(), "doc_id long, text string")
     labels = labels_of(rows)
     assert classes_of(rows) == components(labels, links_in_buckets(labels))
+
+
+def test_families_joined_by_one_pair(spark):
+    rows = spark.createDataFrame(families(), "doc_id long, text string")
+    labels = labels_of(rows)
+    assert classes_of(rows) == components(labels, links_in_buckets(labels))
+
+
+def test_blocks_of_a_bucket_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 7)
+    for made in (crowded(), families()):
+        rows = spark.createDataFrame(made, "doc_id long, text string")
+        labels = labels_of(rows)
+        assert classes_of(rows) == components(labels, links_in_buckets(labels))
