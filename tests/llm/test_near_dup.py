@@ -4,7 +4,7 @@ import collections
 
 import numpy as np
 
-from tendergrid.llm import near_dup
+from tendergrid.llm import common, near_dup
 
 
 def labels_of(rows):
@@ -83,3 +83,20 @@ def test_blocks_of_a_bucket_lose_no_pair(spark, monkeypatch):
         rows = spark.createDataFrame(made, "doc_id long, text string")
         labels = labels_of(rows)
         assert classes_of(rows) == components(labels, links_in_buckets(labels))
+
+
+def test_documents_against_brute_force(spark, tables):
+    """All pairs of texts by the operator's own measure; what a sketch misses shares no bucket."""
+    rows = common.table(spark, tables, "documents").select("doc_id", "text")
+    last = rows.agg({"doc_id": "max"}).head()[0]
+    base = [f"w{(i * 7919) % 4001}" for i in range(300)]
+    near = [(last + 1 + n, " ".join(w if (i + 31 * n) % 97 else f"changed{n}" for i, w in enumerate(base))) for n in range(6)]
+    rows = rows.unionByName(spark.createDataFrame(near, "doc_id long, text string"))
+    labels = labels_of(rows)
+    found = classes_of(rows)
+    linked = [(a, b) for a in labels for b in labels if a < b and near_dup.similarity(labels[a], labels[b]) > 0]
+    assert len(linked) >= 15
+    sketches = {i: set(near_dup.sketch(own)) for i, own in labels.items()}
+    met = [(a, b) for a, b in linked if sketches[a] & sketches[b]]
+    assert len(met) >= 0.99 * len(linked)
+    assert {i: found[i] for i in labels} == components(labels, met)
