@@ -12,7 +12,7 @@ number at most 4 * 3^6 and 2^11, so both fits run inside one SQL expression over
 bounded row, whatever the size of the corpus.
 
 Spans that pass the strict rule always stay; the classifier adds others that
-overlap none of them. Null text counts as empty, empty text has no spans,
+overlap none of them, nor one that it added before by start. Null text counts as empty, empty text has no spans,
 repeated rows each get their result, an empty table gives an empty result and
 a model of zeros. Only the text column (and the columns asked to be kept) is
 read, so extra columns never clash.
@@ -182,16 +182,23 @@ def decided(found: DataFrame, model: DataFrame, threshold: float = THRESHOLD) ->
         found.withColumn("_w", weights)
         .withColumn("_base", F.expr(f"array_sort(transform(filter(_found, c -> c.base), c -> {as_sorted}))"))
         .withColumn(
-            "_more",
+            "_accepted",
             F.expr(
-                f"""transform(filter(_found, c -> NOT c.base
+                f"""array_sort(transform(filter(_found, c -> NOT c.base
                    AND 1.0D / (1.0D + exp(-least(greatest({score}, -30.0D), 30.0D))) >= {threshold}D
-                   AND NOT exists(_found, b -> (b.base OR (NOT c.base AND b.start < c.start)) AND b.start < c.end AND c.start < b.end)),
-                   c -> {as_sorted})"""
+                   AND NOT exists(_found, b -> b.base AND b.start < c.end AND c.start < b.end)),
+                   c -> named_struct('start', c.start, 'end', c.end, 'kind', c.kind)))"""
+            ),
+        )
+        .withColumn(
+            "_more",
+            F.expr(
+                f"""transform(aggregate(_accepted, cast(array() AS array<struct<start:int,end:int,kind:string>>), (a, c) ->
+                   IF(exists(a, b -> b.start < c.start AND c.start < b.end), a, concat(a, array(c)))), c -> {as_sorted})"""
             ),
         )
         .withColumn("_spans", F.expr("array_sort(array_distinct(concat(_base, _more)))"))
-        .drop("_w", "_more")
+        .drop("_w", "_accepted", "_more")
     )
 
 
