@@ -1,6 +1,8 @@
 """The operators of this package as queries over the given tables, and SQL for those that SQL can express."""
 
-from tendergrid.llm import byte_bpe, mixing, near_dup, pii, quality, secret_scan, simhash, topk, url_filter, warc
+from tendergrid.llm import (
+    byte_bpe, content_sort, fill_middle, mixing, near_dup, periodic_runs, pii, quality, secret_scan, simhash, topk, url_filter, warc,
+)
 from tendergrid.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -24,6 +26,9 @@ QUERIES = {
     "op8_secrets": lambda spark, folder: secret_scan.detect(table(spark, folder, "documents")),
     "op9_quality": lambda spark, folder: quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels")),
     "op10_url_filter": lambda spark, folder: url_filter.judge(table(spark, folder, "pages")),
+    "op11_content_sort": lambda spark, folder: content_sort.classify(table(spark, folder, "documents")),
+    "op12_periodic_runs": lambda spark, folder: periodic_runs.digests(table(spark, folder, "documents")),
+    "op13_fill_middle": lambda spark, folder: fill_middle.digests(table(spark, folder, "documents")),
 }
 
 SQL = {
@@ -52,4 +57,30 @@ SQL = {
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_content_sort": """
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+            row_number() OVER (same ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op13_fill_middle": """
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+        ), d AS (
+            SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n,
+                CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+                CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+            FROM t
+        ), c AS (
+            SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                    WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM d
+        ), p AS (
+            SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM c
+        )
+        SELECT doc_id, n, form,
+            CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM p""",
 }
