@@ -70,17 +70,17 @@ def main():
 
     # The steps of a full load over stored data, the way they follow each other.
     scratch = tempfile.TemporaryDirectory(prefix="tendergrid-bench-")
-    landing, silver, gold, mart_folder = (f"{scratch.name}/{n}" for n in ("raw", "silver", "gold", "marts"))
+    landing, root = (f"{scratch.name}/{n}" for n in ("raw", "lake"))
     files = pages.write_pages(order_tables.page_rows(spark, FOLDER), landing, page_rows=10_000)
     steps = {
         "load_pages_to_silver": lambda: lake.silver_write(
-            transform.bronze_to_silver(pages.read_pages(spark, landing, files)), silver, replace=True
+            transform.bronze_to_silver(pages.read_pages(spark, landing, files)), root, replace=True
         ),
-        "load_silver_to_gold": lambda: lake.gold_write_full(lake.silver_scan(spark, silver), gold),
-        "load_build_marts": lambda: marts.build_marts(spark.read.parquet(gold), mart_folder),
+        "load_silver_to_gold": lambda: lake.gold_write_full(lake.silver_scan(spark, root), root),
+        "load_build_marts": lambda: marts.build_marts(lake.gold_scan(spark, root), root),
     }
     times |= {name: timed(step) for name, step in steps.items()}
-    rows = spark.read.parquet(gold).count()
+    rows = sum(lake.year_counts(spark, root).values())
     spark.stop()
     print(
         json.dumps(

@@ -37,8 +37,24 @@ def query(function):
     return run
 
 
+_loaded_tables = {}
+
+
+def gold(spark, folder):
+    """The contracts of the order tables as a loaded table, written once per application."""
+    key = spark.sparkContext.applicationId, folder
+    if key not in _loaded_tables or not lake.exists(spark, _loaded_tables[key]):
+        root = work_folder(spark, "contracts")
+        lake.gold_write_full(order_tables.contracts(spark, folder), root)
+        _loaded_tables[key] = root
+    return lake.gold_scan(spark, _loaded_tables[key])
+
+
 def contracts(spark, folder, *columns, until=None):
-    return order_tables.contracts(spark, folder, list(columns) or None, until)
+    """Stored contracts; as of an earlier day they are derived from the order tables."""
+    if until is not None:
+        return order_tables.contracts(spark, folder, list(columns) or None, until)
+    return gold(spark, folder).select(*columns) if columns else gold(spark, folder)
 
 
 def typed(spark, folder, until=None):
@@ -90,7 +106,7 @@ def silver_scan(spark, folder):
 
 def _gold(spark, folder, until=None):
     target = work_folder(spark, "gold")
-    lake.gold_write_full(contracts(spark, folder, until=until), target)
+    lake.gold_write_full(order_tables.contracts(spark, folder, until=until), target)
     return target
 
 
@@ -104,7 +120,7 @@ def _year_sums(gold):
 
 @query
 def gold_write_full(spark, folder):
-    return lake.rows_per_year(spark.read.parquet(_gold(spark, folder)))
+    return lake.rows_per_year(lake.gold_scan(spark, _gold(spark, folder)))
 
 
 @query
@@ -112,7 +128,7 @@ def gold_write_incremental(spark, folder):
     """Years without a change keep the amounts paid until the snapshot."""
     target = _gold(spark, folder, SNAPSHOT)
     lake.gold_write_incremental(contracts(spark, folder), target, YEARS)
-    return _year_sums(spark.read.parquet(target))
+    return _year_sums(lake.gold_scan(spark, target))
 
 
 @query
@@ -125,9 +141,7 @@ def gold_view(spark, folder):
 
 @query
 def dataset_health(spark, folder):
-    """How many files a write makes depends on the machine, so only the rows are compared."""
-    health = lake.dataset_health(spark.read.parquet(_gold(spark, folder)))
-    return health.select((F.col("parquet_files") > 0).alias("has_files"), "total_records")
+    return lake.dataset_health(spark, _gold(spark, folder))
 
 
 def _mart(name):
@@ -511,9 +525,13 @@ def year_total_join(spark, folder):
 
 @query
 def union_all(spark, folder):
-    inserted = merge.merge_inserts(*_merge_input(spark, folder))
-    updated = merge.merge_updates(*_merge_input(spark, folder))
-    return merge.union_all(_merge_view(inserted), _merge_view(updated))
+    """Inserts and updates of a batch; table and batch are stored first, so each is made once."""
+    stored = []
+    for purpose, rows in zip(("existing", "batch"), _merge_input(spark, folder), strict=True):
+        path = work_folder(spark, purpose)
+        rows.select(*MERGE_VIEW, UPDATED_AT).write.parquet(path)
+        stored.append(spark.read.parquet(path))
+    return merge.union_all(_merge_view(merge.merge_inserts(*stored)), _merge_view(merge.merge_updates(*stored)))
 
 
 @query
@@ -535,7 +553,7 @@ def key_intersection(spark, folder):
 
 
 def _loaded(spark, target):
-    return _year_sums(spark.read.parquet(target.gold))
+    return _year_sums(target.scan(spark, lake.GOLD))
 
 
 @query
@@ -687,8 +705,12 @@ def build_marts(spark, folder):
 
 @query
 def mart_sort(spark, folder):
+    """The stored mart with the place of each row in its file; years this small have one file."""
+    target = work_folder(spark, "marts")
     mart = _mart("mart_proveedores")
-    return _out(marts.mart_sort(mart, mart.build(_mart_rows(spark, folder))))
+    marts.mart_write(mart, mart.build(_mart_rows(spark, folder)), target)
+    rows = marts.mart_read(spark, mart, target)
+    return _out(rows.select("*", F.col("_metadata.row_index").alias("posicion")))
 
 
 # --- pages and lists ----------------------------------------------------------

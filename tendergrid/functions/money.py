@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EXACT = "decimal(28,2)"
+# No amount of this size or more fits.
+LIMIT = 1e26
 
 
 def exact(value: str | Column) -> Column:
@@ -17,6 +19,11 @@ def exact(value: str | Column) -> Column:
     return value.cast(EXACT)
 
 
+def fits(value: Column) -> Column:
+    """Whether an amount can be added up; a missing one can."""
+    return F.coalesce((F.abs(value) < LIMIT) & ~F.isnan(value), F.lit(True))
+
+
 def total(value: str | Column) -> Column:
     return F.sum(exact(value)).cast("double")
 

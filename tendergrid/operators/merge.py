@@ -11,7 +11,7 @@ from ..schemas import KEY, ROW_HASH, UPDATED_AT, YEAR
 
 ACTION = "accion"
 PRIOR_YEAR = "anio_previo"
-INSERTED, UPDATED, UNCHANGED = "inserted", "updated", "unchanged"
+INSERTED, UPDATED, UNCHANGED, STALE = "inserted", "updated", "unchanged", "stale"
 
 
 def with_key(rows: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def classify(existing: DataFrame, batch: DataFrame, keys: DataFrame | None = Non
     existing has unique keys, the batch has unique non-null keys. The batch
     keys (or `keys`, if they can be had at less cost; repeats do no harm)
     first cut the table down; Spark broadcasts them when their measured bytes
-    are few. A row older than the stored one changes nothing.
+    are few. A row older than the stored one is stale: it changes nothing.
     """
     keys = batch.select(KEY) if keys is None else keys
     prior = existing.select(
@@ -73,7 +73,7 @@ def _action() -> Column:
     return (
         F.when(F.col("_known").isNull(), INSERTED)
         .when(F.col("_prior_hash").eqNullSafe(F.col(ROW_HASH)), UNCHANGED)
-        .when(_stale(F.col(UPDATED_AT), F.col("_prior_at")), UNCHANGED)
+        .when(_stale(F.col(UPDATED_AT), F.col("_prior_at")), STALE)
         .otherwise(UPDATED)
     )
 
@@ -156,13 +156,13 @@ def merge_silver(existing: DataFrame, batch: DataFrame) -> DataFrame:
 
 def merge_metrics(changes: DataFrame) -> DataFrame:
     return changes.agg(
-        *[F.count_if(F.col(ACTION) == name).alias(name) for name in (INSERTED, UPDATED, UNCHANGED)]
+        *[F.count_if(F.col(ACTION) == name).alias(name) for name in (INSERTED, UPDATED, UNCHANGED, STALE)]
     )
 
 
 def affected_years(changes: DataFrame) -> DataFrame:
     """Years that gain, change or lose a contract: an update counts for its old year too."""
-    touched = changes.where(F.col(ACTION) != UNCHANGED)
+    touched = changes.where(F.col(ACTION).isin(INSERTED, UPDATED))
     return (
         touched.select(F.explode(F.array(YEAR, PRIOR_YEAR)).alias(YEAR))
         .where(F.col(YEAR).isNotNull())

@@ -2,10 +2,10 @@
 
 import logging
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import cleaning
+from ..functions import cleaning, money
 from ..schemas import DATE_COLUMNS, KEY, MONEY_COLUMNS, SILVER_COLUMNS, YEAR
 
 log = logging.getLogger(__name__)
@@ -57,18 +57,23 @@ MART_RANGES = {
 }
 
 
-def mart_violations(name: str, mart: DataFrame) -> DataFrame:
-    """One row: rows of the mart and how many of them leave an allowed range."""
+def out_of_range(name: str) -> Column:
+    """Whether a row of the mart leaves an allowed range."""
     outside = F.lit(False)
     for column, (low, high) in MART_RANGES[name].items():
         if low is not None:
             outside = outside | (F.col(column) < low)
         if high is not None:
             outside = outside | (F.col(column) > high)
+    return F.coalesce(outside, F.lit(False))
+
+
+def mart_violations(name: str, mart: DataFrame) -> DataFrame:
+    """One row: rows of the mart and how many of them leave an allowed range."""
     return mart.agg(
         F.lit(name).alias("mart"),
         F.count(F.lit(1)).alias("filas"),
-        F.count_if(outside).alias("fuera_de_rango"),
+        F.count_if(out_of_range(name)).alias("fuera_de_rango"),
     )
 
 
@@ -95,24 +100,50 @@ def quality_report(rows: DataFrame) -> DataFrame:
     )
 
 
-def cast_failure_report(pages: DataFrame) -> DataFrame:
-    """Per date and amount column: texts present, and texts that became NULL."""
-    known = set(pages.columns)
-    sources = {silver: page for silver, page, _ in SILVER_COLUMNS if page in known}
+NO_FIT = "montos_fuera_de_rango"
+
+
+def profile(rows: DataFrame) -> dict[str, Column]:
+    """Figures of a row that add up: the missing values of quality_report and amounts no total can hold."""
+    figures = {}
+    for name in ("fecha_firma", "valor_contrato", KEY):
+        figures[f"{name}_nula"] = F.col(name).isNull() if name in rows.columns else F.lit(True)
+    misfit = F.lit(0)
+    for name in MONEY_COLUMNS:
+        if name in rows.columns:
+            misfit = misfit + (~money.fits(F.col(name))).cast("int")
+    return figures | {NO_FIT: misfit}
+
+
+def check_amounts(figures: dict[str, int]) -> None:
+    """Stop a load whose amounts cannot be added up, before anything is published."""
+    if figures.get(NO_FIT):
+        raise DataQualityError(f"{figures[NO_FIT]} amounts of {money.LIMIT:g} or more, infinite or not a number")
+
+
+def cast_failure_counts(known: list[str]) -> list[Column]:
+    """Aggregates over landing rows: texts present (n_) and texts that become NULL (x_), per date and amount column."""
     counts = []
-    for column in DATE_COLUMNS + MONEY_COLUMNS:
-        if column not in sources:
-            continue
-        text = F.col(sources[column])
+    for column, source in _cast_sources(known):
+        text = F.col(source)
         typed = cleaning.iso_date(text) if column in DATE_COLUMNS else cleaning.money(text)
-        counts.append(
-            F.struct(
-                F.lit(column).alias("columna"),
-                F.count(text).alias("con_texto"),
-                F.count_if(text.isNotNull() & typed.isNull()).alias("sin_convertir"),
-            )
-        )
-    return pages.agg(F.array(*counts).alias("c")).select(F.inline("c"))
+        counts += [F.count(text).alias(f"n_{column}"), F.count_if(text.isNotNull() & typed.isNull()).alias(f"x_{column}")]
+    return counts
+
+
+def _cast_sources(known: list[str]) -> list[tuple[str, str]]:
+    sources = {silver: page for silver, page, _ in SILVER_COLUMNS if page in known}
+    return [(column, sources[column]) for column in DATE_COLUMNS + MONEY_COLUMNS if column in sources]
+
+
+def cast_failure_report(pages: DataFrame) -> DataFrame:
+    """Per date and amount column: texts present, and texts that became NULL."""
+    totals = pages.agg(*cast_failure_counts(pages.columns))
+    lines = [
+        F.struct(F.lit(c).alias("columna"), F.col(f"n_{c}").alias("con_texto"), F.col(f"x_{c}").alias("sin_convertir"))
+        for c, _ in _cast_sources(pages.columns)
+    ]
+    return totals.select(F.inline(F.array(*lines)))
 
 
 def quality_rules(rows: DataFrame) -> DataFrame:

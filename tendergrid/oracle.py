@@ -180,6 +180,7 @@ MERGE = (
     )
 )
 MERGE_COLUMNS = "i.id_contrato, i.valor_pagado, i.fecha_firma, i.anio, i.row_hash"
+OLDER = "COALESCE(i.ultima_actualizacion < e.ultima_actualizacion, FALSE)"
 INSERTS = f"SELECT {MERGE_COLUMNS} FROM i WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.id_contrato = i.id_contrato)"
 UPDATES = f"SELECT {MERGE_COLUMNS} FROM i JOIN e ON e.id_contrato = i.id_contrato WHERE e.row_hash <> i.row_hash"
 
@@ -329,7 +330,8 @@ SQL = {
       SELECT anio, COUNT(*) AS registros, {total()} AS contratado, {total('valor_pagado')} AS pagado
       FROM u GROUP BY anio""",
     "gold_view": f"{C} SELECT id_contrato, fecha_firma, valor_contrato, anio FROM c",
-    "dataset_health": f"{C} SELECT TRUE AS has_files, COUNT(*) AS total_records FROM c",
+    # Years this small are written as one file each.
+    "dataset_health": f"{C} SELECT COUNT(DISTINCT anio) AS parquet_files, COUNT(*) AS total_records FROM c",
     "mart_write": f"{C} {mart_sql('mart_temporal')}",
     "mart_read": f"{C} {mart_sql('mart_modalidades')}",
     "run_history_append": f"""{RUNS} SELECT run_id, "timestamp", n AS extract_records,
@@ -439,8 +441,9 @@ SQL = {
       WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.id_contrato = e.id_contrato)
       UNION ALL SELECT * FROM n2 UNION ALL SELECT * FROM u""",
     "merge_metrics": f"""{MERGE} SELECT {_count_if('e.id_contrato IS NULL', 'inserted')},
-      {_count_if('e.row_hash <> i.row_hash', 'updated')},
-      {_count_if('e.row_hash = i.row_hash', 'unchanged')}
+      {_count_if(f'e.row_hash <> i.row_hash AND NOT {OLDER}', 'updated')},
+      {_count_if('e.row_hash = i.row_hash', 'unchanged')},
+      {_count_if(f'e.row_hash <> i.row_hash AND {OLDER}', 'stale')}
       FROM i LEFT JOIN e ON e.id_contrato = i.id_contrato""",
     "latest_versions": f"""{FEED}, w AS (SELECT id_contrato, ultima_actualizacion, valor_facturado, row_hash,
         ROW_NUMBER() OVER (PARTITION BY id_contrato
@@ -549,7 +552,9 @@ SQL = {
     "build_marts": C
     + " "
     + " UNION ALL ".join(f"SELECT '{m}' AS mart, COUNT(*) AS filas FROM ({mart_sql(m)})" for m in MARTS),
-    "mart_sort": f"{C} {mart_sql('mart_proveedores')}",
+    # The place of a row in the file of its year.
+    "mart_sort": f"""{C}, m AS ({mart_sql('mart_proveedores')})
+      SELECT *, ROW_NUMBER() OVER (PARTITION BY anio ORDER BY documento_proveedor) - 1 AS posicion FROM m""",
     # pages and lists
     "contracts_page": f"{C} SELECT {SUMMARY} FROM c {NEWEST} LIMIT 50 OFFSET 100",
     "contracts_page_after": f"""{C} SELECT {SUMMARY} FROM c WHERE fecha_firma < DATE '2000-05-05'

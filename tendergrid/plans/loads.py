@@ -1,4 +1,12 @@
-"""Full and incremental loads from landing pages to yearly partitions, marts and run history."""
+"""Full and incremental loads from landing pages to yearly partitions, marts and run history.
+
+A load stages the typed table, the yearly partitions, the marts and the rejected
+rows, checks them, and publishes all of it by one rename (sources/versions.py).
+A load that dies or fails a check at any earlier point changes nothing that
+readers see, and repeating it brings the tables to the same state. The line in
+the run history follows the rename; a run that dies in between is repeated by
+the next one, which finds nothing left to change.
+"""
 
 import datetime as dt
 import time
@@ -7,14 +15,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import merge
+from ..operators import merge, quality
 from ..operators.predicates import due_since, years_in
-from ..operators.quality import check_row_count, silver_validate
 from ..operators.transform import bronze_to_silver
 from ..schemas import KEY, RUN_HISTORY_SCHEMA, UPDATED_AT, YEAR
 from ..session import work_folder
-from ..sources import lake, pages, run_log
-from .marts import build_marts
+from ..sources import lake, pages, run_log, versions
+from .marts import MARTS, mart_read, put_marts
+
+REJECTED = "rejected"
 
 
 @dataclass(frozen=True)
@@ -23,28 +32,13 @@ class Lake:
 
     root: str
 
-    def _under(self, name: str) -> str:
-        return f"{self.root.rstrip('/')}/{name}"
-
-    @property
-    def silver(self) -> str:
-        return self._under("silver")
-
-    @property
-    def gold(self) -> str:
-        return self._under("gold")
-
-    @property
-    def marts(self) -> str:
-        return self._under("marts")
-
     @property
     def runs(self) -> str:
-        return self._under("runs")
+        return f"{self.root.rstrip('/')}/runs"
 
-    @property
-    def rejected(self) -> str:
-        return self._under("rejected")
+    def scan(self, spark: SparkSession, table: str) -> DataFrame | None:
+        """A table (silver, gold, a mart, rejected) as of the newest load."""
+        return versions.scan(spark, self.root, table)
 
 
 def _now() -> dt.datetime:
@@ -52,11 +46,11 @@ def _now() -> dt.datetime:
 
 
 class _Run:
-    """One line of run history, written when the run starts changing tables and when it ends."""
+    """One line of run history, written when the run ends."""
 
     def __init__(self, spark: SparkSession, target: Lake):
         self.spark, self.target = spark, target
-        self.run_id = _now().strftime("run_%Y%m%d_%H%M%S")
+        self.run_id = _now().strftime("run_%Y%m%d_%H%M%S_%f")
         self.started = time.monotonic()
 
     def log(self, status: str, **figures) -> dict:
@@ -73,10 +67,10 @@ class _Run:
         return entry
 
 
-def _quarantine(rows: DataFrame, run: _Run) -> None:
-    """Keep the rows without a key, with the run that met them and the reason."""
+def _put_rejected(made: versions.Publication, rows: DataFrame, run: _Run) -> None:
+    """Keep the rows without a key, with the run that met them and the reason; they become visible with the load."""
     kept = merge.without_key(rows).withColumns({"run_id": F.lit(run.run_id), "motivo": F.lit(f"{KEY} nulo")})
-    kept.write.mode("append").parquet(run.target.rejected)
+    made.put(REJECTED, kept, "run_id", [run.run_id])
 
 
 def _stored(rows: DataFrame, purpose: str) -> tuple[DataFrame, str]:
@@ -90,125 +84,122 @@ def _stored(rows: DataFrame, purpose: str) -> tuple[DataFrame, str]:
     return rows.sparkSession.read.schema(rows.schema).parquet(path), path
 
 
+def _failed_casts(figures: dict) -> dict[str, int]:
+    return {name.removeprefix("x_"): value for name, value in figures.items() if name.startswith("x_") and value}
+
+
+def _missing(table: versions.Table) -> dict[str, int]:
+    return {name: value for name, value in table.profile().items() if name != quality.NO_FIT}
+
+
+def _publish(made: versions.Publication) -> None:
+    made.commit()
+    for mart in MARTS:
+        mart_read(made.spark, mart, made.root)
+    versions.expire(made.spark, made.root)
+
+
 def load_full(spark: SparkSession, landed: DataFrame, target: Lake) -> dict:
     """Landing rows to a new typed table, all yearly partitions and all marts.
 
-    The new table is staged and checked first; rows that all lack a key leave
-    the tables of earlier runs as they are.
+    Rows that all lack a key, or an amount that no total can hold, leave the
+    tables of earlier runs as they are.
     """
     run = _Run(spark, target)
-    scratch = []
     try:
-        seen = Observation()
-        typed = bronze_to_silver(landed).observe(
-            seen,
-            F.count(F.lit(1)).alias("rows"),
-            F.count_if(F.col(KEY).isNull()).alias("rejected"),
-            F.max(UPDATED_AT).alias("watermark"),
-        )
-        fresh, path = _stored(merge.latest_versions(typed), "full")
-        scratch.append(path)
-        if seen.get["rejected"]:
-            _quarantine(bronze_to_silver(landed), run)
-        silver_validate(fresh)
-        lake.silver_write(fresh, target.silver, replace=True)
-        silver = lake.silver_scan(spark, target.silver)
-        lake.gold_write_full(silver, target.gold)
-        gold = lake.gold_view(spark, target.gold)
-        per_year = {row[YEAR]: row["registros"] for row in lake.rows_per_year(gold).collect()}
-        marts = build_marts(gold, target.marts)
-        total = sum(per_year.values())
+        with versions.Publication(spark, target.root) as made:
+            seen = Observation()
+            read = Observation()
+            counted = landed.observe(read, F.count(F.lit(1)).alias("rows"), *quality.cast_failure_counts(landed.columns))
+            typed = bronze_to_silver(counted).observe(
+                seen, F.count_if(F.col(KEY).isNull()).alias("rejected"), F.max(UPDATED_AT).alias("watermark")
+            )
+            silver = lake.put_silver(made, merge.latest_versions(typed))
+            if not silver.total("rows"):
+                raise quality.DataQualityError("the typed table is empty")
+            quality.check_amounts(silver.profile())
+            if seen.get["rejected"]:
+                _put_rejected(made, bronze_to_silver(landed), run)
+            lake.put_gold(made, made.scan(lake.SILVER))
+            marts = put_marts(made, made.scan(lake.GOLD))
+            _publish(made)
+        per_year = lake.year_counts(spark, target.root)
+        total = silver.total("rows")
         entry = run.log(
             "completed",
-            extract_records=seen.get["rows"],
+            extract_records=read.get["rows"],
             inserted_records=total,
             updated_records=0,
             unchanged_records=0,
+            stale_records=0,
             rejected_records=seen.get["rejected"],
             years_affected=sorted(per_year),
             watermark=seen.get["watermark"],
             silver_records=total,
-            gold_records=total,
+            gold_records=sum(per_year.values()),
+            missing_values=_missing(silver),
+            failed_casts=_failed_casts(read.get),
         )
         return entry | {"years": per_year, "marts": marts}
     except Exception:
         run.log("failed")
         raise
-    finally:
-        for path in scratch:
-            lake.remove(spark, path)
-
-
-def _unfinished_years(spark: SparkSession, target: Lake) -> set[int]:
-    """Years that a run announced after the last completed run, but perhaps did not finish."""
-    history = run_log.run_history(spark, target.runs)
-    done = F.coalesce(
-        history.where(F.col("status") == "completed").agg(F.max("timestamp")).scalar(), F.lit("")
-    )
-    open_runs = history.where((F.col("status") == "started") & (F.col("timestamp") > done))
-    years = open_runs.select(F.explode("years_affected").alias(YEAR)).distinct()
-    return {row[YEAR] for row in years.collect()}
 
 
 def load_batch(
     spark: SparkSession, landed: DataFrame, target: Lake, since: str | None = None
 ) -> dict:
-    """Upsert landing rows: only years with a change are rewritten, in the table and the marts.
-
-    The years are announced in the run history before the first table changes.
-    If the run dies half-way, the next one treats them as affected as well, so
-    repeating a batch always brings all tables to the same state.
-    """
+    """Upsert landing rows: only years with a change are rewritten, in the tables and the marts."""
     run = _Run(spark, target)
     scratch = []
     try:
-        typed, path = _stored(due_since(bronze_to_silver(landed), since), "batch")
-        scratch.append(path)
-        silver = lake.silver_scan(spark, target.silver)
-        keys = merge.with_key(typed).select(KEY)
-        batch = merge.latest_versions(typed)
-        verdict, path = _stored(merge.classify(silver, batch, keys), "changes")
-        scratch.append(path)
-        counts = merge.merge_metrics(verdict).first().asDict()
-        extracted = typed.agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.count_if(F.col(KEY).isNull()).alias("rejected"),
-            F.max(UPDATED_AT).alias("watermark"),
-        ).first()
-        if extracted["rejected"]:
-            _quarantine(typed, run)
-
-        replaced = verdict.where(F.col(merge.ACTION) == merge.UPDATED).select(KEY)
-        before = silver.count()
-        kept = merge.keep_unreplaced(silver.select(KEY), replaced).count()
-        after = kept + counts[merge.INSERTED] + counts[merge.UPDATED]
-        check_row_count(before, after)
-
-        changed = {row[YEAR] for row in merge.affected_years(verdict).collect()}
-        years = sorted(changed | _unfinished_years(spark, target))
-        run.log("started", years_affected=years)
-        if years:
-            current = silver.where(years_in(years))
-            fresh = merge.only_actions(verdict, merge.INSERTED, merge.UPDATED)
-            merged = merge.union_relaxed(merge.keep_unreplaced(current, replaced), fresh)
-            lake.replace_years(lake.spread_by_year(merged), target.silver, years)
-            silver = lake.silver_scan(spark, target.silver)
-            lake.gold_write_incremental(silver, target.gold, years)
-        gold = lake.gold_view(spark, target.gold)
-        marts = build_marts(gold, target.marts, years)
-        previous = run_log.latest_state(run_log.run_history(spark, target.runs)).first()
-        marks = [extracted["watermark"], previous["watermark"] if previous else None]
+        with versions.Publication(spark, target.root) as made:
+            read = Observation()
+            counted = landed.observe(read, *quality.cast_failure_counts(landed.columns))
+            typed, path = _stored(due_since(bronze_to_silver(counted), since), "batch")
+            scratch.append(path)
+            before = made.tables[lake.SILVER]
+            silver = made.scan(lake.SILVER)
+            keys = merge.with_key(typed).select(KEY)
+            verdict, path = _stored(merge.classify(silver, merge.latest_versions(typed), keys), "changes")
+            scratch.append(path)
+            counts = merge.merge_metrics(verdict).first().asDict()
+            extracted = typed.agg(
+                F.count(F.lit(1)).alias("rows"),
+                F.count_if(F.col(KEY).isNull()).alias("rejected"),
+            ).first()
+            previous = run_log.latest_state(run_log.run_history(spark, target.runs)).first()
+            watermark = merge.new_watermark(typed, previous["watermark"] if previous else None).first()["watermark"]
+            if extracted["rejected"]:
+                _put_rejected(made, typed, run)
+            years = sorted(row[YEAR] for row in merge.affected_years(verdict).collect())
+            marts = {mart.name: made.tables[mart.name].total("rows") for mart in MARTS if mart.name in made.tables}
+            table = before
+            if years:
+                replaced = verdict.where(F.col(merge.ACTION) == merge.UPDATED).select(KEY)
+                fresh = merge.only_actions(verdict, merge.INSERTED, merge.UPDATED)
+                kept = merge.keep_unreplaced(silver.where(years_in(years)), replaced)
+                table = lake.put_silver(made, merge.union_relaxed(kept, fresh), years)
+                quality.check_amounts(table.profile())
+                _check_counts(before.total("rows"), table.total("rows"), counts[merge.INSERTED])
+                lake.put_gold(made, made.staged(lake.SILVER), years)
+                marts = put_marts(made, made.scan(lake.GOLD), years)
+            if made.folders:
+                _publish(made)
         entry = run.log(
             "completed",
             extract_records=extracted["rows"],
             inserted_records=counts[merge.INSERTED],
             updated_records=counts[merge.UPDATED],
             unchanged_records=counts[merge.UNCHANGED],
+            stale_records=counts[merge.STALE],
             rejected_records=extracted["rejected"],
             years_affected=years,
-            watermark=max((mark for mark in marks if mark), default=None),
-            silver_records=after,
-            gold_records=gold.count(),
+            watermark=watermark,
+            silver_records=table.total("rows"),
+            gold_records=sum(lake.year_counts(spark, target.root).values()),
+            missing_values=_missing(table),
+            failed_casts=_failed_casts(read.get),
         )
         return entry | {"marts": marts}
     except Exception:
@@ -219,6 +210,13 @@ def load_batch(
             lake.remove(spark, path)
 
 
+def _check_counts(before: int, after: int, inserted: int) -> None:
+    """Rows counted in the files of the new version against what the batch was to do."""
+    quality.check_row_count(before, after)
+    if after != before + inserted:
+        raise quality.DataQualityError(f"{after} rows after the merge, {before} and {inserted} new ones expected")
+
+
 def load(spark: SparkSession, pages_folder: str, target: Lake, files: str = pages.PAGE_FILES) -> dict:
     """Full load on the first run or when no watermark is known, otherwise an upsert.
 

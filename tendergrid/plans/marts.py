@@ -1,19 +1,20 @@
 """Pre-aggregated tables by entity, supplier, month and modality, one partition per year."""
 
-import contextlib
-from dataclasses import dataclass, field
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import money
+from ..operators import quality
 from ..operators.predicates import present, years_in
-from ..operators.quality import mart_validate
 from ..schemas import YEAR
-from ..session import work_folder
-from ..sources import lake
+from ..session import table_file_size
+from ..sources import lake, versions
+
+OUT_OF_RANGE = "fuera_de_rango"
 
 
 def mart_entidades(contracts: DataFrame) -> DataFrame:
@@ -88,9 +89,6 @@ class Mart:
     build: Callable[[DataFrame], DataFrame]
     order: list[str] = field(default_factory=list)
 
-    def path(self, folder: str) -> str:
-        return f"{folder.rstrip('/')}/{self.name}"
-
 
 MARTS = [
     Mart("mart_entidades", mart_entidades, ["nit_entidad"]),
@@ -106,68 +104,79 @@ def mart_sort(mart: Mart, rows: DataFrame) -> DataFrame:
     return lake.spread_by_year(rows).sortWithinPartitions(YEAR, *mart.order)
 
 
-def mart_read(spark: SparkSession, mart: Mart, folder: str) -> DataFrame | None:
-    """The stored mart, registered as a view; None when it was never written."""
-    try:
-        rows = spark.read.parquet(mart.path(folder))
-    except AnalysisException as problem:
-        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
-    rows.createOrReplaceTempView(mart.name)
+def mart_read(spark: SparkSession, mart: Mart, root: str) -> DataFrame | None:
+    """The published mart, registered as a view; None when it was never written."""
+    rows = versions.scan(spark, root, mart.name)
+    if rows is not None:
+        rows.createOrReplaceTempView(mart.name)
     return rows
 
 
-def mart_write(mart: Mart, rows: DataFrame, folder: str) -> int:
-    """Store a mart, register its view and return the number of its rows.
+def put_mart(made: versions.Publication, mart: Mart, rows: DataFrame, years: list[int] | None = None) -> versions.Table:
+    """Stage a mart, or some years of it; raises if a row leaves an allowed range.
 
-    The new rows are staged and checked there, so the aggregation runs once and
-    a mart that fails its check never takes the place of the one before.
+    The ranges are checked on the files just written, in the pass that counts
+    them, so the aggregation runs once and nothing is written twice.
     """
-    with _checked(mart, rows) as fresh:
-        lake.write_years(mart_sort(mart, fresh), mart.path(folder))
-    stored = mart_read(rows.sparkSession, mart, folder)
-    return 0 if stored is None else stored.count()
+    broken = {OUT_OF_RANGE: quality.out_of_range(mart.name)}
+    table = made.put(mart.name, mart_sort(mart, rows), YEAR, years, broken)
+    outside = table.profile().get(OUT_OF_RANGE)
+    if outside:
+        raise quality.DataQualityError(f"{mart.name}: {outside} of {table.total('rows')} rows out of range")
+    return table
 
 
-@contextlib.contextmanager
-def _checked(mart: Mart, rows: DataFrame):
-    """The rows from a staging folder, after their check."""
+def mart_write(mart: Mart, rows: DataFrame, root: str) -> int:
+    """Publish a mart, register its view and return the number of its rows."""
     spark = rows.sparkSession
-    path = work_folder(spark, f"staged-{mart.name}")
-    try:
-        rows.write.parquet(path)
-        fresh = spark.read.schema(rows.schema).parquet(path)
-        mart_validate(mart.name, fresh)
-        yield fresh
-    finally:
-        lake.remove(spark, path)
+    with versions.Publication(spark, root) as made:
+        table = put_mart(made, mart, rows)
+        made.commit()
+    mart_read(spark, mart, root)
+    return table.total("rows")
+
 
+def _put_from(made: versions.Publication, mart: Mart, contracts: DataFrame, years: list[int] | None) -> versions.Table:
+    """Every mart is grouped by year, so a year's rows depend on that year's contracts only; a modality's share too."""
+    if years is None or mart.name not in made.tables:
+        return put_mart(made, mart, mart.build(contracts))
+    if not years:
+        return made.tables[mart.name]
+    return put_mart(made, mart, mart.build(contracts.where(years_in(years))), years)
 
-def mart_incremental(mart: Mart, contracts: DataFrame, folder: str, years: list[int]) -> int:
-    """Recompute the given years of a mart and leave the others alone.
 
-    Every mart is grouped by year, so a year's rows depend on that year's
-    contracts only; the share of a modality too.
+def put_marts(made: versions.Publication, contracts: DataFrame, years: list[int] | None = None) -> dict[str, int]:
+    """Stage all four marts, complete or for some years only. Returns rows per mart.
+
+    They do not depend on each other, so their jobs are handed to Spark together.
     """
+    with table_file_size(contracts.sparkSession), ThreadPoolExecutor(len(MARTS)) as together:
+        tables = list(together.map(lambda mart: _put_from(made, mart, contracts, years), MARTS))
+    return {mart.name: table.total("rows") for mart, table in zip(MARTS, tables, strict=True)}
+
+
+def mart_incremental(mart: Mart, contracts: DataFrame, root: str, years: list[int]) -> int:
+    """Recompute the given years of a mart and leave the others alone."""
     spark = contracts.sparkSession
-    if years:
-        if not lake.exists(spark, mart.path(folder)):
-            return mart_write(mart, mart.build(contracts), folder)
-        with _checked(mart, mart.build(contracts.where(years_in(years)))) as fresh:
-            lake.replace_years(mart_sort(mart, fresh), mart.path(folder), years)
-    stored = mart_read(spark, mart, folder)
-    return 0 if stored is None else stored.count()
+    with versions.Publication(spark, root) as made:
+        table = _put_from(made, mart, contracts, years)
+        if made.folders:
+            made.commit()
+    mart_read(spark, mart, root)
+    return table.total("rows")
 
 
-def build_marts(
-    contracts: DataFrame, folder: str, years: list[int] | None = None
-) -> dict[str, int]:
-    """All four marts, complete or for some years only. Returns rows per mart.
+def build_marts(contracts: DataFrame, root: str, years: list[int] | None = None) -> dict[str, int]:
+    """Publish all four marts together, complete or for some years only. Returns rows per mart.
 
     Each mart reads only its few columns of the contracts, which costs less
     than keeping all of them in memory for four passes.
     """
-    if years is None:
-        return {mart.name: mart_write(mart, mart.build(contracts), folder) for mart in MARTS}
-    return {mart.name: mart_incremental(mart, contracts, folder, years) for mart in MARTS}
+    spark = contracts.sparkSession
+    with versions.Publication(spark, root) as made:
+        counts = put_marts(made, contracts, years)
+        if made.folders:
+            made.commit()
+    for mart in MARTS:
+        mart_read(spark, mart, root)
+    return counts

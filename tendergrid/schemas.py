@@ -185,6 +185,7 @@ RUN_HISTORY_SCHEMA = T.StructType(
         T.StructField("inserted_records", T.LongType()),
         T.StructField("updated_records", T.LongType()),
         T.StructField("unchanged_records", T.LongType()),
+        T.StructField("stale_records", T.LongType()),
         T.StructField("rejected_records", T.LongType()),
         T.StructField("years_affected", T.ArrayType(T.IntegerType())),
         T.StructField("duration_seconds", T.DoubleType()),
@@ -192,5 +193,7 @@ RUN_HISTORY_SCHEMA = T.StructType(
         T.StructField("watermark", T.StringType()),
         T.StructField("silver_records", T.LongType()),
         T.StructField("gold_records", T.LongType()),
+        T.StructField("missing_values", T.MapType(T.StringType(), T.LongType())),
+        T.StructField("failed_casts", T.MapType(T.StringType(), T.LongType())),
     ]
 )

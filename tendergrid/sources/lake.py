@@ -1,16 +1,26 @@
-"""Parquet tables of contracts: the typed table and its yearly partitions."""
+"""The typed table and its yearly partitions: versioned tables of one lake folder.
+
+Every write here is a publication (see versions.py): staged, measured, and made
+visible by one rename. Several tables can share a publication, then readers see
+either all of the load or nothing of it.
+"""
 
 import logging
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import quality
 from ..operators.merge import keep_unreplaced
 from ..schemas import KEY, YEAR
-from ..session import table_file_size
+from . import versions
+from .versions import Publication, exists, remove
+
+__all__ = ["exists", "remove"]
 
 VIEW = "contratos"
+SILVER, GOLD = "silver", "gold"
 
 log = logging.getLogger(__name__)
 
@@ -25,86 +35,69 @@ def spread_by_year(rows: DataFrame) -> DataFrame:
     return rows.hint("rebalance", YEAR)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def drop_years(spark: SparkSession, path: str, years: list[int]) -> None:
-    """Remove the partitions of years that no longer have rows."""
-    for year in years:
-        remove(spark, f"{path}/{YEAR}={int(year)}")
+def put_silver(made: Publication, rows: DataFrame, years: list[int] | None = None) -> versions.Table:
+    """Stage the typed table, or some years of it, with its profile; see quality.profile."""
+    return made.put(SILVER, spread_by_year(rows), YEAR, years, quality.profile(rows))
 
 
-def write_years(rows: DataFrame, path: str, mode: str = "overwrite", only_present: bool = False) -> None:
-    """Write a table partitioned by year; only_present leaves the years alone that rows lack."""
-    with table_file_size(rows.sparkSession):
-        (
-            rows.write.mode(mode)
-            .option("partitionOverwriteMode", "dynamic" if only_present else "static")
-            .option("compression", "snappy")
-            .partitionBy(YEAR)
-            .parquet(path)
-        )
+def put_gold(made: Publication, rows: DataFrame, years: list[int] | None = None) -> versions.Table:
+    """Stage yearly partitions.
 
-
-def silver_write(rows: DataFrame, path: str, replace: bool = False) -> None:
-    """Write the typed table, by default only to a folder that holds no data yet."""
-    write_years(spread_by_year(rows), path, "overwrite" if replace else "errorifexists")
-
-
-def silver_scan(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as problem:
-        if problem.getCondition() == "PATH_NOT_FOUND":
-            raise FileNotFoundError(f"no typed table at {path}") from problem
-        raise
+    Sorting by key inside a task gives each row group a narrow key range, so
+    a lookup by contract skips nearly all of them.
+    """
+    return made.put(GOLD, spread_by_year(rows).sortWithinPartitions(YEAR, KEY), YEAR, years)
 
 
-def rows_per_year(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(F.col(YEAR).cast("bigint").alias(YEAR)).agg(
-        F.count(F.lit(1)).alias("registros")
-    )
+def silver_write(rows: DataFrame, root: str, replace: bool = False) -> None:
+    """Publish the typed table, by default only if there is none yet."""
+    with Publication(rows.sparkSession, root) as made:
+        if SILVER in made.tables and not replace:
+            raise AnalysisException(f"{root} already holds a typed table")
+        put_silver(made, rows)
+        made.commit()
 
 
-def gold_write_full(rows: DataFrame, path: str) -> None:
-    """Write every year as a partition, replacing what was there.
+def silver_scan(spark: SparkSession, root: str) -> DataFrame:
+    rows = versions.scan(spark, root, SILVER)
+    if rows is None:
+        raise FileNotFoundError(f"no typed table at {root}")
+    return rows
 
-    Sorting by key inside a task gives each row group a narrow key range, so
-    a lookup by contract skips nearly all of them.
-    """
-    write_years(spread_by_year(rows).sortWithinPartitions(YEAR, KEY), path)
 
+def gold_write_full(rows: DataFrame, root: str) -> None:
+    """Publish every year as a partition; replaces all years at once."""
+    with Publication(rows.sparkSession, root) as made:
+        put_gold(made, rows)
+        made.commit()
 
-def replace_years(rows: DataFrame, path: str, years: list[int]) -> None:
-    """Make the given years of a partitioned table equal to rows; other years stay as they are.
 
-    rows may be read from the same path: new files are staged and take the
-    place of the old ones only when the whole job has succeeded. A dynamic
-    overwrite leaves a year alone that receives no row, so years that lost
-    their last row are dropped afterwards; which ones is observed during the
-    write, without another pass.
-    """
+def gold_write_incremental(rows: DataFrame, root: str, years: list[int]) -> None:
+    """Publish the affected years from the merged table; years that lost their last row go."""
     years = sorted({int(year) for year in years})
     if not years:
         return
-    seen = Observation()
-    kept = rows.where(F.col(YEAR).isin(years))
-    write_years(kept.observe(seen, F.collect_set(YEAR).alias("years")), path, only_present=True)
-    written = set(seen.get.get("years") or [])
-    drop_years(rows.sparkSession, path, [year for year in years if year not in written])
+    with Publication(rows.sparkSession, root) as made:
+        put_gold(made, rows.where(F.col(YEAR).isin(years)), years)
+        made.commit()
 
 
-def gold_write_incremental(rows: DataFrame, path: str, years: list[int]) -> None:
-    """Rewrite only the affected years from the merged table."""
-    affected = rows.where(F.col(YEAR).isin([int(year) for year in years]))
-    replace_years(spread_by_year(affected).sortWithinPartitions(YEAR, KEY), path, years)
+def gold_scan(spark: SparkSession, root: str) -> DataFrame:
+    rows = versions.scan(spark, root, GOLD)
+    if rows is None:
+        raise FileNotFoundError(f"no yearly partitions at {root}")
+    return rows
+
+
+def gold_view(spark: SparkSession, root: str, name: str = VIEW) -> DataFrame | None:
+    """Register all years as a view. A folder without data is only a warning."""
+    try:
+        rows = gold_scan(spark, root)
+    except FileNotFoundError as problem:
+        log.warning("%s", problem)
+        return None
+    rows.createOrReplaceTempView(name)
+    return rows
 
 
 def gold_partition_upsert(existing: DataFrame, updated: DataFrame) -> DataFrame:
@@ -119,25 +112,20 @@ def gold_partition_upsert(existing: DataFrame, updated: DataFrame) -> DataFrame:
     )
 
 
-def gold_view(spark: SparkSession, path: str, name: str = VIEW) -> DataFrame | None:
-    """Register all years as a view. A folder without data is only a warning."""
-    try:
-        rows = spark.read.parquet(path)
-    except AnalysisException as problem:
-        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        log.warning("no yearly partitions at %s", path)
-        return None
-    rows.createOrReplaceTempView(name)
-    return rows
+def rows_per_year(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(F.col(YEAR).cast("bigint").alias(YEAR)).agg(
+        F.count(F.lit(1)).alias("registros")
+    )
 
 
-def dataset_health(gold: DataFrame) -> DataFrame:
-    """Number of data files with rows and number of rows."""
-    per_file = gold.groupBy(F.col("_metadata.file_path").alias("file")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return per_file.agg(
-        F.count(F.lit(1)).alias("parquet_files"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_records"),
-    )
+def year_counts(spark: SparkSession, root: str, table: str = GOLD) -> dict[int, int]:
+    """Rows of each year as the manifest has them; nothing is read."""
+    found = versions.current(spark, root).tables.get(table)
+    return {int(year): part["rows"] for year, part in sorted(found.parts.items())} if found else {}
+
+
+def dataset_health(spark: SparkSession, root: str, table: str = GOLD) -> DataFrame:
+    """Number of data files with rows and number of rows, counted from file footers when they were written."""
+    found = versions.current(spark, root).tables.get(table)
+    figures = (found.total("files"), found.total("rows")) if found else (0, 0)
+    return spark.createDataFrame([figures], "parquet_files bigint, total_records bigint")

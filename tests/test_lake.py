@@ -64,12 +64,14 @@ def test_silver(spark, tmp_path):
 def test_gold(spark, tmp_path):
     path = str(tmp_path / "gold")
     lake.gold_write_full(spark.createDataFrame(ROWS + [("004", 0, 1.0, "X", None)], SCHEMA), path)
-    assert sorted(p.name for p in (tmp_path / "gold").glob("anio=*")) == ["anio=0", "anio=2023", "anio=2024"]
-    assert per_year(spark.read.parquet(path)) == {0: 1, 2023: 2, 2024: 1}
+    assert sorted(p.name for p in (tmp_path / "gold" / "gold").glob("publicado=*/anio=*")) == ["anio=0", "anio=2023", "anio=2024"]
+    assert per_year(lake.gold_scan(spark, path)) == lake.year_counts(spark, path) == {0: 1, 2023: 2, 2024: 1}
     view = lake.gold_view(spark, path)
     assert spark.sql("SELECT COUNT(*) FROM contratos").first()[0] == 4
-    health = lake.dataset_health(view).first()
+    assert view.count() == 4
+    health = lake.dataset_health(spark, path).first()
     assert health["parquet_files"] == 3 and health["total_records"] == 4
+    assert lake.dataset_health(spark, str(tmp_path / "none")).first()["parquet_files"] == 0
 
 
 def test_view_without_files_is_a_warning(spark, tmp_path, caplog):
@@ -80,19 +82,19 @@ def test_view_without_files_is_a_warning(spark, tmp_path, caplog):
 def test_incremental_write_touches_only_its_years(spark, tmp_path):
     path = str(tmp_path / "gold")
     lake.gold_write_full(spark.createDataFrame(ROWS, SCHEMA), path)
-    before = {p.name for p in (tmp_path / "gold" / "anio=2023").iterdir()}
+    before = {f for f in lake.gold_scan(spark, path).inputFiles() if "anio=2023" in f}
     changed = [("002", 2025, 5.0, "IDU", dt.date(2025, 1, 1))]
     lake.gold_write_incremental(spark.createDataFrame(changed, SCHEMA), path, [2024, 2025])
-    assert per_year(spark.read.parquet(path)) == {2023: 2, 2025: 1}
-    assert {p.name for p in (tmp_path / "gold" / "anio=2023").iterdir()} == before
+    assert per_year(lake.gold_scan(spark, path)) == lake.year_counts(spark, path) == {2023: 2, 2025: 1}
+    assert {f for f in lake.gold_scan(spark, path).inputFiles() if "anio=2023" in f} == before and before
 
 
 def test_years_can_be_rewritten_from_the_table_itself(spark, tmp_path):
     path = str(tmp_path / "gold")
     lake.gold_write_full(spark.createDataFrame(ROWS, SCHEMA), path)
-    doubled = spark.read.parquet(path).withColumn("valor_contrato", 2 * F.col("valor_contrato"))
-    lake.replace_years(doubled, path, [2023])
-    values = {r[0]: r[1] for r in spark.read.parquet(path).select("id_contrato", "valor_contrato").collect()}
+    doubled = lake.gold_scan(spark, path).withColumn("valor_contrato", 2 * F.col("valor_contrato"))
+    lake.gold_write_incremental(doubled, path, [2023])
+    values = {r[0]: r[1] for r in lake.gold_scan(spark, path).select("id_contrato", "valor_contrato").collect()}
     assert values == {"001": 2000.0, "002": 2000.0, "003": 6000.0}
 
 

@@ -8,20 +8,20 @@ from tendergrid.functions import money
 from tendergrid.operators import quality
 from tendergrid.plans import loads, marts
 from tendergrid.plans.loads import Lake
-from tendergrid.sources import lake, order_tables, pages, run_log
+from tendergrid.sources import lake, order_tables, pages, run_log, versions
 from tendergrid.streaming.page_feed import follow_pages
 
 FIELDS = ["id_contrato", "anio", "valor_contrato", "valor_pagado", "nombre_entidad", "row_hash"]
 
 
-def content(spark, path):
-    return sorted(tuple(r) for r in spark.read.parquet(path).select(*FIELDS).collect())
+def content(spark, target, table="gold"):
+    return sorted(tuple(r) for r in target.scan(spark, table).select(*FIELDS).collect())
 
 
 def mart_content(spark, target):
     found = {}
     for mart in marts.MARTS:
-        rows = spark.read.parquet(mart.path(target.marts))
+        rows = target.scan(spark, mart.name)
         found[mart.name] = sorted(map(str, rows.select(*sorted(rows.columns)).collect()))
     return found
 
@@ -32,7 +32,7 @@ def test_full_load(spark, landing, tmp_path):
     assert summary["years"] == {2021: 1, 2022: 2} and summary["extract_records"] == 3
     assert summary["watermark"] == "2023-03-08T00:00:00.000"
     assert summary["marts"] == {"mart_entidades": 3, "mart_proveedores": 3, "mart_temporal": 3, "mart_modalidades": 3}
-    rows = {r["id_contrato"]: r for r in spark.read.parquet(target.gold).collect()}
+    rows = {r["id_contrato"]: r for r in target.scan(spark, "gold").collect()}
     assert rows["PX-17/A"]["valor_contrato"] == 4310.25 and rows["QZ-3"]["valor_contrato"] == 12000.5
     assert rows["PX-18"]["nombre_entidad"] == "Archivo Ñuble"
     assert rows["PX-17/A"]["url_proceso"] == "https://example.org/px17"
@@ -64,23 +64,23 @@ def test_batch(spark, landing, tmp_path):
     assert [summary[k] for k in ("inserted_records", "updated_records", "unchanged_records", "rejected_records")] == [1, 2, 1, 1]
     assert summary["years_affected"] == [2020, 2021, 2022] and summary["silver_records"] == 4
     assert summary["watermark"] == "2023-04-09T00:00:00.000"
-    gold = {r[0]: r[1:] for r in content(spark, target.gold)}
+    gold = {r[0]: r[1:] for r in content(spark, target)}
     assert {k: v[0] for k, v in gold.items()} == {"PX-17/A": 2020, "PX-18": 2022, "QZ-3": 2022, "QZ-4": 2022}
     assert gold["QZ-3"][2] == 12.5
-    assert not (tmp_path / "lake" / "gold" / "anio=2021").exists()
-    assert content(spark, target.silver) == content(spark, target.gold)
+    assert sorted(lake.year_counts(spark, target.root)) == [2020, 2022]
+    assert content(spark, target, "silver") == content(spark, target)
     for mart in marts.MARTS:
-        full = mart.build(spark.read.parquet(target.gold))
-        stored = spark.read.parquet(mart.path(target.marts)).select(*full.columns)
+        full = mart.build(target.scan(spark, "gold"))
+        stored = target.scan(spark, mart.name).select(*full.columns)
         assert stored.exceptAll(full).isEmpty() and full.exceptAll(stored).isEmpty()
 
-    kept = spark.read.parquet(target.rejected).collect()
+    kept = target.scan(spark, "rejected").collect()
     assert [(r["nombre_entidad"], r["motivo"]) for r in kept] == [("sin llave", "id_contrato nulo")]
 
-    before = content(spark, target.gold), mart_content(spark, target)
+    before = content(spark, target), mart_content(spark, target)
     again = loads.load(spark, str(folder), target)
     assert (again["inserted_records"], again["updated_records"], again["years_affected"]) == (0, 0, [])
-    assert (content(spark, target.gold), mart_content(spark, target)) == before
+    assert (content(spark, target), mart_content(spark, target)) == before
 
 
 def test_a_growing_folder_is_read_from_the_watermark_on(spark, landing, tmp_path):
@@ -94,26 +94,81 @@ def test_a_growing_folder_is_read_from_the_watermark_on(spark, landing, tmp_path
     assert (summary["extract_records"], summary["inserted_records"], summary["unchanged_records"]) == (3, 2, 1)
 
 
-def test_interrupted_batch_is_finished_by_the_next_run(spark, landing, tmp_path, monkeypatch):
+# Each dies when it has done its work, the commit before it begins.
+STEPS = [
+    (lake, "put_silver"), (quality, "check_amounts"), (lake, "put_gold"), (loads, "put_marts"), (marts, "put_mart"),
+    (loads, "_put_rejected"), (versions.Publication, "_measured"), (versions.Publication, "commit"),
+]
+
+
+def test_a_load_killed_at_any_step_changes_nothing(spark, landing, tmp_path, monkeypatch):
     target, twin = Lake(str(tmp_path / "lake")), Lake(str(tmp_path / "twin"))
     for each in (target, twin):
         loads.load(spark, str(landing), each)
     folder = next_batch(tmp_path / "next")
     loads.load(spark, str(folder), twin)
+    before = content(spark, target), content(spark, target, "silver"), mart_content(spark, target)
+
+    def dying(step):
+        def run(*given, **named):
+            if step.__name__ != "commit":
+                step(*given, **named)
+            raise RuntimeError("driver lost")
+
+        return run
+
+    for owner, name in STEPS:
+        with monkeypatch.context() as patch:
+            patch.setattr(owner, name, dying(getattr(owner, name)))
+            with pytest.raises(RuntimeError, match="driver lost"):
+                loads.load(spark, str(folder), target)
+        assert (content(spark, target), content(spark, target, "silver"), mart_content(spark, target)) == before, name
+        assert target.scan(spark, "rejected") is None
+    loads.load(spark, str(folder), target)
+    assert content(spark, target) == content(spark, twin) and mart_content(spark, target) == mart_content(spark, twin)
+    assert target.scan(spark, "rejected").count() == 1
+    statuses = [r["status"] for r in run_log.run_history(spark, target.runs).collect()]
+    assert statuses.count("completed") == 2 and statuses.count("failed") == len(STEPS)
 
-    def lost(*_, **__):
-        raise RuntimeError("driver lost")
 
+def test_a_load_lost_after_its_rename_is_repeated_without_effect(spark, landing, tmp_path, monkeypatch):
+    target = Lake(str(tmp_path / "lake"))
+    loads.load(spark, str(landing), target)
+    folder = next_batch(tmp_path / "next")
     with monkeypatch.context() as patch:
-        patch.setattr(lake, "gold_write_incremental", lost)
+        patch.setattr(versions, "expire", lambda *_: (_ for _ in ()).throw(RuntimeError("driver lost")))
         with pytest.raises(RuntimeError):
             loads.load(spark, str(folder), target)
-    assert content(spark, target.gold) != content(spark, twin.gold)
-    loads.load(spark, str(folder), target)
-    assert content(spark, target.gold) == content(spark, twin.gold)
-    assert mart_content(spark, target) == mart_content(spark, twin)
-    statuses = [r["status"] for r in run_log.run_history(spark, target.runs).collect()]
-    assert sorted(statuses) == ["completed", "completed", "failed", "started", "started"]
+    after = content(spark, target), mart_content(spark, target)
+    assert len(after[0]) == 4
+    again = loads.load(spark, str(folder), target)
+    assert (again["inserted_records"], again["updated_records"]) == (0, 0)
+    assert (content(spark, target), mart_content(spark, target)) == after
+
+
+def test_an_unfit_amount_stops_a_load_before_anything_is_replaced(spark, landing, tmp_path):
+    target = Lake(str(tmp_path / "lake"))
+    loads.load(spark, str(landing), target)
+    before = content(spark, target), content(spark, target, "silver"), mart_content(spark, target)
+    folder = tmp_path / "huge"
+    folder.mkdir()
+    write_page(folder, 1, [PAGE_2[0] | {"id_contrato": "QZ-5", "valor_pagado": "1" + "0" * 27, "ultima_actualizacion": "2023-05-01T00:00:00.000"}])
+    for start in (loads.load_batch, loads.load_full):
+        with pytest.raises(quality.DataQualityError, match="1 amounts"):
+            start(spark, pages.bronze_scan(spark, str(folder)), target)
+        assert (content(spark, target), content(spark, target, "silver"), mart_content(spark, target)) == before
+
+
+def test_the_profile_of_a_load_is_kept_with_its_run(spark, landing, tmp_path):
+    target = Lake(str(tmp_path / "lake"))
+    loads.load(spark, str(landing), target)
+    loads.load(spark, str(next_batch(tmp_path / "next")), target)
+    runs = sorted(run_log.run_history(spark, target.runs).collect(), key=lambda r: r["timestamp"])
+    report = quality.quality_report(target.scan(spark, "silver")).first().asDict()
+    figures = dict(runs[-1]["missing_values"])
+    assert figures == {k: v for k, v in report.items() if k.endswith("_nula")}
+    full = quality.cast_failure_report(pages.bronze_scan(spark, str(landing))).collect()
+    assert dict(runs[0]["failed_casts"] or {}) == {r["columna"]: r["sin_convertir"] for r in full if r["sin_convertir"]}
 
 
 def test_batch_of_a_later_snapshot_equals_a_full_load(spark, tables, tmp_path):
@@ -123,7 +178,7 @@ def test_batch_of_a_later_snapshot_equals_a_full_load(spark, tables, tmp_path):
     mark = "1998-07-01T00:00:00.000"
     loads.load_batch(spark, order_tables.page_rows(spark, tables), target, since=mark)
     loads.load_full(spark, order_tables.page_rows(spark, tables), twin)
-    assert content(spark, target.gold) == content(spark, twin.gold)
+    assert content(spark, target) == content(spark, twin)
     assert mart_content(spark, target) == mart_content(spark, twin)
 
 
@@ -147,26 +202,26 @@ def test_missing_mart(spark, tmp_path):
 def test_page_feed_takes_every_page_once(spark, landing, tmp_path):
     target, progress = Lake(str(tmp_path / "lake")), str(tmp_path / "progress")
     follow_pages(spark, str(landing), target, progress).awaitTermination()
-    assert len(content(spark, target.gold)) == 3
+    assert len(content(spark, target)) == 3
     follow_pages(spark, str(landing), target, progress).awaitTermination()
     assert run_log.run_history(spark, target.runs).count() == 1
     write_page(landing, 3, [PAGE_2[0] | {"id_contrato": "QZ-9"}, PAGE_2[0] | {"valor_pagado": "1"}])
     follow_pages(spark, str(landing), target, progress).awaitTermination()
     state = run_log.latest_state(run_log.run_history(spark, target.runs)).first()
     assert (state["inserted_records"], state["updated_records"]) == (1, 1)
-    assert len(content(spark, target.gold)) == 4
+    assert len(content(spark, target)) == 4
 
 
 def test_a_full_load_without_keys_changes_nothing(spark, landing, tmp_path):
     target = Lake(str(tmp_path / "lake"))
     loads.load(spark, str(landing), target)
-    before = content(spark, target.silver), content(spark, target.gold)
+    before = content(spark, target, "silver"), content(spark, target)
     folder = tmp_path / "keyless"
     folder.mkdir()
     write_page(folder, 1, [{"nombre_entidad": "sin llave"}])
     with pytest.raises(quality.DataQualityError):
         loads.load_full(spark, pages.bronze_scan(spark, str(folder)), target)
-    assert (content(spark, target.silver), content(spark, target.gold)) == before
+    assert (content(spark, target, "silver"), content(spark, target)) == before
 
 
 def test_a_bad_mart_does_not_replace_a_good_one(spark, tmp_path):

@@ -19,7 +19,7 @@ def test_each_case(spark):
         ("new", "h1", 2021, "5"), ("twice", "old", 2022, "3"), ("twice", "new", 2022, "4"), (None, "h", 2019, "9"),
     ])
     changes = merge.classify(old, merge.latest_versions(new))
-    assert merge.merge_metrics(changes).first().asDict() == {"inserted": 2, "updated": 2, "unchanged": 1}
+    assert merge.merge_metrics(changes).first().asDict() == {"inserted": 2, "updated": 2, "unchanged": 1, "stale": 0}
     assert {r[0] for r in merge.affected_years(changes).collect()} == {2021, 2022, 2023, 2024}
     assert merge.rejected_count(new).first()[0] == 1
     merged = {r["id_contrato"]: (r["row_hash"], r["anio"]) for r in merge.merge_silver(old, new).collect()}
@@ -39,7 +39,7 @@ def test_tie_takes_the_greatest_hash(spark):
 def test_empty_table_takes_everything(spark):
     new = frame(spark, [("a", "h", 1, "1"), ("b", "h", 1, "1")])
     changes = merge.classify(new.where("false"), merge.latest_versions(new))
-    assert merge.merge_metrics(changes).first().asDict() == {"inserted": 2, "updated": 0, "unchanged": 0}
+    assert merge.merge_metrics(changes).first().asDict() == {"inserted": 2, "updated": 0, "unchanged": 0, "stale": 0}
     assert merge.merge_silver(new.where("false"), new).count() == 2
 
 
@@ -68,7 +68,7 @@ def test_random_batches_against_dictionaries(spark, seed):
     assert {r["id_contrato"]: (r["row_hash"], r["anio"]) for r in rows} == expected
     assert len(rows) == len(expected)
     again = merge.classify(merged, merge.latest_versions(incoming))
-    assert merge.merge_metrics(again).first().asDict() == {"inserted": 0, "updated": 0, "unchanged": len(latest)}
+    assert merge.merge_metrics(again).first().asDict() == {"inserted": 0, "updated": 0, "unchanged": len(latest), "stale": 0}
     parts = [f(existing, incoming).count() for f in (merge.merge_inserts, merge.merge_updates, merge.merge_unchanged)]
     assert sum(parts) == len(latest)
     for keys in (None, incoming.select("id_contrato").where("id_contrato IS NOT NULL")):
@@ -123,6 +123,6 @@ def test_cast_failures(spark):
 def test_older_rows_do_not_win(spark):
     old = frame(spark, [("a", "h1", 2024, "2024-09-01"), ("b", "h1", 2024, None)])
     new = frame(spark, [("a", "h2", 2023, "2024-01-01"), ("b", "h2", 2023, "2020-01-01")])
-    assert merge.merge_metrics(merge.classify(old, new)).first().asDict() == {"inserted": 0, "updated": 1, "unchanged": 1}
+    assert merge.merge_metrics(merge.classify(old, new)).first().asDict() == {"inserted": 0, "updated": 1, "unchanged": 0, "stale": 1}
     assert [r["id_contrato"] for r in merge.merge_updates(old, new).collect()] == ["b"]
     assert {(r["id_contrato"], r["row_hash"]) for r in merge.merge_silver(old, new).collect()} == {("a", "h1"), ("b", "h2")}

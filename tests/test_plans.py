@@ -15,7 +15,7 @@ from tendergrid.sources import lake, order_tables
 def gold(spark, tables, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("plans") / "gold")
     lake.gold_write_full(order_tables.contracts(spark, tables), path)
-    return spark.read.parquet(path)
+    return lake.gold_scan(spark, path)
 
 
 def plan(rows):
