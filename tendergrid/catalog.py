@@ -40,14 +40,24 @@ def query(function):
 _loaded_tables = {}
 
 
-def gold(spark, folder):
-    """The contracts of the order tables as a loaded table, written once per application."""
+def gold_root(spark, folder):
+    """Where the contracts of the order tables are stored as a loaded table, written once per application."""
     key = spark.sparkContext.applicationId, folder
     if key not in _loaded_tables or not lake.exists(spark, _loaded_tables[key]):
         root = work_folder(spark, "contracts")
         lake.gold_write_full(order_tables.contracts(spark, folder), root)
         _loaded_tables[key] = root
-    return lake.gold_scan(spark, _loaded_tables[key])
+    return _loaded_tables[key]
+
+
+def gold(spark, folder):
+    return lake.gold_scan(spark, gold_root(spark, folder))
+
+
+def holding(spark, folder, column, value, *columns):
+    """Stored contracts with one value, from the files that hold it."""
+    rows = lake.gold_where(spark, gold_root(spark, folder), column, value)
+    return rows.select(*columns) if columns else rows
 
 
 def contracts(spark, folder, *columns, until=None):
@@ -378,17 +388,17 @@ def search_suppliers(spark, folder):
 
 @query
 def lookup_contract(spark, folder):
-    return search.lookup_contract(contracts(spark, folder), "42")
+    return search.lookup_contract(holding(spark, folder, KEY, "42"), "42")
 
 
 @query
 def lookup_entity(spark, folder):
-    return rollups.entity_detail(contracts(spark, folder, *ENTITY_LIST), "7")
+    return rollups.entity_detail(holding(spark, folder, "nit_entidad", "7", *ENTITY_LIST), "7")
 
 
 @query
 def lookup_supplier(spark, folder):
-    return rollups.supplier_detail(contracts(spark, folder, *SUPPLIER_LIST), "11")
+    return rollups.supplier_detail(holding(spark, folder, "documento_proveedor", "11", *SUPPLIER_LIST), "11")
 
 
 @query
@@ -740,12 +750,14 @@ def supplier_page(spark, folder):
 
 @query
 def entity_recent_contracts(spark, folder):
-    return search.recent_contracts(contracts(spark, folder, *SUMMARY_COLUMNS, "nit_entidad"), "nit_entidad", "4")
+    rows = holding(spark, folder, "nit_entidad", "4", *SUMMARY_COLUMNS, "nit_entidad")
+    return search.recent_contracts(rows, "nit_entidad", "4")
 
 
 @query
 def supplier_recent_contracts(spark, folder):
-    return search.recent_contracts(contracts(spark, folder, *SUMMARY_COLUMNS, "documento_proveedor"), "documento_proveedor", "17")
+    rows = holding(spark, folder, "documento_proveedor", "17", *SUMMARY_COLUMNS, "documento_proveedor")
+    return search.recent_contracts(rows, "documento_proveedor", "17")
 
 
 @query

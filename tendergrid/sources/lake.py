@@ -20,7 +20,9 @@ from .versions import Publication, exists, remove
 __all__ = ["exists", "remove"]
 
 VIEW = "contratos"
-SILVER, GOLD = "silver", "gold"
+SILVER, GOLD, FILES = "silver", "gold", "gold_archivos"
+# Columns whose values are looked up one at a time.
+LOOKED_UP = [KEY, "nit_entidad", "documento_proveedor"]
 
 log = logging.getLogger(__name__)
 
@@ -41,12 +43,19 @@ def put_silver(made: Publication, rows: DataFrame, years: list[int] | None = Non
 
 
 def put_gold(made: Publication, rows: DataFrame, years: list[int] | None = None) -> versions.Table:
-    """Stage yearly partitions.
+    """Stage yearly partitions, and for the columns looked up which files hold which value.
 
     Sorting by key inside a task gives each row group a narrow key range, so
     a lookup by contract skips nearly all of them.
     """
-    return made.put(GOLD, spread_by_year(rows).sortWithinPartitions(YEAR, KEY), YEAR, years)
+    table = made.put(GOLD, spread_by_year(rows).sortWithinPartitions(YEAR, KEY), YEAR, years)
+    fresh = made.staged(GOLD)
+    pairs = [F.struct(F.lit(c).alias("columna"), F.col(c).cast("string").alias("valor")) for c in LOOKED_UP if c in fresh.columns]
+    postings = fresh.select(YEAR, versions.file_of(GOLD).alias("archivo"), F.inline(F.array(*pairs))).where(F.col("valor").isNotNull())
+    # Sorted by value, so that a lookup reads a few row groups of the postings.
+    in_order = spread_by_year(postings.distinct()).sortWithinPartitions(YEAR, "columna", "valor")
+    made.put(FILES, in_order, YEAR, years)
+    return table
 
 
 def silver_write(rows: DataFrame, root: str, replace: bool = False) -> None:
@@ -89,6 +98,23 @@ def gold_scan(spark: SparkSession, root: str) -> DataFrame:
     return rows
 
 
+def gold_where(spark: SparkSession, root: str, column: str, value: str) -> DataFrame:
+    """The contracts with one value of a looked-up column, read from the files that hold it only.
+
+    The names of those files come to the driver, which plans a scan of as many
+    files anyway. A column without postings is searched in all files.
+    """
+    version = versions.current(spark, root)
+    if GOLD not in version.tables:
+        raise FileNotFoundError(f"no yearly partitions at {root}")
+    files = None
+    if column in LOOKED_UP and FILES in version.tables:
+        postings = versions.scan(spark, root, FILES, version)
+        held = postings.where((F.col("columna") == column) & (F.col("valor") == value)).select("archivo").distinct()
+        files = sorted(row["archivo"] for row in held.collect())
+    return versions.scan(spark, root, GOLD, version, files).where(F.col(column) == value)
+
+
 def gold_view(spark: SparkSession, root: str, name: str = VIEW) -> DataFrame | None:
     """Register all years as a view. A folder without data is only a warning."""
     try:

@@ -102,18 +102,29 @@ def current(spark: SparkSession, root: str) -> Version:
     return _loaded(spark, known[-1]) if known else Version(0, {})
 
 
-def _scan(spark: SparkSession, root: str, name: str, table: Table) -> DataFrame:
+def _scan(spark: SparkSession, root: str, name: str, table: Table, files: list[str] | None = None) -> DataFrame:
     schema = StructType.fromJson(json.loads(table.schema))
-    folders = [f"{root}/{part['folder']}" for _, part in sorted(table.parts.items())]
-    if not folders:
+    paths = [part["folder"] for _, part in sorted(table.parts.items())] if files is None else files
+    if not paths:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", f"{root}/{name}").parquet(*folders).select(*schema.names)
+    base = f"{root}/{name}"
+    return spark.read.schema(schema).option("basePath", base).parquet(*[f"{root}/{path}" for path in paths]).select(*schema.names)
 
 
-def scan(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    """The table as of the newest version; None if it was never published."""
-    table = current(spark, root).tables.get(name)
-    return None if table is None else _scan(spark, root.rstrip("/"), name, table)
+def scan(spark: SparkSession, root: str, name: str, version: Version | None = None, files: list[str] | None = None) -> DataFrame | None:
+    """The table as of a version, by default the newest; only the given files of it, if any are given.
+
+    None if the table was never published.
+    """
+    root = root.rstrip("/")
+    table = (version or current(spark, root)).tables.get(name)
+    return None if table is None else _scan(spark, root, name, table, files)
+
+
+def file_of(name: str) -> Column:
+    """The file a row was read from, the way `scan` takes it."""
+    inside = F.substring_index(F.col("_metadata.file_path"), f"/{name}/{TAG}=", -1)
+    return F.concat(F.lit(f"{name}/{TAG}="), inside)
 
 
 def _joined_schema(old: StructType, new: StructType) -> StructType:

@@ -3,7 +3,9 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
+from tendergrid import catalog
 from tendergrid.operators import merge, risk, rollups, search
 from tendergrid.operators.predicates import ContractFilter
 from tendergrid.plans import marts
@@ -62,6 +64,14 @@ def test_text_maxima_sort_only_added_up_rows(gold):
     assert text.rstrip().rindex("HashAggregate") > text.rindex("SortAggregate")
 
 
+def test_entity_names_are_sorted_only_as_distinct_names(gold):
+    text = plan(marts.mart_entidades(gold))
+    names, figures = text.split("FileScan")[:2]
+    # Going up from the scan: hashed per distinct name, sorted after the shuffle only.
+    below = names[names.rindex("Exchange") :]
+    assert "HashAggregate" in below and "SortAggregate" not in below and "SortAggregate" not in figures
+
+
 def test_a_hot_year_becomes_several_files(spark, tmp_path):
     """REBALANCE cuts a year that is too large for one file."""
     rows = spark.range(0, 400_000, 1, 8).selectExpr(
@@ -81,3 +91,26 @@ def test_merge_reads_each_side_once(spark, tmp_path):
     old, new = (spark.read.parquet(str(tmp_path / name)) for name in ("old", "new"))
     text = plan(merge.merge_silver(old, new))
     assert text.count("FileScan") == 2
+
+
+def partition_filters(text):
+    return text.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+
+
+@pytest.mark.parametrize("name", ["filter_year", "filter_date_range", "filter_combined", "years_filter"])
+def test_registered_filters_prune_stored_years(spark, tables, name):
+    text = plan(catalog.QUERIES[name](spark, tables))
+    assert text.count("FileScan") == 1 and "anio" in partition_filters(text)
+
+
+@pytest.mark.parametrize(
+    "name, column, value", [("lookup_contract", "id_contrato", "42"), ("lookup_entity", "nit_entidad", "7"), ("lookup_supplier", "documento_proveedor", "11")]
+)
+def test_lookups_open_only_the_files_that_hold_the_value(spark, tables, name, column, value):
+    text = plan(catalog.QUERIES[name](spark, tables))
+    assert text.count("FileScan") == 1 and f"EqualTo({column},{value})" in text
+    root = catalog.gold_root(spark, tables)
+    rows, every = lake.gold_where(spark, root, column, value), lake.gold_scan(spark, root)
+    holding = {r[0].replace("file:/", "file:///") for r in every.where(F.col(column) == value).select("_metadata.file_path").distinct().collect()}
+    assert set(rows.inputFiles()) == holding and rows.count() == every.where(F.col(column) == value).count()
+    assert len(holding) < len(every.inputFiles()) or column != "id_contrato"
