@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.errors import PySparkException
@@ -41,15 +42,55 @@ def test_damaged_page_is_an_error(spark, tmp_path):
         pages.read_pages(spark, str(tmp_path)).collect()
 
 
-def test_written_pages_hold_every_row_once(spark, tables, tmp_path):
+@pytest.mark.parametrize("bound", [{"page_rows": 100}, {"page_bytes": 50_000}])
+def test_written_pages_hold_every_row_once(spark, tables, tmp_path, bound):
     rows = order_tables.page_rows(spark, tables)
-    files = pages.write_pages(rows, str(tmp_path / "p"), page_rows=100)
+    files = pages.write_pages(rows, str(tmp_path / "p"), **bound)
     back = pages.bronze_scan(spark, str(tmp_path / "p"), files)
-    assert len(list((tmp_path / "p").glob("_page=*"))) == -(-rows.count() // 100)
+    written = [json.loads(path.read_text()) for path in (tmp_path / "p").glob("_page=*/part-*")]
+    assert len(written) == len(list((tmp_path / "p").glob("_page=*"))) > 10
+    assert max(map(len, written)) <= bound.get("page_rows", 10**9)
+    assert max(path.stat().st_size for path in (tmp_path / "p").glob("_page=*/part-*")) <= bound.get("page_bytes", 10**9)
     assert back.exceptAll(rows.select(*back.columns)).isEmpty()
     assert rows.select(*back.columns).exceptAll(back).isEmpty()
 
 
+def test_a_large_page_is_read_in_ranges(spark, tables, tmp_path):
+    """Small ranges cut elements, strings, escapes and nested objects at any byte."""
+    rows = order_tables.page_rows(spark, tables).limit(300)
+    odd = [
+        {"id_contrato": "o1", "nombre_entidad": 'a "quoted\\" } ] [ { \\', "urlproceso": {"url": "https://x/}{", "n": [1, [2, {"a": "]}"}]]}},
+        {"id_contrato": "o2", "objeto_del_contrato": "é\u2028𝄞" * 900 + "}" * 50, "valor_pagado": 12.5, "nombre_entidad": None},
+        {},
+    ]
+    texts = [json.dumps({k: v for k, v in r.asDict().items() if v is not None}, ensure_ascii=False) for r in rows.collect()]
+    texts[7:7] = [json.dumps(r, ensure_ascii=False) for r in odd]
+    texts[200:200] = [json.dumps(odd[0], indent=2)]
+    (tmp_path / "socrata_page_1.json").write_text("\n [" + " ,\n".join(texts) + "\n]\n")
+    (tmp_path / "socrata_page_2.json").write_text("[]")
+    (tmp_path / "socrata_page_3.json").write_text("[" + texts[7] + "]")
+    whole = sorted(map(str, pages.read_pages(spark, str(tmp_path)).collect()))
+    assert len(whole) == 305
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        for size in ("997b", "20000b", before):
+            spark.conf.set(name, size)
+            ranges = pages.read_pages(spark, str(tmp_path), whole_bytes=0)
+            assert sorted(map(str, ranges.collect())) == whole
+            if size == "20000b":
+                pieces = pages._pieces(spark, str(tmp_path))
+                longest = max(len(r["text"]) for r in pages._elements(pieces, pages._range_states(pieces)).collect())
+                assert longest < 20_000 < (tmp_path / "socrata_page_1.json").stat().st_size / 5
+        spark.conf.set(name, "997b")
+        for damaged in ('[{"id_contrato": "1"', '[{"id_contrato": "1"}', '[{"id_contrato": "1}]', '{"id_contrato": "1"}\n', '[[{"id_contrato": "1"}]]', "[{} {}]", "[{]}]"):
+            (tmp_path / "socrata_page_4.json").write_text(damaged)
+            with pytest.raises(Exception, match="(?i)malformed"):
+                pages.read_pages(spark, str(tmp_path), "socrata_page_4.json", whole_bytes=0).collect()
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_silver(spark, tmp_path):
     rows = spark.createDataFrame(ROWS, SCHEMA)
     path = str(tmp_path / "silver")
