@@ -98,31 +98,90 @@ def test_models_are_distributions():
     assert np.abs(ratio).max() < 1e-6
 
 
+def brute_top_k(rows):
+    """Every row that takes part, in whole numbers of any size; each row with a fitting id is a query."""
+    good = [
+        (r.vec_id, [math.floor(256 * float(x)) for x in r.embedding])
+        for r in rows
+        if r.vec_id is not None and r.embedding and all(x is not None and math.isfinite(x) for x in r.embedding)
+    ]
+    found = collections.Counter()
+    full = np.array([v for _, v in good], object)
+    for i, (number, _) in enumerate(good):
+        if number % 50 == 0:
+            scores = full @ full[i]
+            order = sorted((j for j in range(len(good)) if j != i), key=lambda j: (-scores[j], good[j][0]))[:5]
+            for rank, j in enumerate(order, 1):
+                found[number, rank, good[j][0], int(scores[j])] += 1
+    return found
+
+
+def found_top_k(rows, **settings):
+    if not settings:
+        return collections.Counter(tuple(r) for r in topk.search(rows).collect())
+    vectors = topk.numbered(topk.usable(rows), "test-vectors")
+    met = topk.nearest(vectors.where("vec_id % 50 = 0"), vectors, **settings)
+    return collections.Counter((r.query_id, r.rank, r.vec_id, r.score) for r in met.collect())
+
+
 def test_top_k(spark, tables):
-    embeddings = common.table(spark, tables, "embeddings").select("vec_id", "embedding")
+    embeddings = common.table(spark, tables, "embeddings").select("vec_id", "embedding", "label")
     size = len(embeddings.head().embedding)
     same = [0.5] * size
     odd = [(100_000, same), (100_001, same), (100_002, same), (100_050, [float("nan")] * size), (100_100, None), (100_150, []),
-           (100_200, [1e6] * size), (None, same), (100_250, [0.1, None])]
-    rows = embeddings.unionByName(spark.createDataFrame(odd, "vec_id long, embedding array<float>"))
-    good = [
-        (r.vec_id, np.floor(256 * np.array(r.embedding, float)).astype(np.int64))
-        for r in rows.collect()
-        if r.vec_id is not None and r.embedding and all(x is not None and math.isfinite(x) for x in r.embedding)
-    ]
-    ids, full = np.array([i for i, _ in good]), np.stack([v for _, v in good])
-    expected = set()
-    for i in np.flatnonzero(ids % 50 == 0):
-        scores = full @ full[i]
-        other = np.flatnonzero(ids != ids[i])
-        best = other[np.lexsort((ids[other], -scores[other]))][:5]
-        expected |= {(int(ids[i]), k, int(ids[j]), int(scores[j])) for k, j in enumerate(best, 1)}
-    assert {tuple(r) for r in topk.search(rows).collect()} == expected
+           (100_200, [1e6] * size), (None, same), (100_250, [0.1, None]), (100_000, same), (100_003, same)]
+    more = spark.createDataFrame(odd, "vec_id long, embedding array<float>").selectExpr("*", "7 AS label", "'x' AS row", "1 AS score", "2 AS v")
+    rows = embeddings.unionByName(more, allowMissingColumns=True)
+    expected = brute_top_k(rows.collect())
+    assert found_top_k(rows) == expected
+    assert found_top_k(rows, group=3, block=16) == expected
     few = rows.where("vec_id in (100000, 100001)")
-    assert [tuple(r)[:3] for r in topk.search(few).collect()] == [(100_000, 1, 100_001)]
+    assert found_top_k(few) == brute_top_k(few.collect())
     assert topk.search(rows.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """One component far beyond the others: only scores that are wanted must fit."""
+    draw = np.random.default_rng(2)
+    rows = [(i, draw.normal(size=6).tolist()) for i in range(120)]
+    rows[50] = (50, [1e10, 0.0, 0.0, 0.0, 0.0, 1.0])
+    rows[70] = (70, [-3e9, 2e9, 0.0, 0.0, 0.0, 1.0])
+    rows[71] = (71, [2.0**40, 0.0, 1e7])
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    kept = frame.where("vec_id <> 71")
+    assert found_top_k(kept) == brute_top_k(kept.collect())
+    for wrong in (frame, spark.createDataFrame([(0, [1e17])], "vec_id long, embedding array<double>")):
+        with pytest.raises(Exception, match="64"):
+            topk.search(wrong).collect()
+
+
+def test_cutoffs_leave_out_blocks_and_entries():
+    import pyarrow as pa
+
+    draw = np.random.default_rng(4)
+    center = draw.normal(size=(2, 32))
+    near = [(center[i % 2] * (10 if i % 2 else 0.1) + draw.normal(size=32) * 0.05) * 256 for i in range(600)]
+    block = topk.Block(np.arange(600), np.arange(600), pa.array([np.floor(v).astype(int).tolist() for v in near], pa.list_(pa.int64())), 4)
+    queries = topk.Block(np.arange(600)[1::60], np.arange(600)[1::60], pa.array(block.v[1::60].tolist(), pa.list_(pa.int64())), 4)
+    scores = queries.v @ block.v.T
+    scores[queries.rows[:, None] == block.rows] = -(1 << 62)
+    cutoff = np.sort(scores, 1)[:, -5]
+    best = topk.Best(len(queries.ids), 5)
+    skipped = topk.collect(queries, block, 4, cutoff, best)
+    assert skipped[1:].sum() > scores.size / 3
+    expected = [sorted(zip(-line, block.ids), key=tuple)[:5] for line in scores]
+    assert [(-s, i) for s, i in zip(best.score, best.id)] == [pair for line in expected for pair in line]
+    small = topk.Block(np.arange(300), np.arange(300), pa.array(block.v[::2].tolist(), pa.list_(pa.int64())), 4)
+    assert topk.collect(queries, small, 4, cutoff, topk.Best(len(queries.ids), 5))[0] == 300 * len(queries.ids)
+
+
+def test_top_k_leaves_the_session_alone(spark, tables):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    topk.search(common.table(spark, tables, "embeddings")).count()
+    assert spark.conf.get(name) == before
+
+
 def test_pipeline(spark, tables):
     docs = common.table(spark, tables, "documents")
     counts = [docs.count()]
