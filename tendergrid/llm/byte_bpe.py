@@ -2,8 +2,10 @@
 
 The rank file is read once on the driver, the tables built from it are bounded
 by the vocabulary and broadcast. Texts are encoded where they lie, without a
-shuffle. A worker handles a text at a time and remembers a bounded number of
-resolved pre-tokens.
+shuffle. Texts are cut before every space that is followed by something else than
+white space, where a match of the pattern always begins. A worker resolves a few
+texts at a time and remembers short words only, up to REMEMBERED bytes of them;
+a long one (a text without spaces is one word) is forgotten with its texts.
 
 Null text counts as empty and gives no ids. Repeated rows each get their ids.
 An empty table gives an empty result. Added columns replace none: callers name
@@ -21,20 +23,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tendergrid.llm import common
 
-# Words (a pre-token and the marks that follow it) a worker remembers before it starts afresh.
-REMEMBERED = 800_000
+# Bytes of words, their ids and the table around them that a worker remembers before it starts afresh.
+REMEMBERED = 128 << 20
+ENTRY_BYTES = 250
+# Code points of a word worth remembering, and of texts resolved together.
+LONGEST, TOGETHER = 64, 1 << 20
+# Texts taken from an Arrow batch at a time.
+TEXTS = 256
 # A space with white space after it; this \s holds all of Unicode's.
 _WIDE_GAP = re.compile(r" \s")
+_CUT = re.compile(r"(?= \S)")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _words(text: str) -> list[str]:
-    if text[-1:] == " " or _WIDE_GAP.search(text):
-        return [text]
-    parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-    return parts
+    """The text, cut before every space that something else than white space follows."""
+    if text[-1:] == " " or "\0" in text or _WIDE_GAP.search(text):
+        return _CUT.split(text)
+    return text.replace(" ", "\0 ").split("\0")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -167,6 +174,7 @@ def tables(ranks: dict[bytes, int], pattern: str) -> dict:
         "hash": vars(PerfectHash(list(ranks))),
         "pattern": pattern.replace(r"\S", r"\P{White_Space}"),
         "words": {},
+        "held": [0],
     }
 
 
@@ -177,7 +185,7 @@ class Encoder:
         import regex
 
         self.ranks, self.tokens, self.pairs = tables["ranks"], tables["tokens"], tables["pairs"]
-        self.by_rank, self.words = tables["by_rank"], tables["words"]
+        self.by_rank, self.words, self.held = tables["by_rank"], tables["words"], tables["held"]
         self.hash = PerfectHash()
         vars(self.hash).update(tables["hash"])
         self.split = regex.compile(tables["pattern"]).findall
@@ -199,15 +207,34 @@ class Encoder:
             words[text] = known[found[0]] if len(found) == 1 else b"".join([known[piece] for piece in found])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """A space followed by anything but white space always begins a match, so texts are cut there."""
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
+        made, start = [], 0
+        while start < len(texts):
+            end, size = start, 0
+            while end < len(texts) and (end == start or size + len(texts[end]) <= TOGETHER):
+                size += len(texts[end])
+                end += 1
+            made += self._encode(texts[start:end])
+            start = end
+        return made
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        cut = [_words(text) for text in texts]
         new = set()
-        for text in texts:
-            new.update(_words(text))
-        self._learn(new.difference(self.words))
+        for parts in cut:
+            new.update(parts)
+        new.difference_update(self.words)
+        self._learn(new)
         ids = self.words.__getitem__
-        return [b"".join(map(ids, _words(text))) for text in texts]
+        made = [b"".join(map(ids, parts)) for parts in cut]
+        for word in new:
+            if len(word) > LONGEST:
+                del self.words[word]
+            else:
+                self.held[0] += 4 * len(word) + len(ids(word)) + ENTRY_BYTES
+        if self.held[0] > REMEMBERED:
+            self.words.clear()
+            self.held[0] = 0
+        return made
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
         token = self.by_rank.__getitem__
@@ -221,16 +248,17 @@ def _added(rows: DataFrame, shared, read: str, add: str, method: str) -> DataFra
     def run(batches):
         work = getattr(Encoder(shared.value), method)
         blank = "" if method == "encode" else b""
-        for batch in batches:
-            made = work([value or blank for value in batch.column(read).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*names, add])
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                made = work([value or blank for value in batch.column(read).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*names, add])
 
     return rows.mapInArrow(run, schema)
 
 
 def share(rows: DataFrame, path: str, pattern: str):
     """The encoder's tables as a broadcast; its size is that of the vocabulary."""
-    common.small_batches(rows.sparkSession)
     return rows.sparkSession.sparkContext.broadcast(tables(read_ranks(path), pattern))
 
 

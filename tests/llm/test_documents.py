@@ -98,6 +98,31 @@ def test_byte_bpe(documents, rows):
     assert collections.Counter(tuple(r) for r in byte_bpe.digests(documents, path, pattern).collect()) == expected
 
 
+def test_the_encoder_remembers_short_words_only(monkeypatch):
+    import tiktoken
+
+    path, pattern = queries.vocabulary()
+    ranks = byte_bpe.read_ranks(path)
+    known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    work = byte_bpe.Encoder(byte_bpe.tables(ranks, pattern))
+    draw = np.random.default_rng(3)
+    gaps, joints = [" ", "  ", " \n", "\n\n ", "\t ", "   x ", " \x1c", "\u00a0 ", "\u2028", " \u3000 "], ["", "-", "'s ", "7", "\0 ", "é"]
+
+    def text(between):
+        return "".join(f"w{draw.integers(3000)}" + between[draw.integers(len(between))] for _ in range(200))
+
+    texts = [text(gaps) for _ in range(2000)] + [text(joints) for _ in range(2000)] + ["字" * 3000, " " * 500, "a  ", "  a"]
+    expected = [np.array(known.encode_ordinary(t), "<u4").tobytes() for t in texts]
+    assert work.encode(texts) == expected
+    assert max(map(len, work.words)) <= byte_bpe.LONGEST
+    assert sum(len(w.encode()) + len(ids) for w, ids in work.words.items()) < 20_000_000
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 300_000)
+    small = byte_bpe.Encoder(byte_bpe.tables(ranks, pattern))
+    for at in range(0, 600, 20):
+        assert small.encode(texts[at : at + 20]) == expected[at : at + 20]
+        assert small.held[0] <= 300_000 and len(small.words) * byte_bpe.ENTRY_BYTES <= small.held[0]
+
+
 def test_perfect_hash_and_merges():
     tokens = [str(i).encode() for i in range(3000)]
     table = byte_bpe.PerfectHash(tokens)
