@@ -44,6 +44,12 @@ def words_of(text: str = "text") -> Column:
     return F.size(F.array_remove(parts, "")).cast("bigint")
 
 
+def fold_of(documents: DataFrame) -> Column:
+    """A hash of the text, and of lang where there is one."""
+    lang = [F.coalesce("lang", F.lit("\0"))] if "lang" in documents.columns else []
+    return F.xxhash64(common.text_or_empty(), *lang)
+
+
 def targets(rows: DataFrame) -> DataFrame:
     """One row per source: number, size, rows, target, block; from rows with source and size."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
@@ -122,10 +128,10 @@ def plan(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The staged sources with their targets, and per row doc_id, fold, source, size and first, second:
     the words taken on the first and on the second pass over the line, always the document's first ones.
 
-    `fold` is a hash of the text; rows of equal doc_id and fold differ in nothing that matters here.
+    `fold` is a hash of text and lang; rows of equal doc_id, fold and source differ in nothing that matters here.
     """
     rows = common.staged(
-        documents.select("doc_id", "source", words_of().alias("size"), F.xxhash64(common.text_or_empty()).alias("fold")), "mix-rows"
+        documents.select("doc_id", "source", words_of().alias("size"), fold_of(documents).alias("fold")), "mix-rows"
     )
     sources = common.staged(targets(rows), "mix-sources")
     slots = sources.agg(F.ceil(F.sum(F.col("target") / F.col("block")))).head()[0] or 0
@@ -164,16 +170,20 @@ def mix(documents: DataFrame) -> DataFrame:
 
 
 def mixed(documents: DataFrame) -> DataFrame:
-    """The mix itself: a row with the words taken for each pass that takes any of a document."""
+    """The mix itself: a row with the words taken for each pass that takes any of a document.
+
+    Rows of equal doc_id, text, source and lang are copies of each other; only how often which
+    number of words is taken of them is counted, so copies never meet in one task.
+    """
     documents = documents.select(*common.DOCUMENT_COLUMNS)
-    passes = plan(documents)[1].where("first > 0").groupBy("doc_id", "fold").agg(
-        F.flatten(F.collect_list(F.array("first", "second"))).alias("_passes"), F.first("size").alias("_size")
-    )
-    folded = documents.withColumn("fold", F.xxhash64(common.text_or_empty()))
-    same = Window.partitionBy("doc_id", "fold").orderBy("source", "lang")
-    single = folded.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").drop("_copy")
-    met = single.join(passes, single["doc_id"].eqNullSafe(passes["doc_id"]) & (single["fold"] == passes["fold"]))
-    met = met.drop(passes["doc_id"], passes["fold"]).withColumn("_words", F.explode(F.filter("_passes", lambda n: n > 0)))
+    key = ["doc_id", "fold", "source"]
+    taken = plan(documents)[1].where("first > 0").select(*key, "size", F.explode(F.array("first", "second")).alias("_words"))
+    passes = taken.where("_words > 0").groupBy(*key, F.col("size").alias("_size"), "_words").agg(F.count("*").alias("_times"))
+    passes = passes.select(*[F.col(name).alias(f"_{name}") for name in key], "_size", "_words", "_times")
+    folded = documents.withColumn("fold", fold_of(documents))
+    single = folded.groupBy(*key, "lang").agg(F.first("text").alias("text"))
+    same = single["doc_id"].eqNullSafe(passes["_doc_id"]) & (single["fold"] == passes["_fold"]) & single["source"].eqNullSafe(passes["_source"])
+    met = single.join(passes, same).withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     begin = F.expr(
         r"regexp_extract(text, concat('^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){', _words, '}+'), 0)"
     )

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tendergrid.llm import byte_bpe, common, mixing, near_dup, pii, quality, queries, secret_scan, simhash
 
@@ -165,6 +166,22 @@ def test_mixing(documents, rows):
     assert sum(len(words.findall(r.text)) for r in mixed.collect()) == sum(r.taken for r in got)
 
 
+def test_copies_in_several_sources_are_mixed_from_their_own(spark):
+    text = " ".join(f"w{i}" for i in range(9))
+    rows = [(1, text, "en", "a"), (1, text, "en", "b"), (1, text, "de", "b"), (2, "x y z", None, None), (None, text, "en", "a"), (None, text, "en", "a")]
+    rows += [(10 + i, f"t{i} " * (i % 5), "en", "abc"[i % 3]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    taken = collections.Counter()
+    for r in mixing.mix(frame).collect():
+        taken[r.source_size, r.target] += r.taken
+    got, per_source = mixing.mixed(frame).collect(), collections.Counter()
+    for r in got:
+        per_source[r.source] += len(r.text.split())
+        assert any(r.doc_id == i and r.source == s and r.lang == lang and (t or "").startswith(r.text.strip()) for i, t, lang, s in rows)
+    assert sorted(per_source.values()) == sorted(n for n in taken.values() if n)
+    assert {r.lang for r in got if r.doc_id == 1 and r.source == "b"} <= {"en", "de"}
+
+
 def test_near_duplicates(spark, documents):
     base = [f"w{(i * 7919) % 4001}" for i in range(300)]
     copies = [(9_000_000 + n, " ".join(w if (i + 31 * n) % 97 else f"changed{n}" for i, w in enumerate(base))) for n in range(6)]
