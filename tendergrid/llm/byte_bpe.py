@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 
 # Bytes of words, their ids and the table around them that a worker remembers before it starts afresh.
-REMEMBERED = 128 << 20
+REMEMBERED = 256 << 20
 ENTRY_BYTES = 250
 # Code points of a word worth remembering, and of texts resolved together.
 LONGEST, TOGETHER = 64, 1 << 20
@@ -197,12 +197,23 @@ class Encoder:
         for text in texts:
             found = cut[text] = split(text)
             known.update(dict.fromkeys(found))
-        pieces = list(known)
+        # A piece may have been met as a word of its own.
+        pieces = []
+        for piece in known:
+            met = words.get(piece)
+            if met is None:
+                pieces.append(piece)
+            else:
+                known[piece] = met
         tokens = [piece.encode() for piece in pieces]
         ranks, pairs = self.ranks, self.pairs
         for piece, token, place in zip(pieces, tokens, self.hash.find(tokens), strict=True):
             ids = [ranks[self.tokens[place]]] if place >= 0 else merge(token, ranks, pairs)
             known[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        # So that the same piece with another mark after it need not be merged again.
+        kept = [piece for piece in pieces if len(piece) <= LONGEST and piece not in cut]
+        words.update(zip(kept, map(known.__getitem__, kept), strict=True))
+        self.held[0] += len(kept) * ENTRY_BYTES + 8 * sum(map(len, kept))
         for text, found in cut.items():
             words[text] = known[found[0]] if len(found) == 1 else b"".join([known[piece] for piece in found])
 
@@ -226,11 +237,11 @@ class Encoder:
         self._learn(new)
         ids = self.words.__getitem__
         made = [b"".join(map(ids, parts)) for parts in cut]
-        for word in new:
-            if len(word) > LONGEST:
-                del self.words[word]
-            else:
-                self.held[0] += 4 * len(word) + len(ids(word)) + ENTRY_BYTES
+        long = [word for word in new if len(word) > LONGEST]
+        for word in long:
+            del self.words[word]
+        # Four bytes an id, and no more ids than bytes.
+        self.held[0] += (len(new) - len(long)) * ENTRY_BYTES + 8 * (sum(map(len, new)) - sum(map(len, long)))
         if self.held[0] > REMEMBERED:
             self.words.clear()
             self.held[0] = 0
