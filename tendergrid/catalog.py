@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import derived, money
 from .operators import merge, predicates, quality, risk, rollups, search, transform
 from .operators.predicates import ContractFilter
-from .plans import loads, marts
+from .plans import loads, mart_changes, marts
 from .schemas import (
     KEY,
     ROW_HASH,
@@ -692,9 +692,24 @@ def _mart_incremental(mart):
     return query(run)
 
 
+def _mart_difference(mart):
+    """Built from the snapshot, then brought up to date by the contracts that differ from it."""
+
+    def run(spark, folder):
+        target = work_folder(spark, "marts")
+        before = _mart_rows(spark, folder, until=SNAPSHOT)
+        marts.mart_start(mart, before, target)
+        marts.mart_change(mart, mart_changes.changes_between(before, _mart_rows(spark, folder)), target)
+        return _out(spark.table(mart.name))
+
+    run.__name__ = f"{mart.name}_difference"
+    return query(run)
+
+
 for _each in marts.MARTS:
     _mart_full(_each)
     _mart_incremental(_each)
+    _mart_difference(_each)
 
 
 @query

@@ -548,6 +548,7 @@ SQL = {
     # marts
     **{name: f"{C} {mart_sql(name)}" for name in MARTS},
     **{f"{name}_incremental": mart_incremental(name) for name in MARTS},
+    **{f"{name}_difference": f"{C} {mart_sql(name)}" for name in MARTS},
     "participation_pct": f"{C} {mart_sql('mart_modalidades')}",
     "build_marts": C
     + " "

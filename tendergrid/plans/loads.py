@@ -21,6 +21,7 @@ from ..operators.transform import bronze_to_silver
 from ..schemas import KEY, RUN_HISTORY_SCHEMA, UPDATED_AT, YEAR
 from ..session import work_folder
 from ..sources import lake, pages, run_log, versions
+from .mart_changes import COLUMNS, weighted
 from .marts import MARTS, mart_read, put_marts
 
 REJECTED = "rejected"
@@ -149,7 +150,7 @@ def load_full(spark: SparkSession, landed: DataFrame, target: Lake) -> dict:
 def load_batch(
     spark: SparkSession, landed: DataFrame, target: Lake, since: str | None = None
 ) -> dict:
-    """Upsert landing rows: only years with a change are rewritten, in the tables and the marts."""
+    """Upsert landing rows: only years with a change are rewritten in the tables, only groups with one in the marts."""
     run = _Run(spark, target)
     scratch = []
     try:
@@ -183,7 +184,10 @@ def load_batch(
                 quality.check_amounts(table.profile())
                 _check_counts(before.total("rows"), table.total("rows"), counts[merge.INSERTED])
                 lake.put_gold(made, made.staged(lake.SILVER), years)
-                marts = put_marts(made, made.scan(lake.GOLD), years)
+                gone = silver.where(years_in(years)).select(KEY, *COLUMNS).join(replaced, KEY, "left_semi")
+                changes, path = _stored(weighted(gone, fresh), "mart-changes")
+                scratch.append(path)
+                marts = put_marts(made, made.scan(lake.GOLD), years, changes)
             if made.folders:
                 _publish(made)
         entry = run.log(

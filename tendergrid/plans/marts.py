@@ -13,6 +13,7 @@ from ..operators.predicates import present, years_in
 from ..schemas import YEAR
 from ..session import table_file_size
 from ..sources import lake, versions
+from . import mart_changes
 
 OUT_OF_RANGE = "fuera_de_rango"
 
@@ -130,9 +131,11 @@ def put_mart(made: versions.Publication, mart: Mart, rows: DataFrame, years: lis
     """Stage a mart, or some years of it; raises if a row leaves an allowed range.
 
     The ranges are checked on the files just written, in the pass that counts
-    them, so the aggregation runs once and nothing is written twice.
+    them, so the aggregation runs once and nothing is written twice. Counts kept
+    for the mart go, since nobody says here what changed.
     """
     broken = {OUT_OF_RANGE: quality.out_of_range(mart.name)}
+    made.tables.pop(mart.name + lake.STATE, None)
     table = made.put(mart.name, mart_sort(mart, rows), YEAR, years, broken)
     outside = table.profile().get(OUT_OF_RANGE)
     if outside:
@@ -159,13 +162,38 @@ def _put_from(made: versions.Publication, mart: Mart, contracts: DataFrame, year
     return put_mart(made, mart, mart.build(contracts.where(years_in(years))), years)
 
 
-def put_marts(made: versions.Publication, contracts: DataFrame, years: list[int] | None = None) -> dict[str, int]:
-    """Stage all four marts, complete or for some years only. Returns rows per mart.
+def put_changed(made: versions.Publication, mart: Mart, changes: DataFrame, years: list[int] | None = None) -> versions.Table:
+    """Stage a mart brought up to date by weighted changes of contracts; see mart_changes."""
+    finish = participation_pct if mart.name == "mart_modalidades" else lambda rows: rows
+    return mart_changes.put_changes(
+        made, mart.name, changes, lambda rows, touched: put_mart(made, mart, rows, touched), finish, years
+    )
+
+
+def _put_batch(made: versions.Publication, mart: Mart, contracts: DataFrame, years: list[int], changes: DataFrame) -> versions.Table:
+    """By difference if counts are kept for the mart; else from the years' contracts, and counts are kept from now on."""
+    if mart.name in made.base.tables and mart.name + lake.STATE in made.base.tables:
+        return put_changed(made, mart, changes, years)
+    table = _put_from(made, mart, contracts, years)
+    mart_changes.put_state(made, mart.name, contracts)
+    return table
+
+
+def put_marts(
+    made: versions.Publication, contracts: DataFrame, years: list[int] | None = None, changes: DataFrame | None = None
+) -> dict[str, int]:
+    """Stage all four marts, complete, for some years only, or by the changes of a batch to those years. Returns rows per mart.
 
     They do not depend on each other, so their jobs are handed to Spark together.
     """
+
+    def one(mart: Mart) -> versions.Table:
+        if changes is None or not years:
+            return _put_from(made, mart, contracts, years)
+        return _put_batch(made, mart, contracts, years, changes)
+
     with table_file_size(contracts.sparkSession), ThreadPoolExecutor(len(MARTS)) as together:
-        tables = list(together.map(lambda mart: _put_from(made, mart, contracts, years), MARTS))
+        tables = list(together.map(one, MARTS))
     return {mart.name: table.total("rows") for mart, table in zip(MARTS, tables, strict=True)}
 
 
@@ -180,6 +208,27 @@ def mart_incremental(mart: Mart, contracts: DataFrame, root: str, years: list[in
     return table.total("rows")
 
 
+def mart_start(mart: Mart, contracts: DataFrame, root: str) -> int:
+    """Publish a mart with the counts that later changes are added to."""
+    spark = contracts.sparkSession
+    with versions.Publication(spark, root) as made:
+        table = put_mart(made, mart, mart.build(contracts))
+        mart_changes.put_state(made, mart.name, contracts)
+        made.commit()
+    mart_read(spark, mart, root)
+    return table.total("rows")
+
+
+def mart_change(mart: Mart, changes: DataFrame, root: str) -> int:
+    """Publish a started mart after weighted changes of contracts; only groups they touch are made anew."""
+    spark = changes.sparkSession
+    with versions.Publication(spark, root) as made:
+        table = put_changed(made, mart, changes)
+        made.commit()
+    mart_read(spark, mart, root)
+    return table.total("rows")
+
+
 def build_marts(contracts: DataFrame, root: str, years: list[int] | None = None) -> dict[str, int]:
     """Publish all four marts together, complete or for some years only. Returns rows per mart.
 

@@ -23,6 +23,8 @@ VIEW = "contratos"
 SILVER, GOLD, FILES = "silver", "gold", "gold_archivos"
 # Columns whose values are looked up one at a time.
 LOOKED_UP = [KEY, "nit_entidad", "documento_proveedor"]
+# Ends the name of the table that keeps a mart's counts; see plans/mart_changes.py.
+STATE = "_estado"
 
 log = logging.getLogger(__name__)
 
@@ -46,8 +48,11 @@ def put_gold(made: Publication, rows: DataFrame, years: list[int] | None = None)
     """Stage yearly partitions, and for the columns looked up which files hold which value.
 
     Sorting by key inside a task gives each row group a narrow key range, so
-    a lookup by contract skips nearly all of them.
+    a lookup by contract skips nearly all of them. Counts kept for marts go:
+    whoever knows what changed brings them up to date and stages them again.
     """
+    for name in [name for name in made.tables if name.endswith(STATE)]:
+        del made.tables[name]
     table = made.put(GOLD, spread_by_year(rows).sortWithinPartitions(YEAR, KEY), YEAR, years)
     fresh = made.staged(GOLD)
     pairs = [F.struct(F.lit(c).alias("columna"), F.col(c).cast("string").alias("valor")) for c in LOOKED_UP if c in fresh.columns]
