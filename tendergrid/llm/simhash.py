@@ -10,7 +10,8 @@ shuffled per word.
 Fingerprints within a Hamming radius are found through permuted block tables:
 with radius + 2 blocks at least two blocks of any such pair agree, so one table
 per pair of blocks, keyed by both, holds every pair sought. Equal fingerprints
-are one entry there.
+are one entry there, crowded keys are parted by block tables over their other bits,
+and no pair leaves the join twice.
 
 Null text counts as empty; a text without words has the fingerprint of zeros.
 Equal texts have equal fingerprints. Rows are told apart by their place, so
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tendergrid.llm import common
+from tendergrid.operators import skew
 
 BITS = 64
 MOST_WEIGHT = 24
@@ -35,6 +37,10 @@ RUN_ROWS = 1000
 # Runs there may be at most: their heads are broadcast, some MB at the bound.
 MOST_RUNS = 50_000
 RADIUS = 3
+# Fingerprints of one key of a block table above which the key is parted further.
+CROWDED = 256
+# Rows of one fingerprint that a task gets their count for, at most.
+HOT_ROWS = 1000
 
 _SPACES = "\t\n\x0b\f\r"
 
@@ -79,22 +85,48 @@ def as_text(bits):
     return F.lpad(F.lower(F.hex(bits)), BITS // 4, "0")
 
 
-def within_radius(queries: DataFrame, rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """bits of distinct query fingerprints, every other distinct fingerprint `near` within the radius, and `distance`."""
+def _tables(places: list[int], radius: int) -> list[int]:
+    """Masks of every two of radius + 2 even blocks of some bits: fingerprints within the radius agree on at least one."""
     blocks = radius + 2
-    edges = [BITS * i // blocks for i in range(blocks + 1)]
+    cut = [places[len(places) * i // blocks : len(places) * (i + 1) // blocks] for i in range(blocks)]
+    masks = [sum(1 << place for place in one + other) for one, other in combinations(cut, 2)]
+    return [mask - (mask >> BITS - 1 << BITS) for mask in masks]
+
+
+def within_radius(queries: DataFrame, rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """bits of distinct query fingerprints, every other distinct fingerprint `near` within the radius, and `distance`.
+
+    A pair that meets in several tables counts in the first of them. A key that
+    more than CROWDED fingerprints share is parted by tables over its other bits.
+    """
+    first = _tables(list(range(BITS)), radius)
+    second = [_tables([place for place in range(BITS) if not mask >> place & 1], radius) for mask in first]
 
-    def block(bits, i):
-        return F.shiftrightunsigned(bits, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
+    def numbers(masks):
+        return F.array(*[F.lit(mask).cast("bigint") for mask in masks])
 
-    def tables(side, name):
-        keys = [F.struct(F.lit(t).alias("t"), block(F.col(name), i).alias("a"), block(F.col(name), j).alias("b"))
-                for t, (i, j) in enumerate(combinations(range(blocks), 2))]
-        return side.select(F.col("bits").alias(name)).distinct().select(name, F.explode(F.array(*keys)).alias("_key"))
+    coarse, fine = numbers(first), F.get(F.array(*map(numbers, second)), F.col("t"))
 
-    distance = F.bit_count(F.col("bits").bitwiseXOR(F.col("near")))
-    met = tables(queries, "bits").join(tables(rows, "near"), "_key").where(F.col("bits") != F.col("near"))
-    return met.withColumn("distance", distance).where(F.col("distance") <= radius).select("bits", "near", "distance").distinct()
+    def entries(side, name):
+        marked = side.select(F.col("bits").alias(name)).distinct().select(name, F.posexplode(coarse).alias("t", "mask"))
+        return marked.select(name, "t", F.col(name).bitwiseAND(F.col("mask")).alias("a"))
+
+    crowded = entries(rows, "near").groupBy("t", "a").agg(F.count("*").alias("c")).where(F.col("c") > CROWDED)
+    crowded = common.staged(crowded.select("t", "a", F.lit(True).alias("crowded")), "crowded-keys")
+
+    def parted(side, name):
+        met = entries(side, name).join(crowded, ["t", "a"], "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+        masks = F.when(F.col("crowded"), fine).otherwise(numbers([0]))
+        met = met.select(name, "t", "a", "crowded", F.posexplode(masks).alias("s", "mask"))
+        return met.select(name, "t", "a", "crowded", "s", F.col(name).bitwiseAND(F.col("mask")).alias("b"))
+
+    def first_agreed(masks):
+        return F.array_position(F.transform(masks, lambda mask: F.col("apart").bitwiseAND(mask) == 0), True) - 1
+
+    met = parted(queries, "bits").join(parted(rows, "near"), ["t", "a", "crowded", "s", "b"]).where(F.col("bits") != F.col("near"))
+    met = met.withColumn("apart", F.col("bits").bitwiseXOR(F.col("near"))).withColumn("distance", F.bit_count("apart"))
+    met = met.where(F.col("distance") <= radius).where(first_agreed(coarse) == F.col("t"))
+    return met.where(~F.col("crowded") | (first_agreed(fine) == F.col("s"))).select("bits", "near", "distance")
 
 
 def _with_run(documents: DataFrame) -> DataFrame:
@@ -153,7 +185,10 @@ def edited(rows: DataFrame) -> DataFrame:
 
 
 def compare(documents: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_prints.
+
+    near_prints is the number of other fingerprints of the table within RADIUS bits.
+    """
     rows = edited(with_next(documents))
     keys = ["run", "place", "doc_id", "n_chars", "edited_sha256", "side"]
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text"))))
@@ -176,9 +211,14 @@ def compare(documents: DataFrame) -> DataFrame:
     inside = Window.partitionBy("run").orderBy("place")
     nexts = narrow.withColumn("_next", F.lead("bits").over(inside)).join(F.broadcast(ring.select("run", "after")), "run")
     nexts = nexts.withColumn("_next", F.coalesce("_next", "after"))
+    prints = common.staged(narrow.groupBy("bits").agg(F.count("*").alias("_rows")), "fingerprints")
+    near = within_radius(prints, prints).groupBy("bits").agg(F.count("*").alias("near_prints"))
+    near = prints.join(near, "bits", "left").withColumn("near_prints", F.coalesce("near_prints", F.lit(0).cast("bigint")))
+    nexts = skew.attach_key_figures(nexts, near, "bits", "_rows", "place", hot_rows=HOT_ROWS)
     return nexts.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("bits")).alias("fingerprint"),
         as_text(F.col("edited_bits")).alias("edited_fingerprint"),
         likeness(F.col("bits"), F.col("edited_bits")).alias("near_edited"),
         likeness(F.col("bits"), F.col("_next")).alias("near_next"),
+        "near_prints",
     )

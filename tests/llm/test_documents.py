@@ -247,14 +247,25 @@ def test_simhash(documents, rows):
     assert np.mean([r.near_edited for r in got]) > np.mean([r.near_next for r in got]) + 0.1
 
 
-def test_fingerprints_within_radius(spark):
+    prints = {int(r.fingerprint, 16) for r in got}
+    for r in got:
+        assert r.near_prints == sum(0 < (int(r.fingerprint, 16) ^ other).bit_count() <= simhash.RADIUS for other in prints)
+
+
+@pytest.mark.parametrize("crowded", [simhash.CROWDED, 2])
+def test_fingerprints_within_radius(spark, monkeypatch, crowded):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     draw = np.random.default_rng(5)
     bits = [int(x) for x in draw.integers(-(1 << 62), 1 << 62, 60)]
     bits += [b ^ (1 << int(draw.integers(60))) ^ (1 << int(draw.integers(60))) for b in bits] + bits[:3]
+    # Many around one: their keys are crowded. One is negative, one is all zeros.
+    bits += [bits[0] ^ (1 << i) ^ (1 << j) for i in range(0, 60, 9) for j in range(1, 60, 11)] + [-(1 << 63), 0, -1]
     rows = spark.createDataFrame([(b,) for b in bits], "bits long")
-    got = {(r.bits, r.near, r.distance) for r in simhash.within_radius(rows, rows, 3).collect()}
+    found = simhash.within_radius(rows, rows, 3).collect()
+    got = {(r.bits, r.near, r.distance) for r in found}
+    assert len(got) == len(found)
     pairs = {(a, b, ((a ^ b) & (2**64 - 1)).bit_count()) for a in bits for b in bits if a != b}
-    assert got == {p for p in pairs if p[2] <= 3}
+    assert got == {p for p in pairs if p[2] <= 3} and len(got) > 300
 
 
 def secrets_of(text):
