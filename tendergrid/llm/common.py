@@ -23,8 +23,3 @@ def staged(rows: DataFrame, purpose: str) -> DataFrame:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
-
-
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Few rows per Arrow batch, so that a run of very long texts fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -141,7 +141,6 @@ def _sketched(rows: DataFrame) -> DataFrame:
                 ["key", "n", "sketches"],
             )
 
-    common.small_batches(rows.sparkSession)
     words = rows.select("key", F.expr(words_of("text")).alias("words"))
     return words.mapInArrow(run, "key string, n int, sketches array<bigint>")
 

@@ -106,7 +106,6 @@ def _figures(texts: pd.Series) -> pd.Series:
 
 def features(rows: DataFrame, keep: list[str]) -> DataFrame:
     """The kept columns and `features`; only the texts pass through Python."""
-    common.small_batches(rows.sparkSession)
     return rows.select(*keep, _figures("text").alias("features"))
 
 

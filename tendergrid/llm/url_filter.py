@@ -149,7 +149,6 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = with_rule(split(pages, ["page_id", "url"]), rules).withColumn(
         "aside", F.pmod(F.xxhash64(F.coalesce("url", F.lit(""))), F.lit(5)) == 0
     )
-    common.small_batches(rows.sparkSession, 4096)
     model = fit(rows)
     if model is None:
         judged = rows.withColumn("score", F.lit(0.0)).withColumn("own", F.lit("allow"))

@@ -200,7 +200,6 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     The list is staged: the files are written once, and files of attempts that
     did not finish are not in it.
     """
-    common.small_batches(pages.sparkSession)
     address = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
 
     def run(frames):
