@@ -221,8 +221,9 @@ def detect(documents: DataFrame) -> DataFrame:
 def redact(documents: DataFrame) -> DataFrame:
     """Every span becomes its kind in brackets; null texts stay null, other columns as they are but n_chars."""
     keep = [c for c in common.DOCUMENT_COLUMNS if c != "n_chars"]
-    model = common.staged(fit(spans_of(documents, [])), "pii-model")
-    rows = decided(spans_of(documents, keep), model)
+    # Texts are staged with their candidates: written once more, but matched once.
+    found = common.staged(spans_of(documents, keep), "pii-found")
+    rows = decided(found, common.staged(fit(found), "pii-model"))
     by_start = "array_sort(transform(_spans, c -> named_struct('start', c.start, 'end', c.end, 'kind', c.kind)))"
     pieces = f"""aggregate({by_start}, named_struct('at', 0, 'out', cast(array() AS array<string>)), (a, c) ->
         IF(c.start < a.at, named_struct('at', greatest(a.at, c.end), 'out', a.out), named_struct('at', c.end, 'out',

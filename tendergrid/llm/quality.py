@@ -4,8 +4,8 @@ Every feature has a lookup table over its bins, and so has every chosen pair.
 The tables are learnt by cyclic boosting: in turn, each gets a shallow tree fit
 to the gradient of the logistic loss, added with a small step. Scoring adds up
 the bins, vectorised. The model is fit on a bounded sample of labelled rows
-(`SAMPLE_ROWS`, by the smallest hash of doc_id); features come from whole texts
-of all rows and are staged once, since they are narrow.
+(`SAMPLE_ROWS`, by the smallest hash of doc_id), whose features are made for the
+fit alone; then one pass over all rows makes features of whole texts and scores them.
 
 Inputs of a score are the text's own figures only. Null text counts as empty;
 empty texts score by the features of an empty text. Rows without doc_id are
@@ -104,11 +104,6 @@ def _figures(texts: pd.Series) -> pd.Series:
     return pd.Series([features_of(text or "") for text in texts], dtype=object)
 
 
-def features(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """The kept columns and `features`; only the texts pass through Python."""
-    return rows.select(*keep, _figures("text").alias("features"))
-
-
 def _boost(bins: np.ndarray, size: int, gradient: np.ndarray, hessian: np.ndarray) -> np.ndarray:
     """A tree of at most four leaves over ordered bins, as one value per bin."""
     g = np.bincount(bins, gradient, size)
@@ -198,8 +193,8 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(staged_features: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> AdditiveModel:
-    """Learn from at most `sample_rows` labelled rows that are not held out."""
+def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> AdditiveModel:
+    """Learn from at most `sample_rows` labelled rows that are not held out; no other text is read by Python."""
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out())
         .select("doc_id", "quality")
@@ -207,26 +202,26 @@ def fit(staged_features: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
         .limit(sample_rows)
     )
     # At most sample_rows rows of two numbers: small for any corpus.
-    rows = staged_features.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "features")
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", _figures("text").alias("features"))
     found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows).toPandas()
     x = np.array(found["features"].tolist(), float).reshape(len(found), len(FEATURES))
     return AdditiveModel(x, found["quality"].to_numpy(float))
 
 
-def scored(staged_features: DataFrame, model: AdditiveModel) -> DataFrame:
-    """Replaces `features` by `score`."""
+def scored(rows: DataFrame, model: AdditiveModel) -> DataFrame:
+    """Adds `score`, in one pass over the texts; no other column passes through Python."""
 
     @F.pandas_udf("double")
-    def score(values: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.stack(values.to_numpy())) if len(values) else np.zeros(0))
+    def score(texts: pd.Series) -> pd.Series:
+        figures = np.array([features_of(text or "") for text in texts], float)
+        return pd.Series(model.score(figures.reshape(len(texts), len(FEATURES))))
 
-    return staged_features.withColumn("score", score("features")).drop("features")
+    return rows.withColumn("score", score("text"))
 
 
 def judge(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    figures = common.staged(features(documents, ["doc_id"]), "quality")
-    rows = scored(figures, fit(figures, labels))
+    rows = scored(documents.select("doc_id", "text"), fit(documents, labels))
     return rows.select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted")
     )
@@ -234,7 +229,5 @@ def judge(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents with a score of at least ACCEPT, unchanged."""
-    figures = common.staged(features(documents, ["doc_id"]), "quality")
-    model = fit(figures, labels)
     columns = common.DOCUMENT_COLUMNS
-    return scored(features(documents.select(*columns), columns), model).where(F.col("score") >= ACCEPT).select(*columns)
+    return scored(documents.select(*columns), fit(documents, labels)).where(F.col("score") >= ACCEPT).select(*columns)
