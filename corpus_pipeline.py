@@ -3,7 +3,8 @@
 Each stage takes all that its predecessor kept; documents that the quality
 classifier rejects go, one document of each near-duplicate group stays, spans of
 personal data are replaced, sources are mixed to their targets, and what is left
-is encoded. Every stage is written before the next reads it.
+is encoded. Every stage is written before the next reads it; what a stage staged,
+and the table it read, are removed after that.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,5 +54,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with common.passing_tables(spark):
+            docs = common.staged(stage(spark, docs, sf_dir), f"pipeline-{name}", lasting=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,9 +1,13 @@
 """What the operators share: reading tables, staged tables, session limits."""
 
+import contextlib
+import contextvars
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tendergrid import session
+from tendergrid.sources import versions
 
 # The columns of `documents`; pipeline stages return exactly these.
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -13,13 +17,37 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def staged(rows: DataFrame, purpose: str) -> DataFrame:
-    """Write rows under the shared folder and read them back: cuts the lineage and survives lost executors."""
+_passing: contextvars.ContextVar[list | None] = contextvars.ContextVar("passing", default=None)
+
+
+def staged(rows: DataFrame, purpose: str, lasting: bool = False) -> DataFrame:
+    """Write rows under the shared folder and read them back: cuts the lineage and survives lost executors.
+
+    Inside `passing_tables` the table goes when that ends, unless it is lasting.
+    """
     spark = rows.sparkSession
     folder = session.work_folder(spark, f"llm-{purpose}")
     rows.write.parquet(folder)
+    if not lasting and _passing.get() is not None:
+        _passing.get().append(folder)
     return spark.read.schema(rows.schema).parquet(folder)
 
 
+@contextlib.contextmanager
+def passing_tables(spark: SparkSession):
+    """Remove the tables staged inside, lasting ones aside, once the block has succeeded.
+
+    What leaves the block must be read from lasting tables alone. After an error all tables stay.
+    """
+    folders: list[str] = []
+    token = _passing.set(folders)
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+    for folder in folders:
+        versions.remove(spark, folder)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))

@@ -13,7 +13,9 @@ joins large groups cheaply. Then every bucket that holds more than one class is
 compared in full: each two of its texts that are of different classes are aligned
 unless sizes or shared labels rule a link out, or classes have met meanwhile. A
 bucket is cut into salted blocks, and a task holds two blocks at a time; the
-largest class of a bucket is not compared with itself. So texts that share
+largest class of a bucket is not compared with itself. A bucket of very many
+blocks is parted first: two texts that are a link share one of the rarest fifth
+of their labels, so each such label makes a smaller bucket. So texts that share
 a bucket lose no link. Classes are connected components
 of the links, found by alternating large and small stars. Links, classes and pairs stay distributed.
 
@@ -27,11 +29,12 @@ ties need no order. An empty table gives an empty result.
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tendergrid.llm import common
+from tendergrid.operators import skew
 
 SHINGLE = 5
 SKETCHES = 16
@@ -40,6 +43,11 @@ SIMILARITY = 0.8
 # A block of a bucket holds about so many texts, and about so many labels, at most.
 BLOCK_ROWS = 500
 BLOCK_LABELS = 1_000_000
+# A bucket of more blocks than this is first parted by rare labels. Comparing block by block sends a
+# text along once per block, 8 bytes a word; parting it sends about three rows of 60 bytes a label.
+MOST_BLOCKS = 24
+# Rows of one text that a task gets at most, or 1e-4 of all rows if those are more.
+COPIES = 1_000
 # Shingles above which sketches are made one after another, to bound memory.
 LONG = 50_000
 
@@ -195,10 +203,9 @@ def _with_class(rows: DataFrame, classes: DataFrame | None) -> DataFrame:
     return rows.join(classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
 
 
-def _texts(documents: DataFrame, keys: DataFrame, wanted: DataFrame) -> DataFrame:
+def _texts(documents: DataFrame, per_key: DataFrame, wanted: DataFrame) -> DataFrame:
     """key and text, once for each wanted key; texts are dealt out by doc_id, not by copies."""
-    chosen = keys.join(wanted, "key", "left_semi").groupBy("key").agg(F.min(F.struct(F.isnull("doc_id"), F.coalesce("doc_id", F.lit(0)))).alias("_one"))
-    chosen = chosen.select(F.col("_one.col1").alias("none"), F.col("_one.col2").alias("id"), F.col("key"))
+    chosen = per_key.join(wanted, "key", "left_semi").select("none", "id", "key")
     rows = documents.select(F.isnull("doc_id").alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), common.text_or_empty().alias("text"))
     met = rows.withColumn("key", _key()).join(chosen, ["none", "id", "key"])
     return met.dropDuplicates(["none", "id", "key"]).select("key", "text")
@@ -244,8 +251,45 @@ def _block_links(labels: list[np.ndarray], classes: list[str], second: np.ndarra
     return out
 
 
+def _blocks(c, n):
+    return F.greatest(F.ceil(c / BLOCK_ROWS), F.ceil(n / BLOCK_LABELS)).cast("int")
+
+
+def _parted(state: DataFrame, texts: DataFrame) -> DataFrame:
+    """State with the buckets of more than MOST_BLOCKS parted by their texts' rarest labels.
+
+    Labels of a bucket are ordered by their count in it. A link of n and m labels has SIMILARITY * n
+    of the n in common at least, so that both hold one among the n - SIMILARITY * n + 1 first of
+    either: the parts lose no link of the bucket, and a label that most texts share makes no part
+    unless a text has too few others.
+    """
+    sizes = state.groupBy("bucket").agg(F.count("*").alias("c"), F.sum("n").alias("m"), F.min("class").alias("_a"), F.max("class").alias("_z"))
+    crowded = common.staged(sizes.where((_blocks(F.col("c"), F.col("m")) > MOST_BLOCKS) & (F.col("_a") < F.col("_z"))).select("bucket"), "crowded")
+    if crowded.isEmpty():
+        return state
+
+    def run(batches):
+        for batch in batches:
+            for key, words in zip(batch.column("key").to_pylist(), batch.column("words"), strict=True):
+                labels = pa.array(labelled(words.values.to_numpy()).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(labels), pa.string()), labels], ["key", "label"])
+
+    rows = state.join(crowded, "bucket", "left_semi")
+    words = texts.join(rows.select("key").distinct(), "key", "left_semi").select("key", F.expr(words_of("text")).alias("words"))
+    labels = rows.join(words.mapInArrow(run, "key string, label bigint"), "key").withColumn("part", F.xxhash64("bucket", "label"))
+    labels = common.staged(labels.select("key", "n", "class", "bucket", "part"), "bucket-labels")
+    counted = labels.groupBy("part").agg(F.count("*").alias("held"))
+    ranked = skew.attach_key_figures(labels, counted, "part", "held", "key", hot_rows=COPIES)
+    rank = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("held", "part"))
+    first = ranked.withColumn("_rank", rank).where(F.col("_rank") <= F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1)
+    # A label held by one text alone brings it together with none.
+    parts = first.where("held > 1").select("key", "n", F.col("part").alias("bucket"), "class").distinct()
+    return common.staged(state.join(crowded, "bucket", "left_anti").select(*parts.columns).unionByName(parts), "parted")
+
+
 def _in_full(state: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between the classes of every bucket of state (key, n, bucket, class), all of its pairs compared."""
+    state = _parted(state, texts)
     held = state.groupBy("bucket", "class").agg(
         F.count("*").alias("c"), F.sum("n").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("x")
     )
@@ -256,13 +300,10 @@ def _in_full(state: DataFrame, texts: DataFrame) -> DataFrame:
     # Buckets of the same texts are one.
     plan = plan.groupBy("c", "n", "h", "x", "most").agg(F.min("bucket").alias("bucket"))
 
-    def blocks(c, n):
-        return F.greatest(F.ceil(c / BLOCK_ROWS), F.ceil(n / BLOCK_LABELS)).cast("int")
-
-    plan = plan.withColumn("all", blocks(F.col("c"), F.col("n"))).select(
+    plan = plan.withColumn("all", _blocks(F.col("c"), F.col("n"))).select(
         "bucket", F.col("most.class").alias("main"),
-        F.when(F.col("all") == 1, 1).otherwise(blocks(F.col("c") - F.col("most.c"), F.col("n") - F.col("most.n"))).alias("rest"),
-        F.when(F.col("all") == 1, 0).otherwise(blocks(F.col("most.c"), F.col("most.n"))).alias("mains"),
+        F.when(F.col("all") == 1, 1).otherwise(_blocks(F.col("c") - F.col("most.c"), F.col("n") - F.col("most.n"))).alias("rest"),
+        F.when(F.col("all") == 1, 0).otherwise(_blocks(F.col("most.c"), F.col("most.n"))).alias("mains"),
     )
     rows = state.join(common.staged(plan, "bucket-plan"), "bucket")
     salt = F.xxhash64(F.lit(2), "key", "bucket")
@@ -302,16 +343,28 @@ def _in_full(state: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Staged: doc_id and key (of the text) of every row; class_id of every key."""
-    documents = documents.select("doc_id", "text")
-    keys = common.staged(documents.select("doc_id", _key().alias("key")), "near-keys")
+    """Staged: doc_id, key (of the text) and number of every row; of every key class_id, size and its first row's doc_id.
+
+    The row of a key with the smallest doc_id is told by `none` (the id is null) and `id`.
+    """
+    with common.passing_tables(documents.sparkSession):
+        return _classes(documents.select("doc_id", "text"))
+
+
+def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = documents.select("doc_id", _key().alias("key"), F.monotonically_increasing_id().alias("row"))
+    keys = common.staged(rows, "near-keys", lasting=True)
+    # One row per text from here on, however many copies it has.
+    place = F.struct(F.isnull("doc_id").alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"))
+    per_key = keys.groupBy("key").agg(F.min(place).alias("_one"), F.min("doc_id").alias("first"), F.count("*").alias("size"))
+    per_key = common.staged(per_key.select("key", "first", "size", "_one.none", "_one.id"), "near-texts-by-key")
     sketched = _sketched(documents.select(_key().alias("key"), common.text_or_empty().alias("text")))
     sketched = common.staged(sketched.groupBy("key").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches")), "sketches")
     # A sketch holds its own number, so that it names a bucket.
     rows = sketched.select("key", "n", F.explode("sketches").alias("bucket"))
     many = rows.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     members = common.staged(rows.join(many, "bucket", "left_semi"), "members")
-    texts = common.staged(_texts(documents, keys, members.select("key").distinct()), "near-texts")
+    texts = common.staged(_texts(documents, per_key, members.select("key").distinct()), "near-texts")
     order = F.struct(F.xxhash64("key", "bucket"), "key", "n")
     leaders = members.groupBy("bucket").agg(F.min(order).alias("_l"))
     leaders = common.staged(leaders.select("bucket", F.col("_l.key").alias("leader"), F.col("_l.n").alias("leader_n")), "leaders")
@@ -329,26 +382,29 @@ def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         fresh = common.staged(links(), "links")
         if not fresh.isEmpty():
             found = _merged(found, fresh)
-    smallest = keys.groupBy("key").agg(F.min("doc_id").alias("first"))
+    figures = ["key", "class_id", "size", "none", "id"]
     if found is None:
-        return keys, common.staged(smallest.select("key", F.col("first").alias("class_id")), "near-classes")
-    joined = common.staged(_with_class(smallest, found), "joined")
-    tops = joined.groupBy("class").agg(F.min("first").alias("class_id"))
-    return keys, common.staged(joined.join(tops, "class").select("key", "class_id"), "near-classes")
+        return keys, common.staged(per_key.withColumnRenamed("first", "class_id").select(*figures), "near-classes", lasting=True)
+    joined = common.staged(_with_class(per_key, found), "joined")
+    tops = joined.groupBy("class").agg(F.min("first").alias("class_id"), F.count("*").alias("_texts"))
+    # A class may hold very many texts, as a text very many copies: both are joined in pieces.
+    of_key = skew.attach_key_figures(joined, tops, "class", "_texts", "key", hot_rows=COPIES)
+    return keys, common.staged(of_key.select(*figures), "near-classes", lasting=True)
 
 
 def classify(documents: DataFrame) -> DataFrame:
     """doc_id and class_id of every row."""
     keys, of_key = classes(documents)
-    return keys.join(of_key, "key").select("doc_id", "class_id")
+    met = skew.attach_key_figures(keys, of_key.select("key", "class_id", "size"), "key", "size", "row", hot_rows=COPIES)
+    return met.select("doc_id", "class_id")
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
     """One document of each class, that of the smallest doc_id; the columns of documents."""
     documents = documents.select(*common.DOCUMENT_COLUMNS)
-    keys, of_key = classes(documents)
-    place = F.struct(F.isnull("doc_id").alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("key"))
-    one = keys.distinct().join(of_key, "key").groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("key"))).agg(F.min(place).alias("_one"))
+    _, of_key = classes(documents)
+    place = F.struct("none", "id", "key")
+    one = of_key.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("key"))).agg(F.min(place).alias("_one"))
     one = one.select("_one.*")
     rows = documents.withColumn("none", F.isnull("doc_id")).withColumn("id", F.coalesce("doc_id", F.lit(0))).withColumn("key", _key())
     return rows.join(one, ["none", "id", "key"]).dropDuplicates(["none", "id", "key"]).select(*common.DOCUMENT_COLUMNS)

@@ -85,6 +85,43 @@ def test_blocks_of_a_bucket_lose_no_pair(spark, monkeypatch):
         assert classes_of(rows) == components(labels, links_in_buckets(labels))
 
 
+def test_buckets_parted_by_rare_labels_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(near_dup, "MOST_BLOCKS", 2)
+    sent = []
+    whole = near_dup._parted
+    monkeypatch.setattr(near_dup, "_parted", lambda state, texts: sent.append((state.count(), (out := whole(state, texts)).count())) or out)
+    for made in (crowded(), families()):
+        rows = spark.createDataFrame(made, "doc_id long, text string")
+        labels = labels_of(rows)
+        assert classes_of(rows) == components(labels, links_in_buckets(labels))
+    # Few texts of the crowded buckets share one of their rare labels.
+    assert sent[0][1] < sent[0][0]
+
+
+def test_copies_are_joined_in_pieces(spark, monkeypatch):
+    """Most rows are one text, some of them without doc_id; pieces of ten rows."""
+    monkeypatch.setattr(near_dup, "COPIES", 10)
+    base = " ".join(f"w{i}" for i in range(60))
+    made = [(i if i % 3 else None, base) for i in range(300)] + [(1000 + i, f"{base} end{i}") for i in range(30)] + [(2000, None), (2001, "")]
+    rows = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
+    found = collections.Counter((r.doc_id, r.class_id) for r in near_dup.classify(rows).collect())
+    assert found == collections.Counter((i, 2000 if not text else 1) for i, text in made)
+
+
+def test_only_lasting_tables_stay(spark):
+    import glob
+
+    from tendergrid import session
+
+    rows = spark.createDataFrame(families()[:200], "doc_id long, text string")
+    pattern = session.work_folder(spark, "x").rsplit("/", 1)[0] + "/llm-*"
+    before = set(glob.glob(pattern))
+    near_dup.classify(rows).count()
+    stay = {path.rsplit("/", 1)[1][4:].rsplit("-", 1)[0] for path in set(glob.glob(pattern)) - before}
+    assert stay == {"near-keys", "near-classes"}
+
+
 def test_documents_against_brute_force(spark, tables):
     """All pairs of texts by the operator's own measure; what a sketch misses shares no bucket."""
     rows = common.table(spark, tables, "documents").select("doc_id", "text")
