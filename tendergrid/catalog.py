@@ -16,7 +16,7 @@ from .schemas import (
     YEAR,
 )
 from .session import configure, work_folder
-from .sources import lake, order_tables, pages, run_log
+from .sources import lake, newest, order_tables, pages, run_log
 
 # The table as it was at the end of this day is the one a batch is merged into.
 SNAPSHOT = dt.date(1999, 12, 31)
@@ -743,13 +743,19 @@ def mart_sort(spark, folder):
 
 @query
 def contracts_page(spark, folder):
-    return search.contracts_page(contracts(spark, folder, *SUMMARY_COLUMNS), ContractFilter(), page=3)
+    return newest.gold_page(spark, gold_root(spark, folder), ContractFilter(), page=3)
+
+
+@query
+def contracts_page_filtered(spark, folder):
+    filters = ContractFilter(entidad="tion_1", valor_min=1000.0)
+    return newest.gold_page(spark, gold_root(spark, folder), filters, page=2)
 
 
 @query
 def contracts_page_after(spark, folder):
     return search.contracts_page_after(
-        contracts(spark, folder, *SUMMARY_COLUMNS), ContractFilter(), dt.date(2000, 5, 5), "5"
+        contracts(spark, folder, *SUMMARY_COLUMNS, YEAR), ContractFilter(), dt.date(2000, 5, 5), "5"
     )
 
 
@@ -765,14 +771,12 @@ def supplier_page(spark, folder):
 
 @query
 def entity_recent_contracts(spark, folder):
-    rows = holding(spark, folder, "nit_entidad", "4", *SUMMARY_COLUMNS, "nit_entidad")
-    return search.recent_contracts(rows, "nit_entidad", "4")
+    return newest.gold_recent(spark, gold_root(spark, folder), "nit_entidad", "4")
 
 
 @query
 def supplier_recent_contracts(spark, folder):
-    rows = holding(spark, folder, "documento_proveedor", "17", *SUMMARY_COLUMNS, "documento_proveedor")
-    return search.recent_contracts(rows, "documento_proveedor", "17")
+    return newest.gold_recent(spark, gold_root(spark, folder), "documento_proveedor", "17")
 
 
 @query

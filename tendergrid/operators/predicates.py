@@ -82,11 +82,23 @@ class ContractFilter:
         ]
         conditions = [rule(value) for value, rule in rules if value is not None and value != ""]
         if self.fecha_desde or self.fecha_hasta:
-            low = self.fecha_desde.year if self.fecha_desde else 1
-            high = self.fecha_hasta.year if self.fecha_hasta else 9999
-            conditions.append(F.col(YEAR).between(low, high))
+            conditions.append(F.col(YEAR).between(*self._dated()))
         return conditions
 
+    def _dated(self) -> tuple[int, int]:
+        low = self.fecha_desde.year if self.fecha_desde else 1
+        return low, self.fecha_hasta.year if self.fecha_hasta else 9999
+
+    def years(self, known: list[int]) -> list[int]:
+        """Those of the known years that can hold a contract of this filter."""
+        low, high = self._dated()
+        dated = self.fecha_desde or self.fecha_hasta
+        return [y for y in known if (self.anio is None or y == self.anio) and (not dated or low <= y <= high)]
+
+    def needs_rows(self) -> bool:
+        """Whether a condition looks at more than the year."""
+        return len(self.conditions()) > (self.anio is not None)
+
     def apply(self, contracts: DataFrame) -> DataFrame:
         return reduce(lambda rows, rule: rows.where(rule), self.conditions(), contracts)
 

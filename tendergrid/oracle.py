@@ -558,6 +558,8 @@ SQL = {
       SELECT *, ROW_NUMBER() OVER (PARTITION BY anio ORDER BY documento_proveedor) - 1 AS posicion FROM m""",
     # pages and lists
     "contracts_page": f"{C} SELECT {SUMMARY} FROM c {NEWEST} LIMIT 50 OFFSET 100",
+    "contracts_page_filtered": f"""{C} SELECT {SUMMARY} FROM c WHERE (nombre_entidad ILIKE '%tion_1%' OR nit_entidad = 'tion_1')
+      AND valor_contrato >= 1000 {NEWEST} LIMIT 50 OFFSET 50""",
     "contracts_page_after": f"""{C} SELECT {SUMMARY} FROM c WHERE fecha_firma < DATE '2000-05-05'
       OR (fecha_firma = DATE '2000-05-05' AND id_contrato > '5') OR fecha_firma IS NULL {NEWEST} LIMIT 50""",
     "entity_page": f"""{C} {ENTITY} GROUP BY nit_entidad

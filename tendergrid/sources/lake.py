@@ -96,27 +96,40 @@ def gold_write_incremental(rows: DataFrame, root: str, years: list[int]) -> None
         made.commit()
 
 
-def gold_scan(spark: SparkSession, root: str) -> DataFrame:
-    rows = versions.scan(spark, root, GOLD)
+def gold_scan(spark: SparkSession, root: str, version: versions.Version | None = None) -> DataFrame:
+    rows = versions.scan(spark, root, GOLD, version)
     if rows is None:
         raise FileNotFoundError(f"no yearly partitions at {root}")
     return rows
 
 
+def files_holding(
+    spark: SparkSession, root: str, column: str, value: str, version: versions.Version
+) -> dict[int, list[str]] | None:
+    """The files that hold a value, by year; None for a column without postings.
+
+    Their names come to the driver, which plans a scan of as many files anyway.
+    """
+    if column not in LOOKED_UP or FILES not in version.tables:
+        return None
+    postings = versions.scan(spark, root, FILES, version)
+    held = postings.where((F.col("columna") == column) & (F.col("valor") == value)).select(YEAR, "archivo").distinct()
+    found: dict[int, list[str]] = {}
+    for row in held.collect():
+        found.setdefault(row[YEAR], []).append(row["archivo"])
+    return found
+
+
 def gold_where(spark: SparkSession, root: str, column: str, value: str) -> DataFrame:
     """The contracts with one value of a looked-up column, read from the files that hold it only.
 
-    The names of those files come to the driver, which plans a scan of as many
-    files anyway. A column without postings is searched in all files.
+    A column without postings is searched in all files.
     """
     version = versions.current(spark, root)
     if GOLD not in version.tables:
         raise FileNotFoundError(f"no yearly partitions at {root}")
-    files = None
-    if column in LOOKED_UP and FILES in version.tables:
-        postings = versions.scan(spark, root, FILES, version)
-        held = postings.where((F.col("columna") == column) & (F.col("valor") == value)).select("archivo").distinct()
-        files = sorted(row["archivo"] for row in held.collect())
+    held = files_holding(spark, root, column, value, version)
+    files = None if held is None else sorted(name for names in held.values() for name in names)
     return versions.scan(spark, root, GOLD, version, files).where(F.col(column) == value)
 
 
@@ -149,9 +162,11 @@ def rows_per_year(rows: DataFrame) -> DataFrame:
     )
 
 
-def year_counts(spark: SparkSession, root: str, table: str = GOLD) -> dict[int, int]:
+def year_counts(
+    spark: SparkSession, root: str, table: str = GOLD, version: versions.Version | None = None
+) -> dict[int, int]:
     """Rows of each year as the manifest has them; nothing is read."""
-    found = versions.current(spark, root).tables.get(table)
+    found = (version or versions.current(spark, root)).tables.get(table)
     return {int(year): part["rows"] for year, part in sorted(found.parts.items())} if found else {}
 
 
