@@ -2,6 +2,7 @@
 
 import contextlib
 import contextvars
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-_passing: contextvars.ContextVar[list | None] = contextvars.ContextVar("passing", default=None)
+@dataclass
+class Staged:
+    """Folders of tables that go at the end of a block, and of those that outlast it."""
+
+    passing: list[str] = field(default_factory=list)
+    lasting: list[str] = field(default_factory=list)
+
+
+_block: contextvars.ContextVar[Staged | None] = contextvars.ContextVar("block", default=None)
 
 
 def staged(rows: DataFrame, purpose: str, lasting: bool = False) -> DataFrame:
@@ -28,8 +37,9 @@ def staged(rows: DataFrame, purpose: str, lasting: bool = False) -> DataFrame:
     spark = rows.sparkSession
     folder = session.work_folder(spark, f"llm-{purpose}")
     rows.write.parquet(folder)
-    if not lasting and _passing.get() is not None:
-        _passing.get().append(folder)
+    block = _block.get()
+    if block is not None:
+        (block.lasting if lasting else block.passing).append(folder)
     return spark.read.schema(rows.schema).parquet(folder)
 
 
@@ -37,16 +47,19 @@ def staged(rows: DataFrame, purpose: str, lasting: bool = False) -> DataFrame:
 def passing_tables(spark: SparkSession):
     """Remove the tables staged inside, lasting ones aside, once the block has succeeded.
 
-    What leaves the block must be read from lasting tables alone. After an error all tables stay.
+    What leaves the block must be read from lasting tables alone; those go with the
+    block around it, if there is one. After an error all tables stay.
     """
-    folders: list[str] = []
-    token = _passing.set(folders)
+    block = Staged()
+    token = _block.set(block)
     try:
-        yield
+        yield block
     finally:
-        _passing.reset(token)
-    for folder in folders:
+        _block.reset(token)
+    for folder in block.passing:
         versions.remove(spark, folder)
+    if _block.get() is not None:
+        _block.get().passing.extend(block.lasting)
 
 
 def text_or_empty(column: str = "text"):
