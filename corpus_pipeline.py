@@ -53,7 +53,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
+    read: list[str] = []
     for name, stage in STAGES[:-1]:
-        with common.passing_tables(spark):
+        with common.passing_tables(spark) as tables:
             docs = common.staged(stage(spark, docs, sf_dir), f"pipeline-{name}", lasting=True)
+            tables.passing.extend(read)
+        read = tables.lasting
     return STAGES[-1][1](spark, docs, sf_dir)
