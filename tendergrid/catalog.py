@@ -45,7 +45,7 @@ def gold_root(spark, folder):
     key = spark.sparkContext.applicationId, folder
     if key not in _loaded_tables or not lake.exists(spark, _loaded_tables[key]):
         root = work_folder(spark, "contracts")
-        lake.gold_write_full(order_tables.contracts(spark, folder), root)
+        lake.gold_write_full(order_tables.contracts(spark, folder, by_year=True), root, spread=False)
         _loaded_tables[key] = root
     return _loaded_tables[key]
 
@@ -116,7 +116,7 @@ def silver_scan(spark, folder):
 
 def _gold(spark, folder, until=None):
     target = work_folder(spark, "gold")
-    lake.gold_write_full(order_tables.contracts(spark, folder, until=until), target)
+    lake.gold_write_full(order_tables.contracts(spark, folder, until=until, by_year=True), target, spread=False)
     return target
 
 

@@ -121,7 +121,7 @@ def load_full(spark: SparkSession, landed: DataFrame, target: Lake) -> dict:
             quality.check_amounts(silver.profile())
             if seen.get["rejected"]:
                 _put_rejected(made, bronze_to_silver(landed), run)
-            lake.put_gold(made, made.scan(lake.SILVER))
+            lake.put_gold(made, made.scan(lake.SILVER), spread=False)
             marts = put_marts(made, made.scan(lake.GOLD))
             _publish(made)
         per_year = lake.year_counts(spark, target.root)
@@ -183,7 +183,7 @@ def load_batch(
                 table = lake.put_silver(made, merge.union_relaxed(kept, fresh), years)
                 quality.check_amounts(table.profile())
                 _check_counts(before.total("rows"), table.total("rows"), counts[merge.INSERTED])
-                lake.put_gold(made, made.staged(lake.SILVER), years)
+                lake.put_gold(made, made.staged(lake.SILVER), years, spread=False)
                 gone = silver.where(years_in(years)).select(KEY, *COLUMNS).join(replaced, KEY, "left_semi")
                 changes, path = _stored(weighted(gone, fresh), "mart-changes")
                 scratch.append(path)

@@ -24,8 +24,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.json.enableExactStringParsing": "false",
 }
 
-# Shuffle bytes per output file of a table write.
-FILE_BYTES = "256m"
+# Shuffle bytes per output file of a table write, and per task of the joins and sorts before it: rows take
+# several times these bytes in memory, so larger tasks would spill (measured at 256m).
+FILE_BYTES = "64m"
 
 _local_folder = None
 

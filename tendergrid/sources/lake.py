@@ -25,18 +25,20 @@ SILVER, GOLD, FILES = "silver", "gold", "gold_archivos"
 LOOKED_UP = [KEY, "nit_entidad", "documento_proveedor"]
 # Ends the name of the table that keeps a mart's counts; see plans/mart_changes.py.
 STATE = "_estado"
+# Shuffle bytes of a task that writes postings: sorted values compress to a few bytes each.
+POSTINGS_BYTES = "16m"
 
 log = logging.getLogger(__name__)
 
 
-def spread_by_year(rows: DataFrame) -> DataFrame:
+def spread_by_year(rows: DataFrame, year: str = YEAR) -> DataFrame:
     """Bring the rows of a year together for writing without tying a year to one task.
 
     REBALANCE shuffles by year; adaptive execution then cuts years that are
     too large into several tasks and merges the small ones, so a year holding
     a third of all rows neither becomes one task nor one file.
     """
-    return rows.hint("rebalance", YEAR)
+    return rows.hint("rebalance", year)
 
 
 def put_silver(made: Publication, rows: DataFrame, years: list[int] | None = None) -> versions.Table:
@@ -44,22 +46,50 @@ def put_silver(made: Publication, rows: DataFrame, years: list[int] | None = Non
     return made.put(SILVER, spread_by_year(rows), YEAR, years, quality.profile(rows))
 
 
-def put_gold(made: Publication, rows: DataFrame, years: list[int] | None = None) -> versions.Table:
+def _postings(rows: DataFrame) -> DataFrame:
+    """Year, column, value and file of the looked-up values in stored rows, by year and in order of the values.
+
+    Shuffled and sorted are numbers of files and columns in place of their
+    names. Their list comes to the driver, which plans a scan of as many files
+    anyway. Keys are their rows' own, so only the other columns are freed of
+    repeats first.
+    """
+    columns = sorted(c for c in LOOKED_UP if c in rows.columns)
+    rows = rows.withColumn("archivo", versions.file_of(GOLD))
+    files = sorted(row["archivo"] for row in rows.select("archivo").distinct().collect())
+    numbers = rows.sparkSession.createDataFrame(list(enumerate(files)), "_archivo int, archivo string")
+    rows = rows.join(F.broadcast(numbers), "archivo")
+
+    def held(names):
+        pairs = [F.struct(F.lit(columns.index(c)).alias("_columna"), F.col(c).cast("string").alias("valor")) for c in names]
+        return rows.select(YEAR, "_archivo", F.inline(F.array(*pairs))).where(F.col("valor").isNotNull())
+
+    own, others = [c for c in columns if c == KEY], [c for c in columns if c != KEY]
+    parts = ([held(own)] if own else []) + ([held(others).distinct()] if others else [])
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    # Sorted by value, so that a lookup reads a few row groups of the postings.
+    return spread_by_year(found).sortWithinPartitions(YEAR, "_columna", "valor").select(
+        YEAR,
+        F.get(F.split(F.lit("\n".join(files)), "\n"), F.col("_archivo")).alias("archivo"),
+        F.get(F.array(*map(F.lit, columns)), F.col("_columna")).alias("columna"),
+        "valor",
+    )
+
+
+def put_gold(made: Publication, rows: DataFrame, years: list[int] | None = None, spread: bool = True) -> versions.Table:
     """Stage yearly partitions, and for the columns looked up which files hold which value.
 
     Sorting by key inside a task gives each row group a narrow key range, so
-    a lookup by contract skips nearly all of them. Counts kept for marts go:
-    whoever knows what changed brings them up to date and stages them again.
+    a lookup by contract skips nearly all of them. Rows that lie together by
+    year already, like those of the typed table, need no further shuffle
+    (spread=False). Counts kept for marts go: whoever knows what changed brings
+    them up to date and stages them again.
     """
     for name in [name for name in made.tables if name.endswith(STATE)]:
         del made.tables[name]
-    table = made.put(GOLD, spread_by_year(rows).sortWithinPartitions(YEAR, KEY), YEAR, years)
-    fresh = made.staged(GOLD)
-    pairs = [F.struct(F.lit(c).alias("columna"), F.col(c).cast("string").alias("valor")) for c in LOOKED_UP if c in fresh.columns]
-    postings = fresh.select(YEAR, versions.file_of(GOLD).alias("archivo"), F.inline(F.array(*pairs))).where(F.col("valor").isNotNull())
-    # Sorted by value, so that a lookup reads a few row groups of the postings.
-    in_order = spread_by_year(postings.distinct()).sortWithinPartitions(YEAR, "columna", "valor")
-    made.put(FILES, in_order, YEAR, years)
+    rows = spread_by_year(rows) if spread else rows
+    table = made.put(GOLD, rows.sortWithinPartitions(YEAR, KEY), YEAR, years)
+    made.put(FILES, _postings(made.staged(GOLD)), YEAR, years, size=POSTINGS_BYTES)
     return table
 
 
@@ -79,10 +109,10 @@ def silver_scan(spark: SparkSession, root: str) -> DataFrame:
     return rows
 
 
-def gold_write_full(rows: DataFrame, root: str) -> None:
-    """Publish every year as a partition; replaces all years at once."""
+def gold_write_full(rows: DataFrame, root: str, spread: bool = True) -> None:
+    """Publish every year as a partition; replaces all years at once. For spread see put_gold."""
     with Publication(rows.sparkSession, root) as made:
-        put_gold(made, rows)
+        put_gold(made, rows, spread=spread)
         made.commit()
 
 

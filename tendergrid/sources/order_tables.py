@@ -11,7 +11,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import SILVER_COLUMNS, UNTYPED_PAGE_COLUMNS, UPDATED_AT, YEAR
+from ..schemas import KEY, SILVER_COLUMNS, UNTYPED_PAGE_COLUMNS, UPDATED_AT, YEAR
+from . import lake
 
 ISO_TEXT = "yyyy-MM-dd'T'00:00:00.000"
 
@@ -115,19 +116,25 @@ def contracts(
     folder: str,
     columns: list[str] | None = None,
     until: dt.date | None = None,
+    by_year: bool = False,
 ) -> DataFrame:
     """One row per order signed by `until`, with the wanted columns (all of them by default).
 
     The planner cannot know that customers and nations have unique keys, so it
     would keep joins whose columns nobody reads; only the needed ones are made.
     A customer with very many orders is a skewed join key, which adaptive
-    execution splits.
+    execution splits. Invoices are joined first, so that no text of a customer
+    goes through the shuffle by order. by_year brings the rows of a year
+    together, sorted by key, before the texts of the contract are made from them.
     """
     groups = [_from_orders(), _from_customers(), _from_places(), _from_invoices()]
     of_orders, of_customers, of_places, of_invoices = groups
     known = of_orders | of_customers | of_places | of_invoices
     names = columns or list(known)
     rows = _until(_table(spark, folder, "orders"), "o_orderdate", until)
+    if set(names) & set(of_invoices):
+        billed = invoices(spark, folder, until)
+        rows = rows.join(billed, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     if set(names) & (set(of_customers) | set(of_places)):
         customers = _table(spark, folder, "customer")
         rows = rows.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
@@ -135,9 +142,10 @@ def contracts(
         nations, regions = _table(spark, folder, "nation"), _table(spark, folder, "region")
         places = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left")
         rows = rows.join(places, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    if set(names) & set(of_invoices):
-        billed = invoices(spark, folder, until)
-        rows = rows.join(billed, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    if by_year:
+        rows = rows.withColumns({"_anio": known[YEAR], "_clave": known[KEY]})
+        known = known | {YEAR: F.col("_anio"), KEY: F.col("_clave")}
+        rows = lake.spread_by_year(rows, "_anio").sortWithinPartitions("_anio", "_clave")
     return rows.select(*[known[name].alias(name) for name in names])
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import table_file_size
+from ..session import FILE_BYTES, table_file_size
 
 # Folder level that holds what one publication wrote, and the folder of manifests.
 TAG = "publicado"
@@ -164,11 +164,12 @@ class Publication:
         fresh = {key: part for key, part in table.parts.items() if f"{TAG}={self.tag}" in part["folder"]}
         return _scan(self.spark, self.root, name, Table(table.by, table.schema, fresh))
 
-    def put(self, name: str, rows: DataFrame, by: str, only: list | None = None, profile: dict[str, Column] | None = None) -> Table:
+    def put(self, name: str, rows: DataFrame, by: str, only: list | None = None, profile: dict[str, Column] | None = None, size: str = FILE_BYTES) -> Table:
         """Write rows, one part per value of `by`; replaces the whole table, or only the named parts.
 
         A named part without rows goes. rows may read the same table. profile
         adds figures per part (sums over rows), taken from the files written.
+        size bounds the shuffle bytes of a task; rows that compress well need a smaller one.
         """
         before = self.tables.get(name)
         if only is not None:
@@ -176,7 +177,7 @@ class Publication:
         number = sum(f"/{name}/" in f"/{folder}" for folder in self.folders)
         folder = f"{name}/{TAG}={self.tag}" + (f"-{number}" if number else "")
         self.folders.append(folder)
-        with table_file_size(self.spark):
+        with table_file_size(self.spark, size):
             rows.write.option("compression", "snappy").partitionBy(by).parquet(f"{self.root}/{folder}")
         schema = rows.schema
         parts = self._measured(folder, schema, by, profile or {})

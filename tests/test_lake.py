@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from conftest import write_page
 from tendergrid.operators import quality
+from tendergrid.plans import loads
+from tendergrid.session import FILE_BYTES
 from tendergrid.sources import lake, order_tables, pages, run_log
 
 ROWS = [
@@ -171,3 +173,43 @@ def test_run_history(spark, tmp_path):
     assert history.count() == 3
     assert run_log.latest_state(history).first()["run_id"] == "r2"
     assert not run_log.full_load_needed(history).first()[0]
+
+
+def test_contracts_are_spread_before_their_texts_are_made(spark, tables):
+    rows = order_tables.contracts(spark, tables, by_year=True)
+    plain = order_tables.contracts(spark, tables)
+    assert rows.columns == plain.columns
+    assert rows.exceptAll(plain).isEmpty() and plain.exceptAll(rows).isEmpty()
+    text = rows._jdf.queryExecution().executedPlan().toString()
+    # The join by supplier lies above that by order, so no text of a customer goes through the latter's shuffle.
+    assert text.index("Suministro | ") < text.index("REBALANCE") < text.index("Join [o_custkey") < text.index("Join [o_orderkey")
+
+
+def test_postings_hold_every_value_and_file_once(spark, tmp_path):
+    path = str(tmp_path / "gold")
+    rows = [(k, 2020 + i % 2, n, d) for i, (k, n, d) in enumerate([("a", "1", "x"), ("b", "1", None), ("c", None, "x"), ("d", "2", "x"), ("a", "1", "y")])]
+    frame = spark.createDataFrame(rows, "id_contrato string, anio int, nit_entidad string, documento_proveedor string")
+    lake.gold_write_full(frame.repartition(3), path)
+    stored = lake.gold_scan(spark, path).withColumn("f", F.col("_metadata.file_path")).collect()
+    wanted = {(r.anio, c, r[c], r.f.split("/gold/gold/")[1]) for r in stored for c in lake.LOOKED_UP if r[c] is not None}
+    found = lake.versions.scan(spark, path, lake.FILES).collect()
+    assert {(r.anio, r.columna, r.valor, r.archivo.removeprefix("gold/")) for r in found} == wanted
+    assert sum(r.columna != "id_contrato" for r in found) == sum(w[1] != "id_contrato" for w in wanted)
+    assert sorted(r.documento_proveedor for r in lake.gold_where(spark, path, "id_contrato", "a").collect()) == ["x", "y"]
+
+
+def test_tables_of_a_load_are_spread_once(spark, tables, tmp_path, monkeypatch):
+    """The yearly partitions come from the typed table, which lies by year already; only narrow postings are spread beside it."""
+    spread, before = [], lake.spread_by_year
+    monkeypatch.setattr(lake, "spread_by_year", lambda rows, *a: spread.append(len(rows.columns)) or before(rows, *a))
+    target = loads.Lake(str(tmp_path / "lake"))
+    landed = order_tables.page_rows(spark, tables, dt.date(1997, 6, 30)).limit(200)
+    loads.load_full(spark, landed, target)
+    assert sum(columns > 40 for columns in spread) == 1
+    gold, silver = target.scan(spark, lake.GOLD), target.scan(spark, lake.SILVER)
+    assert gold.exceptAll(silver.select(*gold.columns)).isEmpty() and gold.count() == silver.count()
+
+
+def test_a_task_of_a_table_write_is_small():
+    """256m of compressed rows were several times the memory of a task, and spilled."""
+    assert FILE_BYTES == "64m"
