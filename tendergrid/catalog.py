@@ -163,6 +163,8 @@ MART_COLUMNS = [
     "modalidad_contratacion", "fecha_firma", "valor_contrato", YEAR,
 ]
 MART_NEEDS = {
+    "mart_entidades": ["nit_entidad", "nombre_entidad", "documento_proveedor", "fecha_firma", "valor_contrato", YEAR],
+    "mart_proveedores": ["documento_proveedor", "proveedor_adjudicado", "nit_entidad", "fecha_firma", "valor_contrato", YEAR],
     "mart_temporal": ["fecha_firma", "valor_contrato", YEAR],
     "mart_modalidades": ["modalidad_contratacion", "fecha_firma", "valor_contrato", YEAR],
 }
@@ -697,9 +699,10 @@ def _mart_difference(mart):
 
     def run(spark, folder):
         target = work_folder(spark, "marts")
-        before = _mart_rows(spark, folder, until=SNAPSHOT)
+        before = _mart_rows(spark, folder, mart, SNAPSHOT)
         marts.mart_start(mart, before, target)
-        marts.mart_change(mart, mart_changes.changes_between(before, _mart_rows(spark, folder)), target)
+        # Contracts on both sides cancel out when they are counted.
+        marts.mart_change(mart, mart_changes.weighted(before, _mart_rows(spark, folder, mart)), target)
         return _out(spark.table(mart.name))
 
     run.__name__ = f"{mart.name}_difference"

@@ -33,6 +33,8 @@ from ..sources.lake import STATE
 
 WEIGHT, PART = "peso", "parte"
 MOST_PARTS = 8
+# So many touched groups at most are sent to every task.
+FEW_GROUPS = 100_000
 # Contract columns that any mart reads.
 COLUMNS = [
     "nit_entidad", "nombre_entidad", "documento_proveedor", "proveedor_adjudicado",
@@ -172,6 +174,9 @@ def put_changes(made: versions.Publication, name: str, changes: DataFrame, put,
     if str(part) not in after.parts:
         return before
     touched = made.staged(kept).select(YEAR, "grupo").distinct()
+    if touched.count() <= FEW_GROUPS:
+        # A join by few groups would bring all their rows into few tasks.
+        touched = F.broadcast(touched)
     if years is None:
         # At most ten thousand years exist.
         years = [row[YEAR] for row in touched.select(YEAR).distinct().collect()]

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tendergrid import catalog
 from tendergrid.plans import loads, mart_changes, marts
 from tendergrid.plans.loads import Lake
 from tendergrid.plans.mart_changes import PART
@@ -105,3 +106,31 @@ def test_batches_of_a_lake(spark, tables, tmp_path, monkeypatch):
     # Contracts replaced in another way: the counts would no longer fit.
     lake.gold_write_full(target.scan(spark, lake.GOLD), target.root)
     assert target.scan(spark, state) is None
+
+
+@pytest.mark.parametrize("mart", marts.MARTS, ids=lambda mart: mart.name)
+def test_registered_differences_read_only_what_the_mart_needs(spark, tables, monkeypatch, mart):
+    """Changes go to the counts as they are, without the columns of other marts and without a grouping by whole contracts."""
+    seen = []
+    monkeypatch.setattr(marts, "mart_change", lambda mart, changes, root: seen.append(changes))
+    monkeypatch.setattr(marts, "mart_start", lambda mart, before, root: before.limit(0).createOrReplaceTempView(mart.name))
+    catalog.QUERIES[f"{mart.name}_difference"](spark, tables)
+    assert set(seen[0].columns) == {*catalog.MART_NEEDS[mart.name], mart_changes.WEIGHT}
+    assert "Aggregate" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    whole = mart_changes.weighted(*[catalog._mart_rows(spark, tables, until=until) for until in (catalog.SNAPSHOT, None)])
+    assert same(mart_changes.counted(mart.name, whole), mart_changes.counted(mart.name, seen[0]))
+
+
+def test_few_touched_groups_are_joined_without_a_shuffle(spark, tmp_path, monkeypatch):
+    chance, mart, hinted = random.Random(5), marts.MART["mart_entidades"], []
+    rows, more = (frame(spark, [drawn(chance) for _ in range(20)]) for _ in range(2))
+    broadcast = F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda found: hinted.append(found.columns) or broadcast(found))
+    for few in (100, 0):
+        monkeypatch.setattr(mart_changes, "FEW_GROUPS", few)
+        root = str(tmp_path / str(few))
+        marts.mart_start(mart, rows, root)
+        marts.mart_change(mart, mart_changes.weighted(rows.limit(0), more), root)
+        assert same(mart.build(rows.unionByName(more)), versions.scan(spark, root, mart.name))
+        assert (["anio", "grupo"] in hinted) == (few > 0)
+        hinted.clear()
