@@ -16,6 +16,7 @@ import base64
 import re
 import struct
 from heapq import heapify, heappop, heappush
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,12 @@ from pyspark.sql import types as T
 
 
 # Bytes of words, their ids and the table around them that a worker remembers before it starts afresh.
-REMEMBERED = 256 << 20
+REMEMBERED = 192 << 20
 ENTRY_BYTES = 250
 # Code points of a word worth remembering, and of texts resolved together.
 LONGEST, TOGETHER = 64, 1 << 20
+# Bytes of a piece in which looking over all pairs is faster than a heap, and the rank of no token.
+SHORT, NONE = 24, 1 << 40
 # Texts taken from an Arrow batch at a time.
 TEXTS = 256
 # A space with white space after it; this \s holds all of Unicode's.
@@ -162,6 +165,25 @@ def merge(piece: bytes, ranks: dict[bytes, int], pairs: list[list[int]]) -> list
     return ids
 
 
+def merge_short(piece: bytes, ranks: dict[bytes, int], pairs: list[list[int]]) -> list[int]:
+    """What `merge` returns, by looking for the leftmost lowest rank each time."""
+    starts = list(range(len(piece) + 1))
+    pair = [pairs[a][b] for a, b in zip(piece, piece[1:])]  # noqa: B905
+    pair = [rank if rank >= 0 else NONE for rank in pair]
+    rank_of = ranks.get
+    while pair:
+        lowest = min(pair)
+        if lowest == NONE:
+            break
+        i = pair.index(lowest)
+        del pair[i], starts[i + 1]
+        if i < len(pair):
+            pair[i] = rank_of(piece[starts[i] : starts[i + 2]], NONE)
+        if i:
+            pair[i - 1] = rank_of(piece[starts[i - 1] : starts[i + 1]], NONE)
+    return [ranks[piece[a:b]] for a, b in zip(starts, starts[1:])]  # noqa: B905
+
+
 def tables(ranks: dict[bytes, int], pattern: str) -> dict:
     """What an encoder needs, in plain types; `words` is its memory, which grows with use."""
     # White space in the library the rank files are made for is the Unicode property alone.
@@ -208,7 +230,10 @@ class Encoder:
         tokens = [piece.encode() for piece in pieces]
         ranks, pairs = self.ranks, self.pairs
         for piece, token, place in zip(pieces, tokens, self.hash.find(tokens), strict=True):
-            ids = [ranks[self.tokens[place]]] if place >= 0 else merge(token, ranks, pairs)
+            if place >= 0:
+                ids = [ranks[self.tokens[place]]]
+            else:
+                ids = (merge_short if len(token) <= SHORT else merge)(token, ranks, pairs)
             known[piece] = struct.pack(f"<{len(ids)}I", *ids)
         # So that the same piece with another mark after it need not be merged again.
         kept = [piece for piece in pieces if len(piece) <= LONGEST and piece not in cut]
@@ -233,7 +258,8 @@ class Encoder:
         new = set()
         for parts in cut:
             new.update(parts)
-        new.difference_update(self.words)
+        # In time of the new texts: difference_update would go through all that is remembered.
+        new = {word for word in new if word not in self.words}
         self._learn(new)
         ids = self.words.__getitem__
         made = [b"".join(map(ids, parts)) for parts in cut]
@@ -247,17 +273,36 @@ class Encoder:
             self.held[0] = 0
         return made
 
+    def decode(self, packed: list[bytes]) -> list[bytes]:
+        return Decoder(self.by_rank).decode(packed)
+
+
+class Decoder:
+    """Packed ids to bytes; all it needs are the tokens by rank."""
+
+    def __init__(self, by_rank: dict[int, bytes]):
+        self.by_rank = by_rank
+
     def decode(self, packed: list[bytes]) -> list[bytes]:
         token = self.by_rank.__getitem__
         return [b"".join(map(token, np.frombuffer(ids, "<u4").tolist())) for ids in packed]
 
 
-def _added(rows: DataFrame, shared, read: str, add: str, method: str) -> DataFrame:
+class Shared(NamedTuple):
+    """Broadcasts of what the workers of either way need; those that decode hold no table for encoding."""
+
+    encode: Any
+    decode: Any
+
+
+def _added(rows: DataFrame, shared: Shared, read: str, add: str, method: str) -> DataFrame:
     names = rows.columns
     schema = T.StructType([*rows.schema.fields, T.StructField(add, T.BinaryType())])
 
+    worker, given = {"encode": Encoder, "decode": Decoder}[method], getattr(shared, method)
+
     def run(batches):
-        work = getattr(Encoder(shared.value), method)
+        work = getattr(worker(given.value), method)
         blank = "" if method == "encode" else b""
         for whole in batches:
             for at in range(0, whole.num_rows, TEXTS):
@@ -268,9 +313,10 @@ def _added(rows: DataFrame, shared, read: str, add: str, method: str) -> DataFra
     return rows.mapInArrow(run, schema)
 
 
-def share(rows: DataFrame, path: str, pattern: str):
-    """The encoder's tables as a broadcast; its size is that of the vocabulary."""
-    return rows.sparkSession.sparkContext.broadcast(tables(read_ranks(path), pattern))
+def share(rows: DataFrame, path: str, pattern: str) -> Shared:
+    """The tables as broadcasts; their size is that of the vocabulary."""
+    made, context = tables(read_ranks(path), pattern), rows.sparkSession.sparkContext
+    return Shared(context.broadcast(made), context.broadcast(made["by_rank"]))
 
 
 def encode(rows: DataFrame, encoder, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -124,6 +125,33 @@ def test_the_encoder_remembers_short_words_only(monkeypatch):
         assert small.held[0] <= 300_000 and len(small.words) * byte_bpe.ENTRY_BYTES <= small.held[0]
 
 
+def test_short_pieces_merge_as_long_ones():
+    path, _ = queries.vocabulary()
+    ranks = byte_bpe.read_ranks(path)
+    pairs, draw = byte_bpe.first_pairs(ranks), random.Random(5)
+    pieces = [bytes(draw.randrange(256) for _ in range(draw.randint(1, 30))) for _ in range(300)]
+    pieces += ["".join(draw.choice("aabcehilnorst 019é") for _ in range(draw.randint(1, 30))).encode() for _ in range(2000)] + [b"a" * n for n in range(1, 30)]
+    for piece in pieces:
+        assert byte_bpe.merge_short(piece, ranks, pairs) == byte_bpe.merge(piece, ranks, pairs)
+
+
+def test_new_words_are_found_without_going_through_the_remembered():
+    class Words(dict):
+        def __iter__(self):
+            raise AssertionError("went through all words")
+
+    path, pattern = queries.vocabulary()
+    work = byte_bpe.Encoder(byte_bpe.tables(byte_bpe.read_ranks(path), pattern) | {"words": Words()})
+    once = work.encode(["a few words", "and more"])
+    assert work.encode(["a few words", "and more"]) == once and work.decode(once) == [b"a few words", b"and more"]
+
+
+def test_workers_that_decode_hold_the_tokens_only(spark):
+    path, pattern = queries.vocabulary()
+    shared = byte_bpe.share(spark.range(1), path, pattern)
+    assert set(map(type, shared.decode.value.values())) == {bytes} and len(shared.decode.value) == len(byte_bpe.read_ranks(path))
+
+
 def test_perfect_hash_and_merges():
     tokens = [str(i).encode() for i in range(3000)]
     table = byte_bpe.PerfectHash(tokens)
