@@ -7,14 +7,19 @@ quoted or not, plain words included; and base matches that fail their length
 rule. Outside such a position a run of letters alone is a word, not a candidate.
 
 The network (one convolution, maximum over the positions, one logistic unit;
-plain numpy) is trained on a bounded sample of labelled findings. Positive are
+plain numpy) is trained on all labelled findings, copies once. Positive are
 the base findings: as they stand, their values without the telling name before
 them, and keys drawn anew in their alphabets and lengths down to LEAST_VALUE.
-Negative is prose: words as they stand, after `:` and `=`, and hard negatives
-made of those words: identifiers, paths, file names, dates, versions, long
-numbers. Failing matches are not labelled: the network decides about them. Its
-scores are calibrated by Platt's method on held-out findings, and the threshold
-is the highest that still finds RECALL of them; there is no floor under it.
+Negative is prose, a word of every text that has room for one: words as they
+stand, after `:` and `=`, and hard negatives made of those words: identifiers,
+paths, file names, dates, versions, long numbers. Failing matches are not
+labelled: the network decides about them. Findings are dealt by hash into groups
+of about GROUP_ROWS; in each round every group trains the common weights on its
+own findings, and the mean over the groups, by their findings, is the next
+common state. One finding in four is held out. Scores are calibrated by Platt's
+method on counts of all held-out ones, copies counted, by logit in steps of
+1/LOGIT_STEPS; the threshold is the highest such step that still finds RECALL of
+them; there is no floor under it.
 Every candidate is scored, base findings too. Candidates at or above the
 threshold that overlap no base finding and no better one are added as `key`.
 
@@ -38,7 +43,8 @@ from pyspark.sql import functions as F
 from tendergrid.llm import common
 
 KINDS = ["assign", "access", "hex", "key"]
-SAMPLE_ROWS = 4_000  # of either label
+GROUP_ROWS, ROUNDS = 4_096, 4
+LOGIT_STEPS, LOGIT_LIMIT = 256, 32
 MIN_RUN, LEAST_VALUE = 8, 6
 RECALL = 0.99
 BEFORE, INSIDE, AFTER = 24, 64, 8
@@ -59,7 +65,7 @@ FOUND = "array<struct<kind:string,start:int,end:int,base:boolean,label:int,befor
 
 
 def candidates(text: str, number: int) -> list[dict]:
-    """Base findings (label 1), now and then a word of prose (label 0), all other candidates (no label)."""
+    """Base findings (label 1), a word of prose (label 0), all other candidates (no label)."""
     found, places = [], set()
 
     def add(kind, start, end, base, label):
@@ -90,9 +96,9 @@ def candidates(text: str, number: int) -> list[dict]:
                 add("key", m.start(), m.end(), False, None)
     for m in VALUE.finditer(text):
         add("key", m.start(1), m.end(1), False, None)
-    # Prose to tell findings from: one word of about one text in four.
+    # Prose to tell findings from: one word of the text.
     draw = random.Random(number)
-    if draw.random() < 0.25 and len(text) > 60:
+    if len(text) > 60:
         m = WORD.search(text, draw.randrange(len(text) - 40))
         if m and not any(f["start"] < m.end() and m.start() < f["end"] for f in found):
             add("prose", m.start(), m.end(), False, 0)
@@ -138,6 +144,10 @@ def _windows(before: str, inside: str, after: str) -> list[np.ndarray]:
     return rows
 
 
+# What training changes, in the order of `CharNetwork.weights`.
+_LEARNED = ["filters", "bias", "out", "shift"]
+
+
 class CharNetwork:
     """Convolution over one-hot characters, maximum over positions, one logistic unit; trained by Adam."""
 
@@ -164,54 +174,72 @@ class CharNetwork:
         ]
         return np.concatenate(found) if found else np.zeros(0)
 
-    def train(self, rows: np.ndarray, labels: np.ndarray, seed: int = 7) -> None:
-        draw = np.random.default_rng(seed)
-        names = ["filters", "bias", "out", "shift"]
-        first = {n: np.zeros_like(getattr(self, n)) for n in names}
-        second = {n: np.zeros_like(getattr(self, n)) for n in names}
-        for step in range(1, STEPS + 1):
-            chosen = draw.integers(0, len(rows), BATCH)
+    def weights(self) -> np.ndarray:
+        return np.concatenate([getattr(self, n).ravel() for n in _LEARNED])
+
+    def take(self, weights: np.ndarray) -> "CharNetwork":
+        at = 0
+        for n in _LEARNED:
+            shape, size = getattr(self, n).shape, getattr(self, n).size
+            setattr(self, n, weights[at : at + size].reshape(shape))
+            at += size
+        return self
+
+    def train(self, rows: np.ndarray, labels: np.ndarray, steps: int, seed: int = 7) -> None:
+        """`steps` batches, or as many as take every row once."""
+        draw, size = np.random.default_rng(seed), min(BATCH, len(rows))
+        steps = max(steps, -(-len(rows) // size))
+        passes = -(-steps * size // len(rows))
+        order = np.concatenate([draw.permutation(len(rows)) for _ in range(passes)])
+        first = {n: np.zeros_like(getattr(self, n)) for n in _LEARNED}
+        second = {n: np.zeros_like(getattr(self, n)) for n in _LEARNED}
+        for step in range(1, steps + 1):
+            chosen = order[(step - 1) * size : step * size]
             patches, y = self._patches(rows[chosen]), labels[chosen]
             heard = patches @ self.filters + self.bias
             where = heard.argmax(1)
             top = np.take_along_axis(heard, where[:, None, :], 1)[:, 0]
             live = np.maximum(top, 0)
-            error = (1 / (1 + np.exp(-(live @ self.out + self.shift))) - y) / BATCH
+            error = (1 / (1 + np.exp(-(live @ self.out + self.shift))) - y) / len(chosen)
             back = error[:, None] * self.out * (top > 0)
-            picked = patches[np.arange(BATCH)[:, None], where]
+            picked = patches[np.arange(len(chosen))[:, None], where]
             slopes = {
                 "filters": np.einsum("bfi,bf->if", picked, back),
                 "bias": back.sum(0),
                 "out": live.T @ error,
                 "shift": error.sum(keepdims=True),
             }
-            for n in names:
+            for n in _LEARNED:
                 first[n] = 0.9 * first[n] + 0.1 * slopes[n]
                 second[n] = 0.999 * second[n] + 0.001 * slopes[n] ** 2
                 move = first[n] / (1 - 0.9**step) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8)
                 setattr(self, n, getattr(self, n) - 0.01 * move)
 
-    def calibrate(self, rows: np.ndarray, labels: np.ndarray, recall: float = RECALL) -> None:
-        """Platt scaling by gradient steps, then the highest threshold that keeps the recall."""
-        z = self.logits(rows)
+    def calibrate(self, z: np.ndarray, labels: np.ndarray, counts: np.ndarray, recall: float = RECALL) -> None:
+        """Platt scaling by gradient steps, then the highest of the logits that keeps the recall; counts say how often each comes."""
+        share = counts / counts.sum()
         for _ in range(200):
             error = 1 / (1 + np.exp(-(self.slope * z + self.offset))) - labels
-            self.slope -= 0.05 * float(np.mean(error * z))
-            self.offset -= 0.05 * float(np.mean(error))
-        scores = self.probability(rows)
-        wanted = np.sort(scores[labels == 1])
-        self.threshold = float(wanted[int(np.floor((1 - recall) * len(wanted)))])
-        taken = scores >= self.threshold
+            self.slope -= 0.05 * float(share @ (error * z))
+            self.offset -= 0.05 * float(share @ error)
+        order = np.argsort(z[labels == 1])
+        wanted, often = z[labels == 1][order], counts[labels == 1][order]
+        below = np.cumsum(often) - often
+        self.threshold = float(self._score(wanted[below <= (1 - recall) * often.sum()])[-1])
+        taken = self._score(z) >= self.threshold
         self.held_out = {
-            "findings": int(labels.sum()),
-            "others": int((1 - labels).sum()),
-            "recall": float(taken[labels == 1].mean()),
-            "precision": float(labels[taken].mean()),
+            "findings": int(counts @ labels),
+            "others": int(counts @ (1 - labels)),
+            "recall": float(counts @ (labels * taken) / (counts @ labels)),
+            "precision": float(counts @ (labels * taken) / (counts @ taken)),
             "threshold": self.threshold,
         }
 
+    def _score(self, z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * z + self.offset, -30, 30)))
+
     def probability(self, rows: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(rows) + self.offset, -30, 30)))
+        return self._score(self.logits(rows))
 
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -272,29 +300,86 @@ def _negatives(prose: list[tuple], draw: random.Random) -> list[tuple]:
 _PLAIN = [("it was written in the ", "chapter", " of the"), ("see also the ", "numbers", ", where")]
 
 
-def fit(found: DataFrame, sample_rows: int = SAMPLE_ROWS) -> CharNetwork:
-    """Train on at most `sample_rows` findings of either label, those of smallest hash; one in four is held out."""
+def _labelled(found: DataFrame) -> DataFrame:
+    """Every labelled finding with how often it comes, and its group; a row without a label stands for each group.
+
+    Findings of any length: a row keeps one window of each, so groups are bounded in bytes too.
+    """
     each = found.select(F.explode("found").alias("f")).where("f.label IS NOT NULL").select("f.*")
-    order = [F.xxhash64("before", "inside", "after"), "before", "inside", "after"]
-    # Findings of any length: the sample keeps one window of each, so its bytes are bounded too.
-    each = each.select("label", "before", F.substring("inside", 1, INSIDE).alias("inside"), "after")
+    names = ["label", "before", "inside", "after"]
+    rows = each.select("label", "before", F.substring("inside", 1, INSIDE).alias("inside"), "after")
+    rows = common.staged(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "secrets-labelled")
+    groups = max(1, -(-rows.count() // GROUP_ROWS))
+    marks = rows.sparkSession.range(groups).select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns], F.col("id").alias("part"))
+    return rows.withColumn("part", F.pmod(F.xxhash64(*names), F.lit(groups))).unionByName(marks)
+
+
+def _coded(rows: pd.DataFrame) -> pd.DataFrame:
+    """Training and held-out windows of a group, the held-out ones with their counts."""
+    part, made = int(rows["part"].iloc[0]), []
+    rows = rows[rows["label"].notna()].sort_values(["label", "before", "inside", "after"])
     sample = {
-        label: [(r.before, r.inside, r.after) for r in each.where(F.col("label") == label).orderBy(*order).limit(sample_rows).collect()]
-        for label in (0, 1)
+        label: list(rows.loc[rows["label"] == label, ["before", "inside", "after", "n"]].itertuples(index=False, name=None)) for label in (0, 1)
     }
-    network, draw = CharNetwork(), random.Random(13)
+    draw = random.Random(part)
     # Where findings are few, drawn keys make up the number.
-    drawn = [("", _drawn_key(draw, 16, 48), "") for _ in range(max(0, 200 - len(sample[1])))]
-    parts = []
+    drawn = [("", _drawn_key(draw, 16, 48), "", 1) for _ in range(max(0, 200 - len(sample[1])))]
     for aside in (False, True):
-        prose = [row for i, row in enumerate(sample[0]) if (i % 4 == 0) == aside] or _PLAIN
+        prose = [row for i, row in enumerate(sample[0]) if (i % 4 == 0) == aside] or [(*row, 1) for row in _PLAIN]
         keys = [row for i, row in enumerate(sample[1] + drawn) if (i % 4 == 0) == aside]
-        good = _positives(keys, prose, draw)
-        bad = _negatives(prose * (1 + 100 // len(prose)), draw)
-        coded = np.stack([_windows(*row)[0] for row in good + bad])
-        parts.append((coded, np.repeat([1.0, 0.0], [len(good), len(bad)])))
-    network.train(*parts[0])
-    network.calibrate(*parts[1])
+        prose = prose * (1 + 100 // len(prose))
+        good = _positives([row[:3] for row in keys], [row[:3] for row in prose], draw)
+        bad = _negatives([row[:3] for row in prose], draw)
+        # Either makes four examples of a row.
+        counts = np.repeat([int(row[3]) for row in keys + prose], 4)
+        coded = np.stack([_windows(*row)[0] for row in good + bad]).astype(np.uint8)
+        labels = np.repeat([1, 0], [len(good), len(bad)]).astype(np.uint8)
+        made.append((part, aside, len(rows) + len(drawn), coded.tobytes(), labels.tobytes(), counts.astype(np.int64).tobytes()))
+    return pd.DataFrame(made, columns=["part", "aside", "size", "windows", "labels", "counts"])
+
+
+def _windows_of(row) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(row.windows, np.uint8).reshape(-1, WINDOW).astype(np.int64), np.frombuffer(row.labels, np.uint8).astype(float)
+
+
+def _round(groups: DataFrame, weights: np.ndarray, number: int) -> np.ndarray:
+    """The mean of what every group makes of the common weights, by its size. Decimals add up the same in any order."""
+
+    def learn(batches):
+        for batch in batches:
+            for row in batch.itertuples():
+                network = CharNetwork().take(weights.copy())
+                network.train(*_windows_of(row), STEPS // ROUNDS, ROUNDS * row.part + number)
+                yield pd.DataFrame({"at": np.arange(len(weights)), "weight": network.weights(), "size": row.size})
+
+    learnt = groups.where("NOT aside").mapInPandas(learn, "at int, weight double, size long")
+    size = F.col("size").cast("decimal(18,0)")
+    mean = F.sum(F.col("weight").cast("decimal(18,12)") * size).cast("double") / F.sum(size).cast("double")
+    # One row per weight of the network.
+    return np.array([row["mean"] for row in learnt.groupBy("at").agg(mean.alias("mean")).orderBy("at").collect()])
+
+
+def fit(found: DataFrame) -> CharNetwork:
+    """Train and calibrate on all labelled findings, group by group."""
+    groups = _labelled(found).groupBy("part").applyInPandas(
+        _coded, "part long, aside boolean, size long, windows binary, labels binary, counts binary"
+    )
+    groups = common.staged(groups, "secrets-windows")
+    network = CharNetwork()
+    for number in range(ROUNDS):
+        network.take(_round(groups, network.weights(), number))
+
+    def heard(batches):
+        for batch in batches:
+            for row in batch.itertuples():
+                windows, labels = _windows_of(row)
+                steps = np.floor(np.clip(network.logits(windows), -LOGIT_LIMIT, LOGIT_LIMIT) * LOGIT_STEPS).astype(int)
+                yield pd.DataFrame({"step": steps, "label": labels.astype(int), "n": np.frombuffer(row.counts, np.int64)})
+
+    counted = groups.where("aside").mapInPandas(heard, "step int, label int, n long").groupBy("step", "label").agg(F.sum("n").alias("n"))
+    # At most two rows per step of the logit.
+    z, labels, counts = np.array([tuple(row) for row in counted.orderBy("step", "label").collect()], float).T
+    network.calibrate(z / LOGIT_STEPS, labels, counts)
     return network
 
 

@@ -342,6 +342,20 @@ def test_the_network_finds_what_no_rule_does(spark, tables):
     assert sum(r.n_key for r in few) >= 1 and all(r.n_scored == 1 for r in few)
 
 
+def test_the_network_learns_from_every_labelled_finding(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "STEPS", 20)
+    monkeypatch.setattr(secret_scan, "GROUP_ROWS", 2_000)
+    texts = [f"entry number {i} was written down in the long book of a quiet harbour town" for i in range(4_500)]
+    texts += [f"the old key {i * 7919:024x} was found beside a door that nobody had opened before" for i in range(4_500)]
+    texts += texts[-1:] * 9
+    found = common.staged(secret_scan.findings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "test-secrets")
+    network = secret_scan.fit(found)
+    # One distinct finding in four is held out and makes four examples, counted as often as it comes.
+    assert network.held_out["findings"] >= 4_500 and network.held_out["others"] >= 6_000
+    again = secret_scan.fit(found.repartition(3))
+    assert again.held_out == network.held_out and (again.weights() == network.weights()).all()
+
+
 def test_quality(spark, tables, documents, rows):
     # The smallest table has few labels; the next one judges the accuracy.
     folder = tables.replace("sf0.001", "sf0.01")
