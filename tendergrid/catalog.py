@@ -681,13 +681,24 @@ def _mart_full(mart):
     return query(run)
 
 
+def _mart_states(spark, folder, mart):
+    """The contracts as of the snapshot and all of them, with the columns a mart reads.
+
+    Neither needs line items, so storing whole contracts for the second would
+    cost several times what the marts do.
+    """
+    needs = MART_NEEDS[mart.name]
+    return order_tables.contracts(spark, folder, needs, SNAPSHOT), order_tables.contracts(spark, folder, needs)
+
+
 def _mart_incremental(mart):
     """Built from the snapshot, then only some years from all contracts."""
 
     def run(spark, folder):
         target = work_folder(spark, "marts")
-        marts.mart_write(mart, mart.build(_mart_rows(spark, folder, mart, SNAPSHOT)), target)
-        marts.mart_incremental(mart, _mart_rows(spark, folder, mart), target, YEARS)
+        before, after = _mart_states(spark, folder, mart)
+        marts.mart_write(mart, mart.build(before), target)
+        marts.mart_incremental(mart, after, target, YEARS)
         return _out(spark.table(mart.name))
 
     run.__name__ = f"{mart.name}_incremental"
@@ -699,10 +710,10 @@ def _mart_difference(mart):
 
     def run(spark, folder):
         target = work_folder(spark, "marts")
-        before = _mart_rows(spark, folder, mart, SNAPSHOT)
+        before, after = _mart_states(spark, folder, mart)
         marts.mart_start(mart, before, target)
         # Contracts on both sides cancel out when they are counted.
-        marts.mart_change(mart, mart_changes.weighted(before, _mart_rows(spark, folder, mart)), target)
+        marts.mart_change(mart, mart_changes.weighted(before, after), target)
         return _out(spark.table(mart.name))
 
     run.__name__ = f"{mart.name}_difference"
