@@ -86,7 +86,7 @@ def big(column):
 @query
 def bronze_scan(spark, folder):
     target = work_folder(spark, "pages")
-    files = pages.write_pages(order_tables.page_rows(spark, folder), target)
+    files = pages.write_pages(order_tables.page_rows(spark, folder), target, compression="gzip")
     return pages.bronze_scan(spark, target, files).select(
         "id_contrato", "nombre_entidad", "fecha_de_firma", "valor_del_contrato", "valor_pagado",
         "localizaci_n", "urlproceso", UPDATED_AT, "n_mero_de_cuenta",

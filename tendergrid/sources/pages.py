@@ -226,11 +226,15 @@ def bronze_scan(spark: SparkSession, folder: str, files: str = PAGE_FILES) -> Da
     return rows
 
 
-def write_pages(rows: DataFrame, folder: str, page_rows: int = PAGE_ROWS, page_bytes: int = PAGE_BYTES) -> str:
+def write_pages(
+    rows: DataFrame, folder: str, page_rows: int = PAGE_ROWS, page_bytes: int = PAGE_BYTES, compression: str = "none"
+) -> str:
     """Write rows as page files and return the file pattern that reads them back.
 
     Each task writes its rows one by one and begins a new page when the next row
     would take it over page_rows or page_bytes, so no value holds more than a row.
+    Every row repeats the names of its fields, so compressed pages are several times smaller; page_bytes is
+    meant before compression.
     """
     lines = rows.select(F.to_json(F.struct(*[F.col(name) for name in rows.columns])).alias("value"))
 
@@ -252,7 +256,7 @@ def write_pages(rows: DataFrame, folder: str, page_rows: int = PAGE_ROWS, page_b
             yield _line_batch([(*waiting[:2], waiting[2] + "]")])
 
     paged = lines.mapInArrow(run, "_page string, line long, value string").sortWithinPartitions("_page", "line")
-    paged.select("_page", "value").write.mode("overwrite").partitionBy("_page").text(folder)
+    paged.select("_page", "value").write.mode("overwrite").option("compression", compression).partitionBy("_page").text(folder)
     return "_page=*/part-*"
 
 

@@ -213,3 +213,15 @@ def test_tables_of_a_load_are_spread_once(spark, tables, tmp_path, monkeypatch):
 def test_a_task_of_a_table_write_is_small():
     """256m of compressed rows were several times the memory of a task, and spilled."""
     assert FILE_BYTES == "64m"
+
+
+def test_compressed_pages_hold_the_same_rows(spark, tables, tmp_path):
+    rows = order_tables.page_rows(spark, tables)
+    sizes = []
+    for compression in ("none", "gzip"):
+        folder = tmp_path / compression
+        files = pages.write_pages(rows, str(folder), page_rows=500, compression=compression)
+        back = pages.bronze_scan(spark, str(folder), files)
+        assert back.exceptAll(rows.select(*back.columns)).isEmpty() and back.count() == rows.count()
+        sizes.append(sum(path.stat().st_size for path in folder.glob("_page=*/part-*")))
+    assert sizes[1] * 4 < sizes[0]
