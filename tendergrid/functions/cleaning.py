@@ -12,7 +12,9 @@ WHITESPACE = (
 
 
 def strip_text(text: Column) -> Column:
-    return F.btrim(text, F.lit(WHITESPACE))
+    """Only texts that begin or end with something else than visible ASCII are searched for white space."""
+    ends = F.ascii(text).between(33, 126) & F.ascii(F.substring(text, -1, 1)).between(33, 126)
+    return F.when(ends, text).otherwise(F.btrim(text, F.lit(WHITESPACE)))
 
 
 def iso_date(text: Column) -> Column:
@@ -37,5 +39,5 @@ def unwrap_url(text: Column) -> Column:
 
 def text_hash(columns: list[str]) -> Column:
     """SHA-256 of the values in order, NULL as empty text, with a pipe between them."""
-    texts = F.array(*[F.col(name).cast("string") for name in columns])
-    return F.sha2(F.array_join(texts, "|", ""), 256)
+    texts = [F.coalesce(F.col(name).cast("string"), F.lit("")) for name in columns]
+    return F.sha2(F.concat_ws("|", *texts), 256)

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,3 +136,17 @@ def test_public_projection(spark):
     rows = spark.createDataFrame([("1", "doc")], "id_contrato string, documento_proveedor string")
     assert transform.public_projection(rows).columns == ["id_contrato"]
     assert len(transform.public_projection(rows, "salt").first()["documento_proveedor"]) == 64
+
+
+def test_only_texts_with_odd_ends_are_trimmed(spark):
+    texts = ["", "a", " a", "a　", "\xa0é b\t", "é", "bé", "a b", "\x85", " x", "~!", "x\x7f", None, "\U0001f600 "]
+    rows = spark.createDataFrame([(text,) for text in texts], "t string")
+    got = [row[0] for row in rows.select(cleaning.strip_text(F.col("t"))).collect()]
+    assert got == [text if text is None else text.strip(cleaning.WHITESPACE) for text in texts]
+    assert "ascii" in str(cleaning.strip_text(F.col("t")))
+
+
+def test_the_hash_takes_missing_values_as_empty_texts(spark):
+    rows = spark.createDataFrame([("a", None, 3), (None, None, None), ("", "|", 0)], "a string, b string, c int")
+    got = [row[0] for row in rows.select(cleaning.text_hash(["a", "b", "c"])).collect()]
+    assert got == [hashlib.sha256(text.encode()).hexdigest() for text in ("a||3", "||", "|||0")]
