@@ -32,8 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (packed), and the digests of the ids and of what they decode to."""
     encoder = byte_bpe.share(docs, *queries.vocabulary())
-    encoded = byte_bpe.encode(docs.select("doc_id", "text"), encoder).select("doc_id", "ids")
-    return byte_bpe.decode(encoded, encoder).select(
+    return byte_bpe.round_trip(docs.select("doc_id", "text"), encoder).select(
         "doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), "ids",
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -5,7 +5,9 @@ by the vocabulary and broadcast. Texts are encoded where they lie, without a
 shuffle. Texts are cut before every space that is followed by something else than
 white space, where a match of the pattern always begins. A worker resolves a few
 texts at a time and remembers short words only, up to REMEMBERED bytes of them;
-a long one (a text without spaces is one word) is forgotten with its texts.
+a long one (a text without spaces is one word) is forgotten with its texts. Words
+are remembered in two halves: once the newer is full, the older is forgotten but
+for the words met again meanwhile, so the frequent ones are never merged anew.
 
 Null text counts as empty and gives no ids. Repeated rows each get their ids.
 An empty table gives an empty result. Added columns replace none: callers name
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-# Bytes of words, their ids and the table around them that a worker remembers before it starts afresh.
-REMEMBERED = 192 << 20
+# Bytes of words, their ids and the table around them that a worker remembers, in both halves.
+REMEMBERED = 96 << 20
 ENTRY_BYTES = 250
 # Code points of a word worth remembering, and of texts resolved together.
 LONGEST, TOGETHER = 64, 1 << 20
@@ -185,7 +187,7 @@ def merge_short(piece: bytes, ranks: dict[bytes, int], pairs: list[list[int]]) -
 
 
 def tables(ranks: dict[bytes, int], pattern: str) -> dict:
-    """What an encoder needs, in plain types; `words` is its memory, which grows with use."""
+    """What an encoder needs, in plain types; `words` and `older` are its memory, which grows with use."""
     # White space in the library the rank files are made for is the Unicode property alone.
     pattern = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}")
     return {
@@ -196,6 +198,7 @@ def tables(ranks: dict[bytes, int], pattern: str) -> dict:
         "hash": vars(PerfectHash(list(ranks))),
         "pattern": pattern.replace(r"\S", r"\P{White_Space}"),
         "words": {},
+        "older": {},
         "held": [0],
     }
 
@@ -207,14 +210,15 @@ class Encoder:
         import regex
 
         self.ranks, self.tokens, self.pairs = tables["ranks"], tables["tokens"], tables["pairs"]
-        self.by_rank, self.words, self.held = tables["by_rank"], tables["words"], tables["held"]
+        self.by_rank, self.words, self.older = tables["by_rank"], tables["words"], tables["older"]
+        self.held = tables["held"]
         self.hash = PerfectHash()
         vars(self.hash).update(tables["hash"])
         self.split = regex.compile(tables["pattern"]).findall
 
     def _learn(self, texts: set[str]) -> None:
         """Resolve the pieces of new words together; the frequent ones are known already."""
-        split, words, known = self.split, self.words, {}
+        split, words, older, known = self.split, self.words, self.older, {}
         cut = {}
         for text in texts:
             found = cut[text] = split(text)
@@ -222,7 +226,7 @@ class Encoder:
         # A piece may have been met as a word of its own.
         pieces = []
         for piece in known:
-            met = words.get(piece)
+            met = words.get(piece) or older.get(piece)
             if met is None:
                 pieces.append(piece)
             else:
@@ -260,7 +264,9 @@ class Encoder:
             new.update(parts)
         # In time of the new texts: difference_update would go through all that is remembered.
         new = {word for word in new if word not in self.words}
-        self._learn(new)
+        again = [word for word in new if word in self.older]
+        self.words.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        self._learn(new.difference(again))
         ids = self.words.__getitem__
         made = [b"".join(map(ids, parts)) for parts in cut]
         long = [word for word in new if len(word) > LONGEST]
@@ -268,7 +274,9 @@ class Encoder:
             del self.words[word]
         # Four bytes an id, and no more ids than bytes.
         self.held[0] += (len(new) - len(long)) * ENTRY_BYTES + 8 * (sum(map(len, new)) - sum(map(len, long)))
-        if self.held[0] > REMEMBERED:
+        if self.held[0] > REMEMBERED // 2:
+            self.older.clear()
+            self.older.update(self.words)
             self.words.clear()
             self.held[0] = 0
         return made
@@ -329,11 +337,31 @@ def decode(rows: DataFrame, encoder, ids: str = "ids", decoded: str = "decoded")
     return _added(rows, encoder, ids, decoded, "decode")
 
 
+def round_trip(rows: DataFrame, encoder, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """The rows without the text, with its packed ids and the bytes that those decode to.
+
+    One worker does both ways, so a core holds one worker's memory and the ids pass to the JVM once.
+    """
+    fields = [field for field in rows.schema.fields if field.name != text]
+    names = [field.name for field in fields]
+    schema = T.StructType([*fields, T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.BinaryType())])
+
+    def run(batches):
+        work = Encoder(encoder.encode.value)
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                packed = work.encode([value or "" for value in batch.column(text).to_pylist()])
+                made = [pa.array(packed, pa.binary()), pa.array(work.decode(packed), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*map(batch.column, names), *made], [*names, ids, decoded])
+
+    return rows.mapInArrow(run, schema)
+
+
 def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per row: doc_id, number of tokens, digests of the ids and of the decoded bytes."""
-    encoder = share(documents, path, pattern)
-    encoded = encode(documents.select("doc_id", "text"), encoder).select("doc_id", "ids")
-    return decode(encoded, encoder).select(
+    made = round_trip(documents.select("doc_id", "text"), share(documents, path, pattern))
+    return made.select(
         "doc_id",
         (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
