@@ -539,9 +539,10 @@ def year_total_join(spark, folder):
 def union_all(spark, folder):
     """Inserts and updates of a batch; table and batch are stored first, so each is made once."""
     stored = []
-    for purpose, rows in zip(("existing", "batch"), _merge_input(spark, folder), strict=True):
+    states = order_tables.page_rows_twice(spark, folder, SNAPSHOT, work_folder(spark, "orders"))
+    for purpose, rows in zip(("existing", "batch"), states, strict=True):
         path = work_folder(spark, purpose)
-        rows.select(*MERGE_VIEW, UPDATED_AT).write.parquet(path)
+        transform.bronze_to_silver(rows).select(*MERGE_VIEW, UPDATED_AT).write.parquet(path)
         stored.append(spark.read.parquet(path))
     return merge.union_all(_merge_view(merge.merge_inserts(*stored)), _merge_view(merge.merge_updates(*stored)))
 

@@ -8,7 +8,7 @@ in real procurement data.
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import KEY, SILVER_COLUMNS, UNTYPED_PAGE_COLUMNS, UPDATED_AT, YEAR
@@ -21,10 +21,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def _by(column: str, day: dt.date) -> Column:
+    return F.col(column) < F.lit(day + dt.timedelta(days=1)).cast("timestamp_ntz")
+
+
 def _until(rows: DataFrame, column: str, day: dt.date | None) -> DataFrame:
-    if day is None:
-        return rows
-    return rows.where(F.col(column) < F.lit(day + dt.timedelta(days=1)).cast("timestamp_ntz"))
+    return rows if day is None else rows.where(_by(column, day))
 
 
 def invoices(spark: SparkSession, folder: str, until: dt.date | None = None) -> DataFrame:
@@ -42,6 +44,35 @@ def invoices(spark: SparkSession, folder: str, until: dt.date | None = None) ->
     )
 
 
+# What invoices() has of an order, and the mark of what was known on an earlier day.
+FIGURES, EARLIER = ["pagado", "facturado", "primera", "ultima", "lineas"], "antes_"
+
+
+def _invoices_twice(spark: SparkSession, folder: str, until: dt.date) -> DataFrame:
+    """The figures of invoices() over all lines and, marked as earlier, over those until a day, in one pass."""
+    lines, early = _table(spark, folder, "lineitem"), _by("l_shipdate", until)
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    lines = lines.select(
+        "l_orderkey", price.alias("price"), F.col("l_shipdate").alias("shipped"), early.alias("early"),
+        F.when(F.col("l_linestatus") == "F", price * (1 - F.col("l_discount").cast("decimal(4,2)"))).alias("paid"),
+    )
+
+    def figures(kept):
+        return [
+            F.round(F.sum(kept("paid")), 2).cast("double"),
+            F.sum(kept("price")).cast("double"),
+            F.min(kept("shipped")).cast("date"),
+            F.max(kept("shipped")).cast("date"),
+        ]
+
+    of_all = [*figures(F.col), F.count(F.lit(1))]
+    of_early = [*figures(lambda name: F.when(F.col("early"), F.col(name))), F.nullif(F.count_if("early"), F.lit(0))]
+    return lines.groupBy("l_orderkey").agg(
+        *[value.alias(name) for name, value in zip(FIGURES, of_all, strict=True)],
+        *[value.alias(EARLIER + name) for name, value in zip(FIGURES, of_early, strict=True)],
+    )
+
+
 def _from_orders():
     key = F.col("o_orderkey").cast("string")
     halted = F.col("o_orderstatus") == "P"
@@ -189,6 +220,31 @@ def page_rows(spark: SparkSession, folder: str, until: dt.date | None = None) ->
     return as_pages(_deal_out(rows, _table(spark, folder, "orders")))
 
 
+def page_rows_twice(spark: SparkSession, folder: str, until: dt.date, path: str) -> tuple[DataFrame, DataFrame]:
+    """page_rows until a day and page_rows of today; what both are made of is joined once and stored at path."""
+    customers, billed = _table(spark, folder, "customer"), _invoices_twice(spark, folder, until)
+    nations, regions = _table(spark, folder, "nation"), _table(spark, folder, "region")
+    places = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    rows = _table(spark, folder, "orders")
+    rows = rows.join(billed, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    rows = rows.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
+    rows = rows.join(places, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    rows.select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate", "o_totalprice",
+        "c_name", "c_acctbal", "c_mktsegment", "c_nationkey", "n_nationkey", "n_name", "r_name",
+        *FIGURES, *[EARLIER + name for name in FIGURES],
+    ).write.parquet(path)
+    today = spark.read.parquet(path)
+    earlier = _until(today, "o_orderdate", until).drop(*FIGURES)
+    earlier = earlier.withColumnsRenamed({EARLIER + name: name for name in FIGURES})
+    known = _from_orders() | _from_customers() | _from_places() | _from_invoices()
+
+    def made(state):
+        return as_pages(_deal_out(state.select(*[value.alias(name) for name, value in known.items()]), today))
+
+    return made(earlier), made(today)
+
+
 def shipment_feed(spark: SparkSession, folder: str) -> DataFrame:
     """One landing row per shipment: the contract as of that day, so a key comes many times."""
     lines = _table(spark, folder, "lineitem")
