@@ -581,9 +581,10 @@ def full_load(spark, folder):
 def incremental_load(spark, folder):
     """A full load of the snapshot, then everything updated since as a batch."""
     target = loads.Lake(work_folder(spark, "lake"))
-    loads.load_full(spark, order_tables.page_rows(spark, folder, SNAPSHOT), target)
+    snapshot, today = order_tables.page_rows_twice(spark, folder, SNAPSHOT, work_folder(spark, "orders"))
+    loads.load_full(spark, snapshot, target)
     since = (SNAPSHOT + dt.timedelta(days=1)).isoformat()
-    loads.load_batch(spark, order_tables.page_rows(spark, folder), target, since)
+    loads.load_batch(spark, today, target, since)
     return _loaded(spark, target)
 
 

@@ -37,6 +37,11 @@ def unwrap_url(text: Column) -> Column:
     return F.coalesce(F.get_json_object(text, "$.url"), text)
 
 
+def hash_bytes(text: Column) -> Column:
+    """The 32 bytes of a hash as text_hash writes it; other text gives NULL."""
+    return F.when(text.rlike("^[0-9a-f]{64}$"), F.unhex(text))
+
+
 def text_hash(columns: list[str]) -> Column:
     """SHA-256 of the values in order, NULL as empty text, with a pipe between them."""
     texts = [F.coalesce(F.col(name).cast("string"), F.lit("")) for name in columns]

@@ -44,13 +44,29 @@ def latest_versions(batch: DataFrame) -> DataFrame:
     )
 
 
-def classify(existing: DataFrame, batch: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+def repeated_keys(batch: DataFrame) -> DataFrame:
+    """Hashes of keys that come more than once, and by chance some that share a hash; eight bytes a row are shuffled."""
+    hashed = with_key(batch).groupBy(F.xxhash64(KEY).alias("_clave")).agg(F.count(F.lit(1)).alias("_n"))
+    return hashed.where("_n > 1").select("_clave")
+
+
+def superseded(batch: DataFrame, repeated: DataFrame, place: list[str]) -> DataFrame:
+    """Where the rows are that latest_versions leaves out for another one of their key; place tells rows apart.
+
+    Only rows with a repeated key (see repeated_keys) are compared.
+    """
+    some = with_key(batch).join(repeated, F.xxhash64(KEY) == F.col("_clave"), "left_semi")
+    return some.select(*place).join(latest_versions(some).select(*place), place, "left_anti")
+
+
+def classify(existing: DataFrame, batch: DataFrame, keys: DataFrame | None = None, also: list[str] | None = None) -> DataFrame:
     """The batch with what it does to the table, and the year the contract had before.
 
     existing has unique keys, the batch has unique non-null keys. The batch
     keys (or `keys`, if they can be had at less cost; repeats do no harm)
     first cut the table down; Spark broadcasts them when their measured bytes
     are few. A row older than the stored one is stale: it changes nothing.
+    also names columns of the table to be had with the verdict.
     """
     keys = batch.select(KEY) if keys is None else keys
     prior = existing.select(
@@ -59,6 +75,7 @@ def classify(existing: DataFrame, batch: DataFrame, keys: DataFrame | None = Non
         F.col(YEAR).alias(PRIOR_YEAR),
         F.col(UPDATED_AT).alias("_prior_at"),
         F.lit(True).alias("_known"),
+        *(also or []),
     ).join(keys, KEY, "left_semi")
     decided = batch.join(prior, KEY, "left").withColumn(ACTION, _action())
     return decided.drop("_prior_hash", "_prior_at", "_known")
@@ -127,8 +144,9 @@ def union_relaxed(first: DataFrame, *others: DataFrame) -> DataFrame:
     return first
 
 
-def keep_unreplaced(existing: DataFrame, keys: DataFrame) -> DataFrame:
-    return existing.join(keys, KEY, "left_anti")
+def keep_unreplaced(existing: DataFrame, keys: DataFrame, at: str | Column = KEY) -> DataFrame:
+    """Rows without a match in keys, by default for the contract key."""
+    return existing.join(keys, at, "left_anti")
 
 
 def merge_silver(existing: DataFrame, batch: DataFrame) -> DataFrame:

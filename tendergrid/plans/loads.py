@@ -15,13 +15,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import cleaning
 from ..operators import merge, quality
-from ..operators.predicates import due_since, years_in
+from ..operators.predicates import due_since
 from ..operators.transform import bronze_to_silver
-from ..schemas import KEY, RUN_HISTORY_SCHEMA, UPDATED_AT, YEAR
-from ..session import work_folder
-from ..sources import lake, pages, run_log, versions
-from .mart_changes import COLUMNS, weighted
+from ..schemas import KEY, ROW_HASH, RUN_HISTORY_SCHEMA, UPDATED_AT, YEAR
+from ..session import COMPRESSION, REWRITE, settings, work_folder
+from ..sources import lake, pages, places, run_log, versions
+from .mart_changes import weighted
 from .marts import MARTS, mart_read, put_marts
 
 REJECTED = "rejected"
@@ -74,15 +75,70 @@ def _put_rejected(made: versions.Publication, rows: DataFrame, run: _Run) -> Non
     made.put(REJECTED, kept, "run_id", [run.run_id])
 
 
-def _stored(rows: DataFrame, purpose: str) -> tuple[DataFrame, str]:
-    """Write rows to the shared work folder and read them from there.
+class _Scratch:
+    """Tables in the shared work folder, for the time of a load.
 
     Later steps then start from files: a lost executor costs a re-read, not
     the whole lineage, and the planner knows the size.
     """
-    path = work_folder(rows.sparkSession, purpose)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path), path
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def _path(self, purpose: str) -> str:
+        self.paths.append(work_folder(self.spark, purpose))
+        return self.paths[-1]
+
+    def stored(self, rows: DataFrame, purpose: str) -> DataFrame:
+        """Write rows and read them from there."""
+        path = self._path(purpose)
+        rows.write.option("compression", COMPRESSION).parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def placed(self, rows: DataFrame, purpose: str) -> places.Stored:
+        """Write typed rows by year, to be found again by their place."""
+        return places.stored(rows, self._path(purpose))
+
+    def remove(self) -> None:
+        while self.paths:
+            lake.remove(self.spark, self.paths.pop())
+
+
+# Columns that decide which version of a contract stands, and where the version of the table lies.
+_VERSION = [KEY, UPDATED_AT, ROW_HASH, YEAR]
+_PRIOR = ["_archivo_previo", "_fila_previa"]
+
+
+def _versions(table: places.Stored) -> DataFrame:
+    """The narrow rows that decisions are taken on. A hash takes half the room as bytes; one that is none is NULL."""
+    return table.placed(*_VERSION).withColumn(ROW_HASH, cleaning.hash_bytes(F.col(ROW_HASH)))
+
+
+def _put_silver(
+    made: versions.Publication,
+    kept: tuple[places.Stored, DataFrame],
+    come: tuple[places.Stored, DataFrame] | None = None,
+    years: list[int] | None = None,
+) -> versions.Table:
+    """Stage the typed table from stored rows but those at some marks, and from others at theirs.
+
+    Rows come year by year. They are shuffled only if they are few, for a file
+    a year, or if there are too many marks to be sent to every task.
+    """
+    table, marks = kept
+    rows = merge.keep_unreplaced(merge.with_key(table.rows(years)), places.sent(marks), places.marked())
+    if come:
+        rows = merge.union_relaxed(rows, places.at(come[0].rows(), come[1]))
+    sides = [kept, come] if come else [kept]
+    small = sum(stored.size() for stored, _ in sides) < places.SMALL
+    spread = small or not all(places.few(marks) for _, marks in sides)
+    return lake.put_silver(made, rows.drop(*places.PLACE), years, spread)
+
+
+def _put_gold(made: versions.Publication, years: list[int] | None = None) -> None:
+    """The typed table lies by year, so its years are read one by one and need no shuffle."""
+    with settings(made.spark, REWRITE):
+        lake.put_gold(made, made.staged(lake.SILVER, apart=True), years, spread=False)
 
 
 def _failed_casts(figures: dict) -> dict[str, int]:
@@ -106,7 +162,7 @@ def load_full(spark: SparkSession, landed: DataFrame, target: Lake) -> dict:
     Rows that all lack a key, or an amount that no total can hold, leave the
     tables of earlier runs as they are.
     """
-    run = _Run(spark, target)
+    run, scratch = _Run(spark, target), _Scratch(spark)
     try:
         with versions.Publication(spark, target.root) as made:
             seen = Observation()
@@ -115,13 +171,17 @@ def load_full(spark: SparkSession, landed: DataFrame, target: Lake) -> dict:
             typed = bronze_to_silver(counted).observe(
                 seen, F.count_if(F.col(KEY).isNull()).alias("rejected"), F.max(UPDATED_AT).alias("watermark")
             )
-            silver = lake.put_silver(made, merge.latest_versions(typed))
+            typed = scratch.placed(typed, "landed")
+            repeated = scratch.stored(merge.repeated_keys(typed.scan()), "repeated")
+            older = merge.superseded(_versions(typed), repeated, places.PLACE)
+            silver = _put_silver(made, (typed, scratch.stored(typed.marks(older), "older")))
             if not silver.total("rows"):
                 raise quality.DataQualityError("the typed table is empty")
             quality.check_amounts(silver.profile())
             if seen.get["rejected"]:
-                _put_rejected(made, bronze_to_silver(landed), run)
-            lake.put_gold(made, made.scan(lake.SILVER), spread=False)
+                _put_rejected(made, typed.scan(), run)
+            scratch.remove()
+            _put_gold(made)
             marts = put_marts(made, made.scan(lake.GOLD))
             _publish(made)
         per_year = lake.year_counts(spark, target.root)
@@ -145,25 +205,27 @@ def load_full(spark: SparkSession, landed: DataFrame, target: Lake) -> dict:
     except Exception:
         run.log("failed")
         raise
+    finally:
+        scratch.remove()
 
 
 def load_batch(
     spark: SparkSession, landed: DataFrame, target: Lake, since: str | None = None
 ) -> dict:
     """Upsert landing rows: only years with a change are rewritten in the tables, only groups with one in the marts."""
-    run = _Run(spark, target)
-    scratch = []
+    run, scratch = _Run(spark, target), _Scratch(spark)
     try:
         with versions.Publication(spark, target.root) as made:
             read = Observation()
             counted = landed.observe(read, *quality.cast_failure_counts(landed.columns))
-            typed, path = _stored(due_since(bronze_to_silver(counted), since), "batch")
-            scratch.append(path)
+            batch = scratch.placed(due_since(bronze_to_silver(counted), since), "batch")
+            typed = batch.scan()
             before = made.tables[lake.SILVER]
-            silver = made.scan(lake.SILVER)
+            silver = places.Stored(spark, made.root, lake.SILVER, before)
             keys = merge.with_key(typed).select(KEY)
-            verdict, path = _stored(merge.classify(silver, merge.latest_versions(typed), keys), "changes")
-            scratch.append(path)
+            known = _versions(silver).withColumnsRenamed(dict(zip(places.PLACE, _PRIOR, strict=True)))
+            verdict = merge.classify(known, merge.latest_versions(_versions(batch)), keys, _PRIOR)
+            verdict = scratch.stored(verdict.drop(KEY, UPDATED_AT, ROW_HASH), "changes")
             counts = merge.merge_metrics(verdict).first().asDict()
             extracted = typed.agg(
                 F.count(F.lit(1)).alias("rows"),
@@ -177,16 +239,17 @@ def load_batch(
             marts = {mart.name: made.tables[mart.name].total("rows") for mart in MARTS if mart.name in made.tables}
             table = before
             if years:
-                replaced = verdict.where(F.col(merge.ACTION) == merge.UPDATED).select(KEY)
-                fresh = merge.only_actions(verdict, merge.INSERTED, merge.UPDATED)
-                kept = merge.keep_unreplaced(silver.where(years_in(years)), replaced)
-                table = lake.put_silver(made, merge.union_relaxed(kept, fresh), years)
+                replaced = verdict.where(F.col(merge.ACTION) == merge.UPDATED).select(*_PRIOR)
+                replaced = replaced.withColumnsRenamed(dict(zip(_PRIOR, places.PLACE, strict=True)))
+                replaced = scratch.stored(silver.marks(replaced), "replaced")
+                fresh = scratch.stored(batch.marks(merge.only_actions(verdict, merge.INSERTED, merge.UPDATED)), "fresh")
+                table = _put_silver(made, (silver, replaced), (batch, fresh), years)
                 quality.check_amounts(table.profile())
                 _check_counts(before.total("rows"), table.total("rows"), counts[merge.INSERTED])
-                lake.put_gold(made, made.staged(lake.SILVER), years, spread=False)
-                gone = silver.where(years_in(years)).select(KEY, *COLUMNS).join(replaced, KEY, "left_semi")
-                changes, path = _stored(weighted(gone, fresh), "mart-changes")
-                scratch.append(path)
+                gone = places.at(silver.rows(years), replaced)
+                with settings(spark, REWRITE):
+                    changes = scratch.stored(weighted(gone, places.at(batch.rows(), fresh)), "mart-changes")
+                _put_gold(made, years)
                 marts = put_marts(made, made.scan(lake.GOLD), years, changes)
             if made.folders:
                 _publish(made)
@@ -210,8 +273,7 @@ def load_batch(
         run.log("failed")
         raise
     finally:
-        for path in scratch:
-            lake.remove(spark, path)
+        scratch.remove()
 
 
 def _check_counts(before: int, after: int, inserted: int) -> None:

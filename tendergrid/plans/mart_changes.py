@@ -152,8 +152,11 @@ def mart_rows(name: str, state: DataFrame) -> DataFrame:
 
 
 def _ordered(state: DataFrame, part: int) -> DataFrame:
-    """Ready to be written as one part; sorted, so that row groups of other years and groups are skipped."""
-    return state.withColumn(PART, F.lit(part)).hint("rebalance").sortWithinPartitions(*_PLACE[:3])
+    """Ready to be written as one part; sorted, so that row groups of other years and groups are skipped.
+
+    State comes from an aggregate by all of _PLACE, so it is spread evenly and needs no further shuffle.
+    """
+    return state.withColumn(PART, F.lit(part)).sortWithinPartitions(*_PLACE[:3])
 
 
 def put_state(made: versions.Publication, name: str, contracts: DataFrame) -> None:

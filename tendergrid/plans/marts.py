@@ -11,7 +11,7 @@ from ..functions import money
 from ..operators import quality
 from ..operators.predicates import present, years_in
 from ..schemas import YEAR
-from ..session import table_file_size
+from ..session import REWRITE, settings, table_file_size
 from ..sources import lake, versions
 from . import mart_changes
 
@@ -185,6 +185,7 @@ def put_marts(
     """Stage all four marts, complete, for some years only, or by the changes of a batch to those years. Returns rows per mart.
 
     They do not depend on each other, so their jobs are handed to Spark together.
+    A task reads no more contracts than its aggregates can hold by group.
     """
 
     def one(mart: Mart) -> versions.Table:
@@ -192,7 +193,8 @@ def put_marts(
             return _put_from(made, mart, contracts, years)
         return _put_batch(made, mart, contracts, years, changes)
 
-    with table_file_size(contracts.sparkSession), ThreadPoolExecutor(len(MARTS)) as together:
+    few = settings(contracts.sparkSession, {"spark.sql.files.maxPartitionBytes": REWRITE["spark.sql.files.maxPartitionBytes"]})
+    with few, table_file_size(contracts.sparkSession), ThreadPoolExecutor(len(MARTS)) as together:
         tables = list(together.map(one, MARTS))
     return {mart.name: table.total("rows") for mart, table in zip(MARTS, tables, strict=True)}
 

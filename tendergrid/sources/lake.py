@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import quality
 from ..operators.merge import keep_unreplaced
 from ..schemas import KEY, YEAR
+from ..session import REWRITE, settings
 from . import versions
 from .versions import Publication, exists, remove
 
@@ -41,9 +42,13 @@ def spread_by_year(rows: DataFrame, year: str = YEAR) -> DataFrame:
     return rows.hint("rebalance", year)
 
 
-def put_silver(made: Publication, rows: DataFrame, years: list[int] | None = None) -> versions.Table:
-    """Stage the typed table, or some years of it, with its profile; see quality.profile."""
-    return made.put(SILVER, spread_by_year(rows), YEAR, years, quality.profile(rows))
+def put_silver(made: Publication, rows: DataFrame, years: list[int] | None = None, spread: bool = True) -> versions.Table:
+    """Stage the typed table, or some years of it, with its profile; see quality.profile.
+
+    Rows read year by year from stored files need no shuffle (spread=False).
+    """
+    with settings(made.spark, {} if spread else REWRITE):
+        return made.put(SILVER, spread_by_year(rows) if spread else rows, YEAR, years, quality.profile(rows))
 
 
 def _postings(rows: DataFrame) -> DataFrame:
@@ -81,8 +86,7 @@ def put_gold(made: Publication, rows: DataFrame, years: list[int] | None = None,
 
     Sorting by key inside a task gives each row group a narrow key range, so
     a lookup by contract skips nearly all of them. Rows that lie together by
-    year already, like those of the typed table, need no further shuffle
-    (spread=False). Counts kept for marts go: whoever knows what changed brings
+    year already need no further shuffle (spread=False). Counts kept for marts go: whoever knows what changed brings
     them up to date and stages them again.
     """
     for name in [name for name in made.tables if name.endswith(STATE)]:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import KEY, SILVER_COLUMNS, UNTYPED_PAGE_COLUMNS, UPDATED_AT, YEAR
+from ..session import COMPRESSION, settings
 from . import lake
 
 ISO_TEXT = "yyyy-MM-dd'T'00:00:00.000"
@@ -53,7 +54,7 @@ def _invoices_twice(spark: SparkSession, folder: str, until: dt.date) -> DataFra
     lines, early = _table(spark, folder, "lineitem"), _by("l_shipdate", until)
     price = F.col("l_extendedprice").cast("decimal(18,2)")
     lines = lines.select(
-        "l_orderkey", price.alias("price"), F.col("l_shipdate").alias("shipped"), early.alias("early"),
+        "l_orderkey", price.alias("price"), F.col("l_shipdate").cast("date").alias("shipped"), early.alias("early"),
         F.when(F.col("l_linestatus") == "F", price * (1 - F.col("l_discount").cast("decimal(4,2)"))).alias("paid"),
     )
 
@@ -61,8 +62,8 @@ def _invoices_twice(spark: SparkSession, folder: str, until: dt.date) -> DataFra
         return [
             F.round(F.sum(kept("paid")), 2).cast("double"),
             F.sum(kept("price")).cast("double"),
-            F.min(kept("shipped")).cast("date"),
-            F.max(kept("shipped")).cast("date"),
+            F.min(kept("shipped")),
+            F.max(kept("shipped")),
         ]
 
     of_all = [*figures(F.col), F.count(F.lit(1))]
@@ -229,11 +230,14 @@ def page_rows_twice(spark: SparkSession, folder: str, until: dt.date, path: str)
     rows = rows.join(billed, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     rows = rows.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
     rows = rows.join(places, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    rows.select(
+    rows = rows.select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate", "o_totalprice",
         "c_name", "c_acctbal", "c_mktsegment", "c_nationkey", "n_nationkey", "n_name", "r_name",
         *FIGURES, *[EARLIER + name for name in FIGURES],
-    ).write.parquet(path)
+    )
+    # Few lines a task, or what it adds up by order before the shuffle would spill.
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": "16m"}):
+        rows.write.option("compression", COMPRESSION).parquet(path)
     today = spark.read.parquet(path)
     earlier = _until(today, "o_orderdate", until).drop(*FIGURES)
     earlier = earlier.withColumnsRenamed({EARLIER + name: name for name in FIGURES})

@@ -19,17 +19,21 @@ The rename is atomic where the file system's is (HDFS, local disks).
 import json
 import re
 import uuid
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import FILE_BYTES, table_file_size
+from ..session import COMPRESSION, FILE_BYTES, table_file_size
 
 # Folder level that holds what one publication wrote, and the folder of manifests.
 TAG = "publicado"
 MANIFESTS = "_manifests"
+# So many scans at most make up a table read part by part.
+MOST_SCANS = 64
 
 
 class PublishConflict(RuntimeError):
@@ -51,7 +55,14 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
-def _listed(spark: SparkSession, pattern: str) -> list[str]:
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of the files in a folder."""
+    files, target = _path(spark, path)
+    return files.getContentSummary(target).getLength()
+
+
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match, in order."""
     files, target = _path(spark, pattern)
     return sorted(found.getPath().toString() for found in files.globStatus(target) or [])
 
@@ -83,7 +94,7 @@ class Version:
 
 
 def _manifests(spark: SparkSession, root: str) -> list[str]:
-    return _listed(spark, f"{root}/{MANIFESTS}/[0-9]*.json")
+    return listed(spark, f"{root}/{MANIFESTS}/[0-9]*.json")
 
 
 def _loaded(spark: SparkSession, path: str) -> Version:
@@ -111,6 +122,20 @@ def _scan(spark: SparkSession, root: str, name: str, table: Table, files: list[s
     return spark.read.schema(schema).option("basePath", base).parquet(*[f"{root}/{path}" for path in paths]).select(*schema.names)
 
 
+def scan_apart(
+    spark: SparkSession, root: str, name: str, table: Table, made: Callable[[DataFrame], DataFrame] = lambda rows: rows
+) -> DataFrame:
+    """The table part by part, so that no task reads rows of two; very many parts are taken some at a time.
+
+    made is done to the rows of each scan, where they still know their files.
+    """
+    keys = sorted(table.parts)
+    step = max(1, -(-len(keys) // MOST_SCANS))
+    groups = [keys[at : at + step] for at in range(0, len(keys), step)] or [[]]
+    each = [replace(table, parts={key: table.parts[key] for key in group}) for group in groups]
+    return reduce(DataFrame.unionAll, [made(_scan(spark, root, name, some)) for some in each])
+
+
 def scan(spark: SparkSession, root: str, name: str, version: Version | None = None, files: list[str] | None = None) -> DataFrame | None:
     """The table as of a version, by default the newest; only the given files of it, if any are given.
 
@@ -158,11 +183,11 @@ class Publication:
         table = self.tables.get(name)
         return None if table is None else _scan(self.spark, self.root, name, table)
 
-    def staged(self, name: str) -> DataFrame:
-        """Only the parts of the table that this publication wrote."""
+    def staged(self, name: str, apart: bool = False) -> DataFrame:
+        """Only the parts of the table that this publication wrote; apart as scan_apart has them."""
         table = self.tables[name]
         fresh = {key: part for key, part in table.parts.items() if f"{TAG}={self.tag}" in part["folder"]}
-        return _scan(self.spark, self.root, name, Table(table.by, table.schema, fresh))
+        return (scan_apart if apart else _scan)(self.spark, self.root, name, Table(table.by, table.schema, fresh))
 
     def put(self, name: str, rows: DataFrame, by: str, only: list | None = None, profile: dict[str, Column] | None = None, size: str = FILE_BYTES) -> Table:
         """Write rows, one part per value of `by`; replaces the whole table, or only the named parts.
@@ -178,7 +203,7 @@ class Publication:
         folder = f"{name}/{TAG}={self.tag}" + (f"-{number}" if number else "")
         self.folders.append(folder)
         with table_file_size(self.spark, size):
-            rows.write.option("compression", "snappy").partitionBy(by).parquet(f"{self.root}/{folder}")
+            rows.write.option("compression", COMPRESSION).partitionBy(by).parquet(f"{self.root}/{folder}")
         schema = rows.schema
         parts = self._measured(folder, schema, by, profile or {})
         if only is not None and before is not None:
@@ -257,7 +282,7 @@ def expire(spark: SparkSession, root: str, keep: int = 2) -> int:
         return 0
     used = {part["folder"] for version in kept for table in version.tables.values() for part in table.parts.values()}
     gone = 0
-    for path in _listed(spark, f"{root}/*/{TAG}=v*/*=*"):
+    for path in listed(spark, f"{root}/*/{TAG}=v*/*=*"):
         folder = "/".join(path.split("/")[-3:])
         if folder not in used and int(re.search(rf"{TAG}=v(\d+)", folder)[1]) <= kept[-1].number:
             remove(spark, path)
